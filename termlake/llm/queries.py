@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from .line_dedup import ORACLE_SQL as LINES_SQL
+from .line_dedup import op8_line_dedup
+from .mixing import ORACLE_SQL as MIXING_SQL
+from .mixing import op10_mixing
 from .quality_rules import ORACLE_SQL as QUALITY_SQL
 from .quality_rules import op2_quality_rules
 
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
+    "op8_line_dedup": op8_line_dedup,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLES = {
     "op2_quality_rules": QUALITY_SQL,
+    "op8_line_dedup": LINES_SQL,
+    "op10_mixing": MIXING_SQL,
 }
