@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from .decontaminate import op3_decontaminate
 from .line_dedup import ORACLE_SQL as LINES_SQL
 from .line_dedup import op8_line_dedup
 from .mixing import ORACLE_SQL as MIXING_SQL
 from .mixing import op10_mixing
 from .quality_rules import ORACLE_SQL as QUALITY_SQL
 from .quality_rules import op2_quality_rules
+from .secret_scan import op9_secret_scan
 
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_decontaminate": op3_decontaminate,
     "op8_line_dedup": op8_line_dedup,
+    "op9_secret_scan": op9_secret_scan,
     "op10_mixing": op10_mixing,
 }
 
