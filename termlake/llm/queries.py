@@ -10,10 +10,14 @@ from .mixing import op10_mixing
 from .quality_rules import ORACLE_SQL as QUALITY_SQL
 from .quality_rules import op2_quality_rules
 from .secret_scan import op9_secret_scan
+from .sharding import op7_sharding
+from .token_files import op6_token_files
 
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_decontaminate": op3_decontaminate,
+    "op6_token_files": op6_token_files,
+    "op7_sharding": op7_sharding,
     "op8_line_dedup": op8_line_dedup,
     "op9_secret_scan": op9_secret_scan,
     "op10_mixing": op10_mixing,
