@@ -7,6 +7,7 @@ from .line_dedup import ORACLE_SQL as LINES_SQL
 from .line_dedup import op8_line_dedup
 from .mixing import ORACLE_SQL as MIXING_SQL
 from .mixing import op10_mixing
+from .ngram_join import op5_ngram_join
 from .quality_rules import ORACLE_SQL as QUALITY_SQL
 from .quality_rules import op2_quality_rules
 from .secret_scan import op9_secret_scan
@@ -16,6 +17,7 @@ from .token_files import op6_token_files
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_decontaminate": op3_decontaminate,
+    "op5_ngram_join": op5_ngram_join,
     "op6_token_files": op6_token_files,
     "op7_sharding": op7_sharding,
     "op8_line_dedup": op8_line_dedup,
