@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from .chat_tree import ORACLE_SQL as CHAT_SQL
+from .chat_tree import op4_chat_tree
 from .decontaminate import op3_decontaminate
+from .language_crf import op1_language_crf
 from .line_dedup import ORACLE_SQL as LINES_SQL
 from .line_dedup import op8_line_dedup
 from .mixing import ORACLE_SQL as MIXING_SQL
@@ -15,8 +18,10 @@ from .sharding import op7_sharding
 from .token_files import op6_token_files
 
 QUERIES = {
+    "op1_language_crf": op1_language_crf,
     "op2_quality_rules": op2_quality_rules,
     "op3_decontaminate": op3_decontaminate,
+    "op4_chat_tree": op4_chat_tree,
     "op5_ngram_join": op5_ngram_join,
     "op6_token_files": op6_token_files,
     "op7_sharding": op7_sharding,
@@ -27,6 +32,7 @@ QUERIES = {
 
 ORACLES = {
     "op2_quality_rules": QUALITY_SQL,
+    "op4_chat_tree": CHAT_SQL,
     "op8_line_dedup": LINES_SQL,
     "op10_mixing": MIXING_SQL,
 }
