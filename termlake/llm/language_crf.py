@@ -249,12 +249,13 @@ def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
         return docs.withColumns({"_lang": F.lit(UND), "_score": F.lit(0.0)})
     shared = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS x languages floats: 2 MB for four languages
     names = docs.columns
+    at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         k = len(model.languages)
         for batch in batches:
-            text = batch.column(len(names))
+            text = batch.column(at)
             share, counts = np.zeros((batch.num_rows, k)), np.zeros(batch.num_rows, np.int64)
             for a, b in portions(utf8(text)[1], CHAIN_BYTES):
                 chances, first = label_words(model, text.slice(a, b - a))
@@ -263,14 +264,14 @@ def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
                 if len(some):
                     share[a + some] = np.add.reduceat(chances, first[some], axis=0, dtype=np.float64) / counts[a + some, None]
             best = share.argmax(1)
-            known = (counts > 0) & batch.column(len(names) + 1).to_numpy(zero_copy_only=False)
+            known = (counts > 0) & batch.column(len(names)).to_numpy(zero_copy_only=False)
             lang = [model.languages[b] if ok else UND for b, ok in zip(best, known)]
             score = np.where(known, np.clip(share[np.arange(len(best)), best], 0, 1), 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(lang), pa.array(score)], [*names, "_lang", "_score"])
 
     schema = docs.select("*", F.lit("").alias("_lang"), F.lit(0.0).alias("_score")).schema
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.select("*", F.col("text").alias("_text"), letter.alias("_letter")).mapInArrow(run, schema)
+    return docs.select("*", letter.alias("_letter")).mapInArrow(run, schema)
 
 
 def language_model(docs: DataFrame, seed: int = SEED) -> Model | None:
