@@ -14,6 +14,7 @@ each other in order of their text's hash; a null doc_id comes first; an empty ta
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -28,7 +29,7 @@ from .common import drop_path, persisted, shared_dir, table
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 BLOCK_TOKENS = 1 << 16
-MOST_CACHED = 400_000  # units kept by a worker, about 100 MB; then the cache starts anew
+MOST_CACHED = 800_000  # units kept by a worker, about 150 MB; then the cache starts anew
 
 LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
@@ -43,14 +44,15 @@ class UnitIds(dict):
     """Token bytes (16-bit little-endian) by unit of text: the part from one lone space to the next.
 
     The tokenizer splits a text before each single space between two other characters, and a unit's
-    tokens don't depend on its surroundings, so equal units are encoded once.
+    tokens don't depend on its surroundings, so equal units are encoded once. It also splits around
+    marks at the end of a word and a line end between words, so such units are put together from words.
     """
 
-    def __init__(self, path: str, lead: str):
+    def __init__(self, path: str, lead: str, bare: UnitIds | None = None):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.lead = lead
+        self.lead, self.bare = lead, self if bare is None else bare
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
@@ -62,6 +64,11 @@ class UnitIds(dict):
         if len(self) >= MOST_CACHED:
             self.clear()
         text = self.lead + unit
+        if WORDS_AND_MARKS(unit):
+            head, *rest = PIECES(unit)
+            out = self[head] + b"".join(map(self.bare.__getitem__, rest))
+            self[unit] = out
+            return out
         if unit.isalpha():  # one piece for the tokenizer: straight to its merges
             ids = [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))]
         else:
@@ -70,14 +77,16 @@ class UnitIds(dict):
         return out
 
 
+LATIN = "[A-Za-zÀ-ÖØ-öø-ɏ]"
+WORDS_AND_MARKS = re.compile(rf"(?=.*[^A-Za-zÀ-ÖØ-öø-ɏ]){LATIN}+[.,;:!?]*(?:\n{LATIN}+[.,;:!?]*)*", re.S).fullmatch
+PIECES = re.compile(rf"{LATIN}+|[.,;:!?]+|\n").findall
 _UNITS: dict[str, tuple[UnitIds, UnitIds]] = {}  # of this worker, by tokenizer file
 
 
 def encoder(path: str) -> Callable[[str], bytes]:
-    import re
-
     if path not in _UNITS:
-        _UNITS[path] = UnitIds(path, ""), UnitIds(path, " ")
+        bare = UnitIds(path, "")
+        _UNITS[path] = bare, UnitIds(path, " ", bare)
     first, later = _UNITS[path]
     odd, lone = re.compile(r" (?:\s|$)|^ ").search, re.compile(r"(?<=\S) (?=\S)").split
     follow = later.__getitem__
