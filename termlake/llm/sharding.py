@@ -27,7 +27,7 @@ from .common import table
 
 SHARDS = 24
 SEED = 20
-CELL_ROWS = 200_000  # rows of a cell, which one task permutes; fewer in small tables
+CELL_ROWS = 20_000  # rows of a cell, which one task permutes; fewer in small tables
 LEAST_CELLS = 8
 MOST_ENTRIES = 16_000_000  # of the matrix (64 MB); beyond it cells grow, and the sort in a cell spills
 
