@@ -88,7 +88,11 @@ def repeated_words(hashes: Column, window: int = WINDOW) -> Column:
 
 
 def measured(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
-    """``docs`` with the measures that the threshold table reads. Names get ``prefix``."""
+    """``docs`` with the measures that the threshold table reads. Names get ``prefix``.
+
+    The measures come out of a one-element ``inline``: a later filter on them stays above it, where Spark
+    would else copy the expressions below every projection and evaluate them many times.
+    """
     t = F.coalesce(F.col(text), F.lit(""))
     w, h, lines = F.col("_tl_w"), F.col("_tl_h"), F.col("_tl_lines")
     windows = F.when(
@@ -116,8 +120,7 @@ def measured(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame
             }
         )
         .withColumn("_tl_h", windows)
-        .withColumns({prefix + k: v for k, v in columns.items()})
-        .drop("_tl_w", "_tl_h", "_tl_lines")
+        .select(*docs.columns, F.inline(F.array(F.struct(*[v.alias(prefix + k) for k, v in columns.items()]))))
     )
 
 
