@@ -66,11 +66,22 @@ def saturated(metrics: DataFrame, template: str, least: float = 0.999) -> DataFr
     return metrics.groupBy(template).agg(F.bool_and(F.col("recall_at_1") >= least).alias("saturated"))
 
 
-def systematic_sample(rows: DataFrame, order: str, want: int = 30) -> DataFrame:
-    """Every step-th row in order, ``want`` at most; the step comes from the counted rows."""
+def systematic_sample(rows: DataFrame, order: str, want: int = 30, ranges: int = 200) -> DataFrame:
+    """Every step-th row by the numeric column ``order``, ``want`` at most; the step comes from the counted rows.
+
+    Rows are numbered within value ranges, whose counts (``ranges`` rows) give the offsets, so no task sorts all rows.
+    """
     step = max(1, rows.count() // want)
-    numbered = rows.select(order).withColumn("rn", F.row_number().over(Window.orderBy(order)))
-    return rows.join(numbered.where(((F.col("rn") - 1) % step == 0) & (F.col("rn") <= step * want)).select(order), order, "left_semi")
+    cuts = rows.agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or []
+    number = F.lit(0)
+    for cut in sorted(set(cuts)):
+        number = number + (F.col(order) > cut).cast("int")
+    placed = rows.select(order).withColumn("range", number)
+    before = F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = placed.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(before, F.lit(0)).alias("before"))
+    numbered = placed.withColumn("rn", F.row_number().over(Window.partitionBy("range").orderBy(order))).join(F.broadcast(offsets), "range")
+    place = F.col("before") + F.col("rn") - 1
+    return rows.join(numbered.where((place % step == 0) & (place < step * want)).select(order), order, "left_semi")
 
 
 def holdout_by_hash(rows: DataFrame, key: str, want: int = 20) -> DataFrame:

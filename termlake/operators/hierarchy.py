@@ -1,8 +1,9 @@
-"""Hierarchies: descendants, ancestors, eligible chains and excluded subtrees as recursive plans."""
+"""Hierarchies: descendants, ancestors, eligible chains and excluded subtrees as recursive plans.
 
-from __future__ import annotations
+Spark stops a recursion at ``spark.sql.cteRecursionRowLimit`` rows (a million by default); raise it for larger trees.
+"""
 
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,33 +11,33 @@ from pyspark.sql import functions as F
 MOST_LEVELS = 32  # every recursion carries its depth and stops here, so a cycle can't run on
 
 
-def _view(df: DataFrame, label: str) -> str:
-    name = f"{label}_{uuid.uuid4().hex[:12]}"
-    df.createOrReplaceTempView(name)
-    return name
-
-
 def descendants(concepts: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, code, depth) of every node at or below the codes of ``roots`` (code)."""
-    c, r = _view(concepts.select("code", "parent_code"), "concepts"), _view(roots.select("code"), "roots")
-    return concepts.sparkSession.sql(f"""
+    tables = {"c": concepts.select("code", "parent_code"), "r": roots.select("code"), "most": MOST_LEVELS}
+    return concepts.sparkSession.sql(
+        """
         WITH RECURSIVE d(root, code, depth) AS (
           SELECT code, code, 0 FROM {r}
           UNION ALL
-          SELECT d.root, c.code, d.depth + 1 FROM d JOIN {c} c ON c.parent_code = d.code WHERE d.depth < {MOST_LEVELS}
-        ) SELECT root, code, min(depth) AS depth FROM d GROUP BY root, code""")
+          SELECT d.root, c.code, d.depth + 1 FROM d JOIN {c} c ON c.parent_code = d.code WHERE d.depth < {most}
+        ) SELECT root, code, min(depth) AS depth FROM d GROUP BY root, code""",
+        **tables,
+    )
 
 
 def ancestors(concepts: DataFrame, codes: DataFrame) -> DataFrame:
     """(code, ancestor, position) of every node on the way up, the root first at position 1."""
-    c, r = _view(concepts.select("code", "parent_code"), "concepts"), _view(codes.select("code"), "codes")
-    return concepts.sparkSession.sql(f"""
+    tables = {"c": concepts.select("code", "parent_code"), "r": codes.select("code"), "most": MOST_LEVELS}
+    return concepts.sparkSession.sql(
+        """
         WITH RECURSIVE a(code, ancestor, up) AS (
           SELECT code, code, 0 FROM {r}
           UNION ALL
           SELECT a.code, c.parent_code, a.up + 1 FROM a JOIN {c} c ON c.code = a.ancestor
-          WHERE c.parent_code IS NOT NULL AND a.up < {MOST_LEVELS}
-        ) SELECT code, ancestor, CAST(max(up) OVER (PARTITION BY code) - up + 1 AS INT) AS position FROM a""")
+          WHERE c.parent_code IS NOT NULL AND a.up < {most}
+        ) SELECT code, ancestor, CAST(max(up) OVER (PARTITION BY code) - up + 1 AS INT) AS position FROM a""",
+        **tables,
+    )
 
 
 def excluded_subtree(labels: DataFrame, edges: DataFrame, prefixes: tuple[str, ...]) -> DataFrame:
@@ -52,15 +53,18 @@ def ancestry(labels: DataFrame, edges: DataFrame, excluded: DataFrame) -> DataFr
     keep = labels.join(excluded, "code", "left_anti").select("code")
     ok = edges.join(keep, "code", "left_semi").join(keep.withColumnRenamed("code", "parent_code"), "parent_code", "left_semi")
     parents = ok.groupBy("code").agg(F.array_sort(F.collect_set("parent_code")).alias("parents"))
-    k, p = _view(keep, "keep"), _view(parents, "parents")
-    return labels.sparkSession.sql(f"""
+    tables = {"k": keep, "p": parents, "most": MOST_LEVELS}
+    return labels.sparkSession.sql(
+        """
         WITH RECURSIVE a(code, chain, depth) AS (
           SELECT code, array(code), 1 FROM {k}
           UNION ALL
           SELECT a.code, array_prepend(a.chain, array_except(p.parents, a.chain)[0]), a.depth + 1
           FROM a JOIN {p} p ON p.code = a.chain[0]
-          WHERE size(array_except(p.parents, a.chain)) > 0 AND a.depth < {MOST_LEVELS}
-        ) SELECT code, max_by(chain, depth) AS chain, max(depth) AS level FROM a GROUP BY code""")
+          WHERE size(array_except(p.parents, a.chain)) > 0 AND a.depth < {most}
+        ) SELECT code, max_by(chain, depth) AS chain, max(depth) AS level FROM a GROUP BY code""",
+        **tables,
+    )
 
 
 def flattened(labels: DataFrame, edges: DataFrame, excluded: DataFrame) -> DataFrame:

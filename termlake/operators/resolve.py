@@ -10,6 +10,7 @@ from ..functions.text import normalize_name, without_suffix, zero_pad
 
 SIMILARITY_FLOOR = 0.55
 CANDIDATES = 8
+MOST_BROADCAST = 1000  # asked vectors; more of them are not broadcast
 
 
 def unique_aliases(aliases: DataFrame) -> DataFrame:
@@ -42,8 +43,8 @@ def resolve_ladder(asked: DataFrame, concepts: DataFrame, aliases: DataFrame, si
 
 
 def candidates(asked: DataFrame, vectors: DataFrame, most: int = CANDIDATES) -> DataFrame:
-    """The most similar codes of each asked vector. ``asked``: raw, vector, bounded by its caller; ``vectors``: code, embedding."""
-    pairs = vectors.join(F.broadcast(asked.limit(1000)), F.lit(True))
+    """The most similar codes of each asked vector: a query set (raw, vector) against all of ``vectors`` (code, embedding)."""
+    pairs = vectors.crossJoin(F.broadcast(asked) if asked.count() <= MOST_BROADCAST else asked)
     scored = pairs.select("raw", "code", cosine(F.col("vector"), F.col("embedding")).alias("similarity"))
     w = Window.partitionBy("raw").orderBy(F.desc("similarity"), "code")
     return scored.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most)

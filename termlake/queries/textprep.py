@@ -66,10 +66,7 @@ def redacted(spark, sf_dir):
 SELECT d.doc_id, b.item_id, CAST(strpos(d.text, b.text) - 1 AS INT) AS span_start, CAST(strpos(d.text, b.text) - 1 + length(b.text) AS INT) AS span_end
 FROM documents d JOIN benchmark b ON contains(d.text, b.text)""")
 def locate_quote(spark, sf_dir):
-    """Items quoted in documents: the item's first line meets the documents' lines by equality, then the whole quote is located.
-
-    A quote that begins inside a line is met by the 24 characters it begins with, at every place of a document.
-    """
+    """Items quoted in documents: a quote is met by the characters it begins with, then located as a whole."""
     d, b = t.load(spark, sf_dir, "documents"), t.load(spark, sf_dir, "benchmark")
     width = 24
     heads = b.select("item_id", F.col("text").alias("quote"), F.left("text", F.lit(width)).alias("head"))
@@ -80,7 +77,7 @@ def locate_quote(spark, sf_dir):
     else:
         inside = F.filter("heads", lambda h: F.contains(F.col("text"), h))
         pairs = d.crossJoin(F.broadcast(known)).select("doc_id", "text", F.explode(inside).alias("head"))
-    found = pairs.join(heads, "head").withColumn("at", F.locate("x", F.lit("x")) * 0 + F.expr("position(quote, text)")).where("at > 0")
+    found = pairs.join(heads, "head").withColumn("at", F.expr("position(quote, text)")).where("at > 0")
     return found.select("doc_id", "item_id", (F.col("at") - 1).cast("int").alias("span_start"), (F.col("at") - 1 + F.length("quote")).cast("int").alias("span_end"))
 
 
