@@ -281,6 +281,7 @@ ASKED = "machinery customer 1996 france"
 SELECT id, round(score, 6) AS score, (SELECT count(*) FROM cand) AS candidate_count FROM scores ORDER BY round(score, 6) DESC, id LIMIT 10""", "matters", "concepts")
 def comparables(spark, sf_dir):
     inside = under(lined(spark, sf_dir), t.concepts(spark, sf_dir), "R3")
-    kept = optional_filters(inside, "1996-01-01", "1997-12-31").select("id", "text")
+    # The candidates are few after the filters and read once for each statistic, so they are kept (spilling to disk).
+    kept = optional_filters(inside, "1996-01-01", "1997-12-31").select("id", "text").persist()
     scores = bm25(kept, ASKED).withColumn("score", F.round("score", 6))
     return top_k(scores, 10).crossJoin(F.broadcast(kept.agg(F.count("*").alias("candidate_count"))))
