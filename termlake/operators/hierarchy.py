@@ -76,6 +76,12 @@ def flattened(labels: DataFrame, edges: DataFrame, excluded: DataFrame) -> DataF
 
 
 def under(entities: DataFrame, concepts: DataFrame, code: str, column: str = "industry_code") -> DataFrame:
-    """Entities whose concept is ``code`` or lies anywhere below it."""
-    root = concepts.where(F.col("code") == code)
-    return entities.join(descendants(concepts, root).select(F.col("code").alias(column)), column, "left_semi")
+    """Entities whose concept is ``code`` or lies anywhere below it.
+
+    The stored ancestry answers this for three levels; only a deeper hierarchy takes a recursion.
+    """
+    if concepts.where("level > 3").isEmpty():
+        inside = concepts.where(F.lit(code).isin(*map(F.col, ("code", "level_1_code", "level_2_code", "level_3_code")))).select("code")
+    else:
+        inside = descendants(concepts, concepts.where(F.col("code") == code)).select("code")
+    return entities.join(inside.withColumnRenamed("code", column), column, "left_semi")

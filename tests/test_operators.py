@@ -105,6 +105,15 @@ def test_hierarchy(spark):
     assert rows(down) == [("a", "a", 0), ("a", "b", 1), ("a", "c", 2)]
 
 
+def test_roll_up_at_any_depth(spark):
+    schema = "code string, parent_code string, level int, level_1_code string, level_2_code string, level_3_code string"
+    chain = [("a", None, 1, "a", None, None), ("b", "a", 2, "a", "b", None), ("c", "b", 3, "a", "b", "c"), ("d", "c", 4, "a", "b", "c"), ("e", "d", 5, "a", "b", "c"), ("z", None, 1, "z", None, None)]
+    entities = spark.createDataFrame([(i, c) for i, c in enumerate("abcdez")] + [(9, None)], "id int, industry_code string")
+    ids = lambda rows, code: sorted(r.id for r in hierarchy.under(entities, spark.createDataFrame(rows, schema), code).collect())
+    assert ids(chain, "b") == [1, 2, 3, 4] and ids(chain, "d") == [3, 4] and ids(chain, "z") == [5]
+    assert ids(chain[:3], "a") == [0, 1, 2] and ids(chain[:3], "c") == [2]
+
+
 def test_resolution(spark):
     prefixes = spark.createDataFrame([("28", "x"), ("283", "y"), ("0100", "z")], "prefix string, code string")
     codes = spark.createDataFrame([("2834",), ("2899",), ("100",), ("99",), (None,)], "sic string")
