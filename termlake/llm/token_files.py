@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -44,8 +45,8 @@ class UnitIds(dict):
     """Token bytes (16-bit little-endian) by unit of text: the part from one lone space to the next.
 
     The tokenizer splits a text before each single space between two other characters, and a unit's
-    tokens don't depend on its surroundings, so equal units are encoded once. It also splits around
-    marks at the end of a word and a line end between words, so such units are put together from words.
+    tokens don't depend on its surroundings, so equal units are encoded once. It also splits between
+    letters and marks and around a line end, so such units are put together from words and marks.
     """
 
     def __init__(self, path: str, lead: str, bare: UnitIds | None = None):
@@ -59,27 +60,32 @@ class UnitIds(dict):
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
         self.letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.mark = lead.translate(self.letters)
 
     def __missing__(self, unit: str) -> bytes:
         if len(self) >= MOST_CACHED:
             self.clear()
-        text = self.lead + unit
-        if WORDS_AND_MARKS(unit):
-            head, *rest = PIECES(unit)
-            out = self[head] + b"".join(map(self.bare.__getitem__, rest))
-            self[unit] = out
-            return out
         if unit.isalpha():  # one piece for the tokenizer: straight to its merges
-            ids = [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))]
+            if unit.isascii():
+                letters = self.mark + unit
+            else:
+                letters = (self.lead + unit).encode().decode("latin-1").translate(self.letters)
+            out = array("H", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        elif WORDS_AND_MARKS(unit):
+            head, *rest = PIECES(unit)
+            out = self[head] + b"".join(map(self.bare.__getitem__, rest)) if rest else self.whole(unit)
         else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        self[unit] = out = np.array(ids, "<u2").tobytes()
+            out = self.whole(unit)
+        self[unit] = out
         return out
 
+    def whole(self, unit: str) -> bytes:
+        return array("H", self.tokenizer.encode(self.lead + unit, add_special_tokens=False).ids).tobytes()
+
 
-LATIN = "[A-Za-zÀ-ÖØ-öø-ɏ]"
-WORDS_AND_MARKS = re.compile(rf"(?=.*[^A-Za-zÀ-ÖØ-öø-ɏ]){LATIN}+[.,;:!?]*(?:\n{LATIN}+[.,;:!?]*)*", re.S).fullmatch
-PIECES = re.compile(rf"{LATIN}+|[.,;:!?]+|\n").findall
+LATIN, MARK = "A-Za-zÀ-ÖØ-öø-ɏ", r"!-&(-/:-@\[-`{-~"  # letters; ASCII marks but the apostrophe, which may join letters
+WORDS_AND_MARKS = re.compile(rf"[{LATIN}{MARK}]+(?:\n[{LATIN}{MARK}]+)*").fullmatch
+PIECES = re.compile(rf"[{LATIN}]+|[{MARK}]+|\n").findall
 _UNITS: dict[str, tuple[UnitIds, UnitIds]] = {}  # of this worker, by tokenizer file
 
 

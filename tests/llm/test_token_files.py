@@ -16,7 +16,7 @@ def plain():
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
-HARD = ["", " ", "  ", "a  b", "a\n b", " a", "a ", "a \n b", "x\n\n\ny", "it's we'll l'eau 'tis", "a  b  c", "x\u0085 y", "²3 ª º", "日本 語です。", "<|endoftext|> a", "a\t b  \n  c", "12 345,6 \n", "é É ß ſ", "\x1c \x1d a"]
+HARD = ["", " ", "  ", "a  b", "a\n b", " a", "a ", "a \n b", "x\n\n\ny", "it's we'll l'eau 'tis", "a  b  c", "x\u0085 y", "²3 ª º", "日本 語です。", "<|endoftext|> a", "a\t b  \n  c", "12 345,6 \n", "é É ß ſ", "\x1c \x1d a", "(word).\n[next]{one}--two_three", "a***b \n*c d\n\n*e x_'s _it's ('a') a\n b\n(c", "é.É!ß?\nÀ,"]
 
 
 def test_units_equal_whole_texts(spark, plain):
