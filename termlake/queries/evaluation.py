@@ -115,7 +115,7 @@ def holdout_by_hash(spark, sf_dir):
 SELECT matter_id AS id, deal_point_name, position AS predicted, CASE WHEN span_start % 3 = 0 THEN 'None' ELSE position END AS baseline, CASE WHEN span_start % 3 = 0 THEN position <> 'None' ELSE false END AS disagreement
 FROM deal_points WHERE matter_id % 50 = 0""", "deal_points")
 def disagreement_queue(spark, sf_dir):
-    d = t.deal_points(spark, sf_dir).where("matter_id % 50 = 0")
+    d = t.deal_points(spark, sf_dir)
     baseline = F.when(F.col("span_start") % 3 == 0, "None").otherwise(F.col("position"))
     return e.disagreement_queue(d.select(F.col("matter_id").alias("id"), "deal_point_name", F.col("position").alias("predicted"), baseline.alias("baseline")))
 

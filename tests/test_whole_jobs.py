@@ -27,3 +27,14 @@ SELECT alpha, count(*) AS queries, round(avg((rk <= 1)::INT), 6) AS recall_at_1,
 
 def test_ranks_of_all_customers(spark, engine):
     assert table(QUERIES["eval_recall_mrr"](spark, SF).toPandas()) == table(engine.execute(ALL_CUSTOMERS).df())
+
+
+ALL_POINTS = """
+WITH p AS (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate),
+d AS (SELECT l_orderkey AS id, 'DP' || l_linenumber AS deal_point_name, CASE l_returnflag WHEN 'N' THEN 'None' WHEN 'A' THEN l_quantity::INT || ' business days' ELSE CASE l_linestatus WHEN 'O' THEN 'Greater than 5 business days' ELSE 'All Cash' END END AS predicted,
+        l_partkey % 25 > 0 AND l_partkey % 200 % 3 = 0 AS none FROM p)
+SELECT id, deal_point_name, predicted, CASE WHEN none THEN 'None' ELSE predicted END AS baseline, none AND predicted <> 'None' AS disagreement FROM d"""
+
+
+def test_queue_of_all_deal_points(spark, engine):
+    assert table(QUERIES["disagreement_queue"](spark, SF).toPandas()) == table(engine.execute(ALL_POINTS).df())
