@@ -57,8 +57,8 @@ CLEAN = ["key *** end", "postgres://user:***@host/db", "Authorization: Bearer **
 
 @register("redact", "SELECT doc_id, text || suffix AS line FROM (SELECT doc_id, left(text, 20) || ' ' AS text FROM documents), (VALUES " + ", ".join(f"('{c}')" for c in CLEAN) + ") v(suffix)")
 def redacted(spark, sf_dir):
-    head = t.load(spark, sf_dir, "documents").select("doc_id", F.concat(F.left("text", F.lit(20)), F.lit(" ")).alias("text"))
-    lines = head.select("doc_id", "text", F.explode(F.array(*map(F.lit, LINES))).alias("suffix"))
+    whole = t.load(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit(" ")).alias("text"))
+    lines = whole.select("doc_id", "text", F.explode(F.array(*map(F.lit, LINES))).alias("suffix"))
     return lines.select("doc_id", redact(F.concat("text", "suffix")).alias("line"))
 
 

@@ -5,6 +5,7 @@ import pytest
 
 from termlake.queries import QUERIES
 
+from .llm.helpers import docs, saved
 from .test_queries import SF, table
 
 
@@ -38,3 +39,13 @@ SELECT id, deal_point_name, predicted, CASE WHEN none THEN 'None' ELSE predicted
 
 def test_queue_of_all_deal_points(spark, engine):
     assert table(QUERIES["disagreement_queue"](spark, SF).toPandas()) == table(engine.execute(ALL_POINTS).df())
+
+
+def test_secrets_late_in_a_text_are_redacted(spark, tmp_path):
+    late = "some words before " * 50
+    texts = [(1, late + "key sk-proj-abcdefghijklmnop1234 and postgres://user:secret@host/db"), (2, late + "Authorization: Bearer abcdefghijklmnop.1234"), (3, None), (4, "")]
+    lines = QUERIES["redact"](spark, saved(spark, docs(spark, texts), tmp_path)).collect()
+    ends = ["key *** end", "postgres://user:***@host/db", "Authorization: Bearer ***", "nothing here", "sk-short"]
+    clean = {1: late + "key *** and postgres://user:***@host/db", 2: late + "Authorization: Bearer ***", 4: ""}
+    assert sorted(r.line for r in lines if r.doc_id != 3) == sorted(f"{text} {end}" for text in clean.values() for end in ends)
+    assert [r.line for r in lines if r.doc_id == 3] == [None] * 5
