@@ -2,13 +2,14 @@
 
 Numbers, units after numbers and capitalised names inside sentences become typed placeholders. Windows
 of WINDOW template tokens of benchmark items and documents meet in a hash join; each meeting carries
-the literal values of its placeholders. A diagonal (document, item, shift) counts if its slots are
-consistent: every value of the item stands for one value of the document and the other way round, so
+the literal values of its placeholders. On a diagonal (document, item, shift) the windows with consistent
+slots count: every value of the item stands for one value of the document and the other way round, so
 that a re-parameterised question still matches and a mere look-alike doesn't. A document leaks an item
-if its consistent diagonals cover MIN_COVERAGE of the item's windows.
+if such windows cover MIN_COVERAGE of the item's windows.
 
-Defined results: null and empty texts have no window; a text of fewer than WINDOW tokens has one window,
-all its tokens; rows with the same doc_id and text are one document; an empty benchmark leaks nothing.
+Defined results: null and empty texts have no window; an item of fewer than WINDOW tokens has one window,
+all its tokens, and is met at any place of a document; rows with the same doc_id and text are one document;
+an empty benchmark leaks nothing.
 """
 
 from __future__ import annotations
@@ -43,54 +44,67 @@ def template_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(marked), F.lit(TOKEN), F.lit(0))
 
 
-def windows(texts: DataFrame, keys: list[str], window: int = WINDOW) -> DataFrame:
-    """One row for each window: the keys, its place, its hash and its tokens ``toks``.
+def windows(texts: DataFrame, keys: list[str], sizes: Column, window: int = WINDOW) -> DataFrame:
+    """One row for each window: the keys, its place, its size, its hash and all tokens ``_w``.
 
-    The places are exploded, so hashing and the join that follows run in generated code.
+    ``sizes``: array of the sizes of windows of the tokens ``_w``, at most ``window`` each. The places are
+    exploded, so hashing and the join that follows run in generated code.
     """
     w = F.col("_w")
 
     def typed(k: int) -> Column:
         token = F.get(w, F.col("at") + k)
-        return F.when(token >= NUMBER_MARK, F.substring(token, 1, 1)).otherwise(token)
+        typed = F.when(token >= NUMBER_MARK, F.substring(token, 1, 1)).otherwise(token)
+        return F.when(F.col("size") > k, typed)  # the hash leaves nulls out
 
     return (
         texts.withColumn("_w", template_tokens(F.col("text")))
         .where(F.size("_w") > 0)
-        .select(*keys, "_w", F.explode(F.sequence(F.lit(0), F.greatest(F.size("_w") - window, F.lit(0)))).alias("at"))
-        .select(*keys, "_w", "at", F.xxhash64(*[typed(k) for k in range(window)]).alias("hash"))
+        .select(*keys, "_w", F.explode(sizes).alias("size"))
+        .where(F.col("size") <= F.size("_w"))
+        .select(*keys, "_w", "size", F.explode(F.sequence(F.lit(0), F.size("_w") - F.col("size"))).alias("at"))
+        .select(*keys, "at", "size", F.xxhash64(*[typed(k) for k in range(window)]).alias("hash"), "_w")
     )
 
 
+def repeated_values(values: Column) -> Column:
+    """The values that stand more than once in an array: those of slots that disagree."""
+    ordered = F.array_sort(values)
+    return F.array_distinct(F.filter(ordered, lambda v, i: (i > 0) & (F.get(ordered, i - 1) == v)))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """doc_id, text hash ``_th``, item_id, coverage and n_slots of every leak of an item into a document."""
     item_windows, _ = persisted(
-        windows(benchmark.select("item_id", "text"), ["item_id"], window)
-        .select("item_id", F.col("at").alias("item_at"), "hash", F.slice("_w", F.col("at") + 1, window).alias("item_toks")),
+        windows(benchmark.select("item_id", "text"), ["item_id"], F.array(F.least(F.size("_w"), F.lit(window))), window)
+        .select("item_id", F.col("at").alias("item_at"), "size", "hash", F.slice("_w", F.col("at") + 1, window).alias("item_toks")),
         "bench-windows",
     )
     sizes = item_windows.groupBy("item_id").agg(F.countDistinct("item_at").alias("n_windows"))
     few = item_windows.count() <= MOST_BROADCAST
-    doc_windows = windows(docs.select("doc_id", "text", F.xxhash64("text").alias("_th")), ["doc_id", "_th"], window)
+    short = [r["size"] for r in item_windows.where(F.col("size") < window).select("size").distinct().collect()]  # fewer than ``window``
+    asked = F.array(*map(F.lit, [window, *sorted(short)]))
+    doc_windows = windows(docs.select("doc_id", "text", F.xxhash64("text").alias("_th")), ["doc_id", "_th"], asked, window)
     if not few:  # the windows' tokens stay behind until a hash has met
-        doc_windows = doc_windows.join(item_windows.select("hash").distinct(), "hash", "left_semi")
-    hits = doc_windows.join(F.broadcast(item_windows) if few else item_windows, "hash").select(
+        doc_windows = doc_windows.join(item_windows.select("hash", "size").distinct(), ["hash", "size"], "left_semi")
+    hits = doc_windows.join(F.broadcast(item_windows) if few else item_windows, ["hash", "size"]).select(
         "doc_id", "_th", "item_id", "item_at", (F.col("at") - F.col("item_at")).alias("shift"),
-        F.arrays_zip(F.col("item_toks").alias("item"), F.slice("_w", F.col("at") + 1, window).alias("doc")).alias("pairs"),
+        F.arrays_zip(F.col("item_toks").alias("item"), F.slice("_w", F.col("at") + 1, F.col("size")).alias("doc")).alias("pairs"),
     )
     slots = F.filter("pairs", lambda p: p["item"] >= NUMBER_MARK)
     diagonals = (
         hits.withColumn("slots", slots)
         .groupBy("doc_id", "_th", "item_id", "shift")
-        .agg(F.collect_set("item_at").alias("places"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
-        .where(
-            (F.size(F.array_distinct(F.transform("slots", lambda p: p["item"]))) == F.size("slots"))
-            & (F.size(F.array_distinct(F.transform("slots", lambda p: p["doc"]))) == F.size("slots"))
-        )
+        .agg(F.collect_set(F.struct("item_at", "slots")).alias("places"))
+        .withColumn("slots", F.array_distinct(F.flatten("places.slots")))
+        .withColumns({side: repeated_values(F.col(f"slots.{side}")) for side in ("item", "doc")})
+        .withColumn("places", F.filter("places", lambda p: ~F.exists(p["slots"], lambda s: F.array_contains("item", s["item"]) | F.array_contains("doc", s["doc"]))))
+        .where(F.size("places") > 0)
+        .select("doc_id", "_th", "item_id", "places.item_at", F.size(F.array_distinct(F.flatten("places.slots"))).alias("n_slots"))
     )
     return (
         diagonals.groupBy("doc_id", "_th", "item_id")
-        .agg(F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("met"), F.max(F.size("slots")).alias("n_slots"))
+        .agg(F.size(F.array_distinct(F.flatten(F.collect_set("item_at")))).alias("met"), F.max("n_slots").alias("n_slots"))
         .join(F.broadcast(sizes) if few else sizes, "item_id")
         .withColumn("coverage", F.col("met") / F.col("n_windows"))
         .where(F.col("coverage") >= min_coverage)
