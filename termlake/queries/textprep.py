@@ -100,12 +100,25 @@ def keyword_classifier(spark, sf_dir):
     return t.load(spark, sf_dir, "documents").select("doc_id", keyword_class(keywords(F.lit(POINT)), F.col("text"), allowed).alias("predicted"))
 
 
+LONGEST = 500
+SIZES = (500, 280, 150, 80, 500, 280, 150, 80)  # of the parts of the eighths: each anchor but the least is the longest of some
+
+
 @register("span_locate", None)
 def span_locate(spark, sf_dir):
-    """Excerpts cut from the documents, with citations and collapsed space, located again."""
-    d = t.load(spark, sf_dir, "documents").where("n_chars > 400").select("doc_id", "text")
-    cut = F.concat(F.substring("text", 51, 120), F.lit(" (Page 3)"), F.lit("<omitted>"), F.substring("text", 201, 80))
-    excerpts = d.select((F.col("doc_id") * 10).alias("id"), "doc_id", F.regexp_replace(cut, r"\s+", " ").alias("excerpt"))
+    """Excerpts cut from the documents, with citations and collapsed space, located again.
+
+    Of each text of 2 * LONGEST characters or more there is one for each eighth, its parts from the eighth's place
+    and from the text's end, long enough for every anchor; a shorter text is one part, whole.
+    """
+    d = t.load(spark, sf_dir, "documents").select("doc_id", "text")
+    eighths = F.when(F.length("text") < 2 * LONGEST, F.array(F.lit(0))).otherwise(F.array(*map(F.lit, range(8))))
+    placed = d.select("doc_id", "text", F.length("text").alias("n"), F.explode(eighths).alias("k"))
+    at = F.floor((F.col("n") - 2 * LONGEST) * F.col("k") / 7).cast("int") + 1
+    size = F.get(F.array(*map(F.lit, SIZES)), F.col("k"))
+    parts = F.concat(F.substring("text", at, size), F.lit(" (Page 3)"), F.lit("<omitted>"), F.substring("text", F.col("n") - size + 1, size))
+    cut = F.when(F.col("n") < 2 * LONGEST, F.concat("text", F.lit(" (Page 3)"))).otherwise(parts)
+    excerpts = placed.select((F.col("doc_id") * 10 + F.col("k")).alias("id"), "doc_id", F.regexp_replace(cut, r"\s+", " ").alias("excerpt"))
     return locate_spans(excerpts, d)
 
 

@@ -61,3 +61,15 @@ def test_both_ways_to_meet_quotes_agree(spark, tmp_path, monkeypatch):
     for most in (10_000, 0):
         monkeypatch.setattr(textprep, "MOST_HEADS", most)
         assert sorted(tuple(r) for r in QUERIES["locate_quote"](spark, sf).collect()) == want
+
+
+def test_excerpts_come_from_all_of_every_document(spark):
+    rows = QUERIES["span_locate"](spark, SF).collect()
+    lengths = {r.doc_id: len(r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert {r.doc_id for r in rows} == set(lengths)
+    ends = {}
+    for r in rows:
+        ends.setdefault(r.doc_id, []).append(((r.span_start or 0) / lengths[r.doc_id], (r.span_end or 0) / lengths[r.doc_id]))
+    long = [v for k, v in ends.items() if lengths[k] >= 1000]
+    assert long and sum(max(b for _, b in v) > 0.95 for v in long) > 0.9 * len(long)
+    assert sum(max(a for a, _ in v) > 0.2 for v in long) > 0.5 * len(long)
