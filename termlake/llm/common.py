@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,20 +25,50 @@ def words_of(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_CLASS + "+"))
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores behind it as keep it apart from ``taken`` (in any case)."""
+    used = {t.lower() for t in taken}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder path below the checkpoint folder that driver and executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="termlake-")  # local sessions only, as in tests
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="termlake-")  # driver and executors are one process
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+_SCOPES: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Drop at the end what ``persisted`` wrote inside, so nothing lazy may leave the block unwritten."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            drop_path(spark, path)
+
+
 def persisted(df: DataFrame, label: str, **options: str) -> tuple[DataFrame, str]:
     """Write ``df`` as a table in the shared folder and read it back; lineage ends there."""
     spark = df.sparkSession
     path = shared_dir(spark, label)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
