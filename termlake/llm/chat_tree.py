@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -112,12 +112,20 @@ class Pack:
         return {"ids": b"".join(self.ids), "nodes": self.nodes, "conversations": self.conversations}
 
 
+def control_free(path: str) -> Callable[[str], bytes]:
+    """16-bit ids of texts in which the strings of added tokens are ordinary text."""
+    encode, dtype = encoder(path, as_text=True)
+    if dtype != "<u2":
+        raise ValueError("packs hold 16-bit ids: the vocabulary is too large")
+    return encode
+
+
 def chat_packs(turns: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """One row for each pack: ids (16-bit little-endian), nodes and conversations (conv_id and its last node)."""
     path = tokenizer or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, pack = encoder(path), Pack()
+        encode, pack = control_free(path), Pack()
         schema = None
         for batch in batches:
             for row in (r for i in range(0, batch.num_rows, 64) for r in batch.slice(i, 64).to_pylist()):

@@ -1,6 +1,6 @@
 """Token files: frequency-ranked ids in byte-aligned variable-length coding with separate control bytes.
 
-Three passes: texts become 16-bit ids (one table, compressed); a count over all ids ranks them, most
+Three passes: texts become ids (one table, compressed); a count over all ids ranks them, most
 frequent first; documents in ascending doc_id order become blocks of ranks. A rank takes 1 to 4 bytes;
 its length minus one is a 2-bit code, four codes to a control byte, control bytes apart from data bytes.
 Decoding finds the lengths of a whole block by a table of 256 rows and gathers bytes with numpy.
@@ -9,11 +9,14 @@ A file set is two Parquet tables in one folder: ``blocks`` (part, at, doc_ids, c
 and ``ranks`` (one row: the ids in rank order). Parquet is the container, so any store Spark writes will do.
 
 Defined results: null text counts as empty and gives the end id alone; rows that share a doc_id follow
-each other in order of their text's hash; a null doc_id comes first; an empty table writes no block.
+each other in order of their text's hash, equal texts one after the other; a null doc_id comes first; a very
+long text is one block of its own and is encoded by one task; an empty table writes no block; other columns
+of the input are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -30,7 +33,7 @@ from .common import drop_path, persisted, shared_dir, table
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 BLOCK_TOKENS = 1 << 16
-MOST_CACHED = 800_000  # units kept by a worker, about 150 MB; then the cache starts anew
+MOST_CACHED, CACHED_CHARS = 250_000, 48  # units kept in each of a worker's two dictionaries, 50 MB at most; then it starts anew
 
 LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
@@ -42,94 +45,130 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class UnitIds(dict):
-    """Token bytes (16-bit little-endian) by unit of text: the part from one lone space to the next.
+    """Token bytes (little-endian) by unit of text: the part from one lone space to the next.
 
-    The tokenizer splits a text before each single space between two other characters, and a unit's
+    A byte-level tokenizer splits a text before each single space between two other characters, and a unit's
     tokens don't depend on its surroundings, so equal units are encoded once. It also splits between
     letters and marks and around a line end, so such units are put together from words and marks.
     """
 
-    def __init__(self, path: str, lead: str, bare: UnitIds | None = None):
-        from tokenizers import Tokenizer
-
+    def __init__(self, tokenizer, lead: str, kind: str, bare: UnitIds | None = None):
         super().__init__()
-        self.lead, self.bare = lead, self if bare is None else bare
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
+        self.tokenizer, self.lead, self.kind, self.bare = tokenizer, lead, kind, self if bare is None else bare
+        self.model = tokenizer.model
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
         self.letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
         self.mark = lead.translate(self.letters)
 
     def __missing__(self, unit: str) -> bytes:
-        if len(self) >= MOST_CACHED:
-            self.clear()
         if unit.isalpha():  # one piece for the tokenizer: straight to its merges
             if unit.isascii():
                 letters = self.mark + unit
             else:
                 letters = (self.lead + unit).encode().decode("latin-1").translate(self.letters)
-            out = array("H", [t.id for t in self.model.tokenize(letters)]).tobytes()
+            out = array(self.kind, [t.id for t in self.model.tokenize(letters)]).tobytes()
         elif WORDS_AND_MARKS(unit):
             head, *rest = PIECES(unit)
             out = self[head] + b"".join(map(self.bare.__getitem__, rest)) if rest else self.whole(unit)
         else:
             out = self.whole(unit)
-        self[unit] = out
+        if len(unit) <= CACHED_CHARS:
+            if len(self) >= MOST_CACHED:
+                self.clear()
+            self[unit] = out
         return out
 
     def whole(self, unit: str) -> bytes:
-        return array("H", self.tokenizer.encode(self.lead + unit, add_special_tokens=False).ids).tobytes()
+        return array(self.kind, self.tokenizer.encode(self.lead + unit, add_special_tokens=False).ids).tobytes()
 
 
 LATIN, MARK = "A-Za-zÀ-ÖØ-öø-ɏ", r"!-&(-/:-@\[-`{-~"  # letters; ASCII marks but the apostrophe, which may join letters
 WORDS_AND_MARKS = re.compile(rf"[{LATIN}{MARK}]+(?:\n[{LATIN}{MARK}]+)*").fullmatch
 PIECES = re.compile(rf"[{LATIN}]+|[{MARK}]+|\n").findall
-_UNITS: dict[str, tuple[UnitIds, UnitIds]] = {}  # of this worker, by tokenizer file
+_ENCODERS: dict[tuple[str, bool], tuple[Callable[[str], bytes], str]] = {}  # of this worker
+
+
+def plain_byte_level(spec: dict) -> bool:
+    """Whether a tokenizer file is one for which units may be encoded apart: bare byte-level pieces and their merges."""
+    model, pieces = spec["model"], spec.get("pre_tokenizer") or {}
+    return (
+        spec.get("normalizer") is None
+        and (pieces.get("type"), pieces.get("add_prefix_space"), pieces.get("use_regex", True)) == ("ByteLevel", False, True)
+        and model.get("type") == "BPE"
+        and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+        and not spec.get("truncation")
+        and not spec.get("padding")
+    )
+
+
+def encoder(path: str, as_text: bool = False) -> tuple[Callable[[str], bytes], str]:
+    """The ids of a text as bytes, and their numpy type: 16 bits where the vocabulary allows, else 32.
+
+    They are those of the library's ``encode(text, add_special_tokens=False)``. With ``as_text`` the strings of added
+    tokens are ordinary text. Files of another kind than ``plain_byte_level``, and texts with the string of an
+    added token, are encoded as a whole by the library.
+    """
+    if (path, as_text) not in _ENCODERS:
+        _ENCODERS[path, as_text] = _encoder(path, as_text)
+    return _ENCODERS[path, as_text]
+
+
+def _encoder(path: str, as_text: bool) -> tuple[Callable[[str], bytes], str]:
+    from tokenizers import Tokenizer
 
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = as_text
+    spec = json.loads(tokenizer.to_str())
+    largest = max([*tokenizer.get_vocab(with_added_tokens=True).values(), 0])
+    kind, dtype = ("H", "<u2") if largest < 1 << 16 else ("I", "<u4")
 
-def encoder(path: str) -> Callable[[str], bytes]:
-    if path not in _UNITS:
-        bare = UnitIds(path, "")
-        _UNITS[path] = bare, UnitIds(path, " ", bare)
-    first, later = _UNITS[path]
+    def whole(text: str) -> bytes:
+        return array(kind, tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    added = spec.get("added_tokens") or []
+    if not plain_byte_level(spec) or (as_text and not all(t.get("special") for t in added)):
+        return whole, dtype
+    special = None if as_text or not added else re.compile("|".join(re.escape(t["content"]) for t in added)).search
+    first = UnitIds(tokenizer, "", kind)
+    follow = UnitIds(tokenizer, " ", kind, first).__getitem__
     odd, lone = re.compile(r" (?:\s|$)|^ ").search, re.compile(r"(?<=\S) (?=\S)").split
-    follow = later.__getitem__
 
     def encode(text: str) -> bytes:
+        if special and special(text):
+            return whole(text)
         units = lone(text) if odd(text) else text.split(" ")
         head = first[units[0]] if units[0] else b""
         return head + b"".join(map(follow, units[1:]))
 
-    return encode
+    return encode, dtype
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id, text hash ``th``, n_tokens and the compressed 16-bit ids, the end id included."""
+    """doc_id, text hash ``th``, place ``row`` in the input, n_tokens, and the compressed ids with their ``width`` in bytes, the end id included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        encode, pack = encoder(path), zstandard.ZstdCompressor(level=1).compress
-        end = np.array([end_id], "<u2").tobytes()
+        (encode, dtype), pack = encoder(path), zstandard.ZstdCompressor(level=1).compress
+        end, width = np.array([end_id], dtype).tobytes(), np.dtype(dtype).itemsize
         for batch in batches:
-            ids = [encode(t.as_py() or "") + end for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(map(pack, ids), pa.binary())],
-                ["doc_id", "th", "n_tokens", "ids"],
-            )
+            ids = [encode(t.as_py() or "") + end for t in batch.column(3)]
+            sizes = pa.array([len(x) // width for x in ids], pa.int64())
+            widths = pa.array(np.full(len(ids), width, np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], sizes, widths, pa.array(map(pack, ids), pa.binary())], ["doc_id", "th", "row", "n_tokens", "width", "ids"])
 
-    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    return source.mapInArrow(run, "doc_id bigint, th bigint, n_tokens bigint, ids binary")
+    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("th"), F.monotonically_increasing_id().alias("row"), "text")
+    return source.mapInArrow(run, "doc_id bigint, th bigint, row bigint, n_tokens bigint, width int, ids binary")
 
 
-def unpacked(column: pa.ChunkedArray | pa.Array) -> Iterator[np.ndarray]:
+def unpacked(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """The arrays of ids of the last two columns, ``width`` and ``ids``."""
     import zstandard
 
     unpack = zstandard.ZstdDecompressor().decompress
-    for x in column:
-        yield np.frombuffer(unpack(x.as_py()), "<u2")
+    for width, x in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1)):
+        yield np.frombuffer(unpack(x.as_py()), f"<u{width}")
 
 
 def rank_order(ids: DataFrame) -> np.ndarray:
@@ -138,14 +177,19 @@ def rank_order(ids: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for x in unpacked(batch.column(0)):
-                total += np.bincount(x, minlength=1 << 16) if len(x) > 4096 else 0
-                if len(x) <= 4096:
+            for x in unpacked(batch):
+                most = int(x.max(initial=0)) + 1
+                if most > len(total):
+                    total = np.concatenate([total, np.zeros(max(most, 2 * len(total)) - len(total), np.int64)])
+                if len(x) > 4096:
+                    seen = np.bincount(x)
+                    total[: len(seen)] += seen
+                else:
                     np.add.at(total, x, 1)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
 
-    counts = ids.select("ids").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = ids.select("width", "ids").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     rows = counts.orderBy(F.desc("n"), "id").select("id").collect()
     return np.array([r[0] for r in rows], np.uint32)
 
@@ -178,14 +222,17 @@ BLOCK_SCHEMA = "part int, at bigint, doc_ids array<bigint>, counts array<bigint>
 
 
 def write_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID) -> str:
-    """Write the file set of ``docs`` below ``path`` and return ``path``."""
+    """Write the file set of ``docs`` below ``path`` and return ``path``.
+
+    Ranges are cut by doc_id, text and place in the input, so rows repeated in doc_id and text don't crowd one task.
+    """
     spark = docs.sparkSession
     ids, ids_path = persisted(tokenized(docs, tokenizer or tokenizer_path(), end_id), "token-ids", compression="none")
     order = rank_order(ids)
     spark.createDataFrame([(order.astype(int).tolist(),)], "ids array<int>").coalesce(1).write.parquet(f"{path}/ranks")
-    rank_of = np.zeros(1 << 16, np.uint32)
+    rank_of = np.zeros(int(order.max(initial=0)) + 1, np.uint32)
     rank_of[order] = np.arange(len(order), dtype=np.uint32)
-    shared = spark.sparkContext.broadcast(rank_of)  # 256 KB
+    shared = spark.sparkContext.broadcast(rank_of)  # four bytes for each id up to the largest
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at, pending, names, ranks = TaskContext.get().partitionId(), 0, 0, [], []
@@ -197,7 +244,7 @@ def write_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], BLOCK_NAMES)
 
         for batch in batches:
-            for doc_id, x in zip(batch.column(0), unpacked(batch.column(1))):
+            for doc_id, x in zip(batch.column(0), unpacked(batch)):
                 names.append(doc_id.as_py())
                 ranks.append(shared.value[x])
                 pending += len(x)
@@ -208,9 +255,9 @@ def write_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
             yield block()
 
     (
-        ids.repartitionByRange("doc_id", "th")
-        .sortWithinPartitions("doc_id", "th")
-        .select("doc_id", "ids")
+        ids.repartitionByRange("doc_id", "th", "row")
+        .sortWithinPartitions("doc_id", "th", "row")
+        .select("doc_id", "width", "ids")
         .mapInArrow(blocks, BLOCK_SCHEMA)
         .write.option("compression", "zstd")
         .parquet(f"{path}/blocks")
@@ -254,12 +301,20 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return blocks.mapInArrow(decode, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids binary")
 
 
-def token_index(docs: DataFrame) -> DataFrame:
-    """Write the files of ``docs`` to the shared folder and return their index, read back from the files."""
+def token_index(docs: DataFrame, path: str | None = None, tokenizer: str | None = None) -> DataFrame:
+    """Write the files of ``docs`` below ``path`` and return their index, read back from the files.
+
+    Without a path they go to a fresh folder below the checkpoint folder; ``files_of`` names it.
+    """
     spark = docs.sparkSession
-    path = write_files(docs, shared_dir(spark, "token-files"))
+    path = write_files(docs, path or shared_dir(spark, "token-files"), tokenizer)
     return read_files(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def files_of(index: DataFrame) -> str:
+    """The folder of the file set that ``index`` (of ``token_index`` or ``read_files``) was read from."""
+    return index.inputFiles()[0].rsplit("/blocks/", 1)[0]
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index(table(spark, sf_dir, "documents").select("doc_id", "text"))

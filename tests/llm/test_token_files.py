@@ -1,10 +1,11 @@
+import json
 import zlib
 
 import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from termlake.llm.token_files import END_ID, encoder, op6_token_files, pack_ranks, read_files, tokenizer_path, unpack_ranks, write_files
+from termlake.llm.token_files import END_ID, encoder, files_of, op6_token_files, pack_ranks, plain_byte_level, read_files, token_index, tokenizer_path, unpack_ranks, write_files
 
 from .helpers import SF, docs
 
@@ -12,18 +13,17 @@ from .helpers import SF, docs
 @pytest.fixture(scope="module")
 def plain():
     tokenizer = Tokenizer.from_file(tokenizer_path())
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
-HARD = ["", " ", "  ", "a  b", "a\n b", " a", "a ", "a \n b", "x\n\n\ny", "it's we'll l'eau 'tis", "a  b  c", "x\u0085 y", "²3 ª º", "日本 語です。", "<|endoftext|> a", "a\t b  \n  c", "12 345,6 \n", "é É ß ſ", "\x1c \x1d a", "(word).\n[next]{one}--two_three", "a***b \n*c d\n\n*e x_'s _it's ('a') a\n b\n(c", "é.É!ß?\nÀ,"]
+HARD = ["", " ", "  ", "a  b", "a\n b", " a", "a ", "a \n b", "x\n\n\ny", "it's we'll l'eau 'tis", "a  b  c", "x\u0085 y", "²3 ª º", "日本 語です。", "<|endoftext|> a", "hello <|endoftext|> world", "a<|endoftext|>", "a\t b  \n  c", "12 345,6 \n", "é É ß ſ", "\x1c \x1d a", "(word).\n[next]{one}--two_three", "a***b \n*c d\n\n*e x_'s _it's ('a') a\n b\n(c", "é.É!ß?\nÀ,"]
 
 
 def test_units_equal_whole_texts(spark, plain):
-    encode = encoder(tokenizer_path())
+    encode, dtype = encoder(tokenizer_path())
     texts = HARD + [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     for text in texts:
-        assert np.frombuffer(encode(text), "<u2").tolist() == plain(text), text[:80]
+        assert np.frombuffer(encode(text), dtype).tolist() == plain(text), text[:80]
 
 
 def test_codes_round_trip():
@@ -61,3 +61,42 @@ def test_edge_rows(spark, plain, tmp_path):
 def test_empty_table(spark, tmp_path):
     path = write_files(docs(spark, [(1, "a")]).where("false"), str(tmp_path / "files"))
     assert read_files(spark, path).count() == 0
+
+
+def test_control_strings_as_text(spark):
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    tokenizer.encode_special_tokens = True
+    encode, dtype = encoder(tokenizer_path(), as_text=True)
+    for text in HARD:
+        assert np.frombuffer(encode(text), dtype).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def large_vocabulary(path):
+    """The byte-level file with 20,000 more ids: two-letter words as added tokens of a vocabulary beyond 16 bits."""
+    spec = json.load(open(tokenizer_path()))
+    spec["added_tokens"] += [{**spec["added_tokens"][0], "id": 50257 + i, "content": f"<tok{i}>", "special": False} for i in range(20_000)]
+    out = str(path / "large.json")
+    json.dump(spec, open(out, "w"))
+    return out
+
+
+@pytest.mark.parametrize("file", ["word_bpe_49k.json", "large"])
+def test_other_tokenizer_files(spark, tmp_path, file):
+    name = large_vocabulary(tmp_path) if file == "large" else tokenizer_path(file)
+    tokenizer = Tokenizer.from_file(name)
+    assert plain_byte_level(json.loads(tokenizer.to_str())) == (file == "large")
+    rows = [*enumerate(HARD), (900, "Words of <tok7> and <tok19999> stay"), (901, None)]
+    index = token_index(docs(spark, rows), str(tmp_path / "files"), name)
+    want = expected(rows, lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids)
+    assert sorted(tuple(r) for r in index.collect()) == want
+    assert files_of(index).endswith(str(tmp_path / "files"))
+    assert read_files(spark, files_of(index)).count() == len(rows)
+
+
+def test_repeated_rows_are_spread_over_ranges(spark, tmp_path, request):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"))
+    path = write_files(docs(spark, [(7, f"hot text {i % 2}") for i in range(4000)]).repartition(4), str(tmp_path / "files"))
+    parts = spark.read.parquet(f"{path}/blocks").groupBy("part").count().collect()
+    assert len(parts) > 1
+    assert sorted(r.start for r in read_files(spark, path).collect())[0] == 0
