@@ -2,6 +2,8 @@ import collections
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from termlake.llm import mixing
 from termlake.llm.mixing import BUDGET, EPOCHS, SEED, WEIGHTS, mix, op10_mixing, repeated
 
@@ -9,7 +11,7 @@ from .helpers import SF, docs
 
 
 def brute(rows):
-    """{(doc_id, text, source): (size, source_size, target, repeats)} by filling and redistributing step by step."""
+    """{(doc_id, text, source): [(size, source_size, target, repeats) of each row]} by filling and redistributing step by step."""
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0d]+", t or ""))
     total = collections.Counter()
     for _, t, s in rows:
@@ -36,11 +38,10 @@ def brute(rows):
             if x == s:
                 drawn[hashlib.md5(f"{SEED}:{'' if d is None else d}:{t or ''}".encode()).hexdigest()].append((d, t))
         for draw in sorted(drawn):
-            same = drawn[draw]
-            n = size(same[0][1])
-            at += n * len(same)
-            for d, t in same:
-                out[d, t, s] = (n, total[s], round(target[s], 3), whole + (rest > 0 and at - n / 2 <= rest))
+            for d, t in drawn[draw]:  # equal rows one after the other
+                n = size(t)
+                at += n
+                out.setdefault((d, t, s), []).append((n, total[s], round(target[s], 3), whole + (rest > 0 and at - n / 2 <= rest)))
     return out
 
 
@@ -48,8 +49,10 @@ def check(frame, rows):
     want = brute(rows)
     got = mix(frame).collect()
     assert len(got) == len(rows)
+    found = collections.defaultdict(list)
     for r in got:
-        assert (r._size, r._source_size, round(r._target, 3), r._repeats) == want[r.doc_id, r.text, r.source]
+        found[r.doc_id, r.text, r.source].append((r._size, r._source_size, round(r._target, 3), r._repeats))
+    assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in want.items()}
     return got
 
 
@@ -81,7 +84,33 @@ def test_edge_rows_and_columns(spark):
     assert again.columns == frame.columns
     want = brute([(d, t, s) for d, t, _, s in rows])
     counts = collections.Counter((r.doc_id, r.text, r.source) for r in again.collect())
-    assert counts == +collections.Counter({(d, t, s): sum(1 for x in rows if (x[0], x[1], x[3]) == (d, t, s)) * int(want[d, t, s][3]) for d, t, _, s in rows})
+    assert counts == +collections.Counter({k: sum(int(x[3]) for x in v) for k, v in want.items()})
+
+
+def test_rows_that_share_a_draw_are_counted_off(spark):
+    rows = [(None, "the same four words", "en", "hot")] * 1000 + [(i, "a b c d e", "en", "wide") for i in range(300)]
+    frame = docs(spark, rows).repartition(5)
+    got = check(frame, [(d, t, s) for d, t, _, s in rows])
+    for source in ("hot", "wide"):
+        mine = [r for r in got if r.source == source]
+        assert abs(sum(r._size * r._repeats for r in mine) - mine[0]._target) <= 5
+    counts = collections.Counter(r.source for r in repeated(frame).collect())
+    assert counts["hot"] * 4 + counts["wide"] * 5 == sum(r._size * r._repeats for r in got)
+
+
+NAMES = [*mixing.RESULTS, "_draw", "_whole", "_last", "_part", "_copies", "_source", "_salt", "_place", "_copy", "s", "p", "count", "start", "bucket", "last", "copies"]
+
+
+def test_names_that_clash_keep_their_values(spark):
+    rows = [(None, "the same four words", "en", "hot")] * 40 + [(i, "a b c", "en", "wide") for i in range(9)]
+    frame = docs(spark, rows).withColumns({n: F.lit(-5) for n in NAMES})
+    mixed = mix(frame)
+    assert mixed.columns[: len(frame.columns)] == frame.columns and len(set(mixed.columns)) == len(frame.columns) + 4
+    plain = collections.Counter((r.doc_id, r._repeats) for r in mix(docs(spark, rows)).collect())
+    assert plain == collections.Counter((r[0], r[-1]) for r in mixed.collect())
+    out = repeated(frame)
+    assert out.columns == frame.columns
+    assert all(r[n] == -5 for r in out.collect() for n in NAMES) and out.count() == sum(k[1] * n for k, n in plain.items())
 
 
 def test_many_sources_join_by_shuffle(spark, monkeypatch):
