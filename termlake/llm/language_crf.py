@@ -7,11 +7,18 @@ string together spans of differently labelled texts: that is where the transitio
 are labelled by forward-backward; a text's language is the one with the largest expected share of its
 words, and the score is that share.
 
-The model is fitted on a bounded sample: about TRAIN_TEXTS labelled texts of each language, of each at
-most TRAIN_WORDS words from a seeded place. Prediction reads whole texts.
+The model is fitted on a bounded sample: TRAIN_TEXTS labelled texts of each language (MOST_TEXTS in all),
+distinct ones with the least seeded draws, of each at most TRAIN_WORDS words from a seeded place; so copies of
+one text count once and no language is left out. The weight table has SLOTS rows, fewer with so many languages
+that it would pass MOST_WEIGHTS. Prediction reads whole texts.
+
+Words of a chain are those with an ASCII letter, an apostrophe or a character beyond ASCII.
 
 Defined results: null text, or one without a letter, is ``und`` with score 0; so is every text if no row
-can be learned from; rows are predicted one by one; a null lang is no label.
+can be learned from; rows are predicted one by one, repeated rows alike; a null lang is no label; of languages
+with equal shares the first by code point wins; a very long text is one chain, worked on by one task in
+memory of some dozen bytes a word and language; an empty table gives an empty result; result columns whose
+names the table already has get an underscore more.
 """
 
 from __future__ import annotations
@@ -21,20 +28,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, words_of
+from .common import fresh, table, words_of
 from .text_arrays import mixed, portions, utf8, words
 
 FOLDS = 5
 TRAIN_TEXTS, TRAIN_WORDS = 400, 150
-MOST_LANGUAGES = 500
-SLOTS = 1 << 17
+MOST_TEXTS = 8000  # training texts of all languages together
+SLOTS, MOST_WEIGHTS = 1 << 17, 1 << 24
 SEQUENCE, EPOCHS, BATCH, RATE = 48, 4, 64, 0.15
 SEED = 3
 PORTION = 1 << 19  # bytes whose features are held at a time
-CHAIN_BYTES = 1 << 23  # bytes of whole texts whose chains run side by side; a longer text runs alone
+CHAIN_BYTES = 1 << 21  # bytes of whole texts whose chains run side by side; a longer text runs alone
 UND = "und"
 
 # Bytes of words: ASCII letters and the apostrophe, and all bytes of characters beyond ASCII.
@@ -47,11 +54,16 @@ LOWER[65:91] += 32
 @dataclass
 class Model:
     languages: list[str]
-    weights: np.ndarray  # SLOTS x languages
+    weights: np.ndarray  # slots x languages
     moves: np.ndarray  # languages x languages, log scale
 
 
-def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def slots_for(languages: int) -> int:
+    """Rows of the weight table: a power of two, so that the table stays within MOST_WEIGHTS."""
+    return max(1 << 10, min(SLOTS, 1 << (MOST_WEIGHTS // max(1, languages)).bit_length() - 1))
+
+
+def features(raw: np.ndarray, offsets: np.ndarray, n_slots: int = SLOTS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(slots, word of each slot, number of the first word of each text) for words with a letter."""
     starts, ends, first = words(raw, offsets)
     n_words = len(starts)
@@ -75,13 +87,13 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
             break
         gram = gram[:m] * np.uint64(257) + x[k:]
         same = owner[:m] == owner[k:]
-        slots.append(mixed(gram[same] + np.uint64(k << 40)) % np.uint64(SLOTS))
+        slots.append(mixed(gram[same] + np.uint64(k << 40)) % np.uint64(n_slots))
         of.append(owner[:m][same])
         if k == 2:  # affixes
             begins = same & np.concatenate([[True], owner[1:m] != owner[: m - 1]])
             stops = same & np.concatenate([owner[k:][:-1] != owner[k + 1 :], [True]])
             for tag, where in ((9, begins), (10, stops)):
-                slots.append(mixed(gram[where] + np.uint64(tag << 40)) % np.uint64(SLOTS))
+                slots.append(mixed(gram[where] + np.uint64(tag << 40)) % np.uint64(n_slots))
                 of.append(owner[:m][where])
     if n:
         total = np.zeros(n_words, np.uint64)
@@ -89,7 +101,7 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         rank = np.arange(n) - np.repeat(edge, np.diff([*edge, n]))
         np.add.at(total, owner[edge], np.add.reduceat(mixed(x + (rank.astype(np.uint64) << np.uint64(9))), edge))
         have = owner[edge]
-        slots.append(mixed(total[have] + np.uint64(11 << 40)) % np.uint64(SLOTS))
+        slots.append(mixed(total[have] + np.uint64(11 << 40)) % np.uint64(n_slots))
         of.append(have)
     return np.concatenate(slots).astype(np.int64) if slots else np.zeros(0, np.int64), np.concatenate(of) if of else np.zeros(0, np.int64), first
 
@@ -152,19 +164,19 @@ def fit(texts: list[tuple[str, str]], seed: int = SEED) -> Model | None:
         return None
     rng = np.random.default_rng(seed)
     code = {lang: i for i, lang in enumerate(languages)}
+    k, n_slots = len(languages), slots_for(len(languages))
     raw, offsets = utf8(pa.array([t for t, _ in texts], pa.string()))
-    slots, of, first = features(raw, offsets)
+    slots, of, first = features(raw, offsets, n_slots)
     order = np.argsort(of, kind="stable")
     slots, of = slots[order], of[order]
     bounds = np.searchsorted(of, np.arange(first[-1] + 1))
-    k = len(languages)
     label = np.array([code[lang] for _, lang in texts])
     by_label = [np.flatnonzero((label == i) & (np.diff(first) > 0)) for i in range(k)]
     by_label = [x for x in by_label if len(x)]
     if not by_label:
         return None
-    weights, moves = np.zeros((SLOTS, k)), np.zeros((k, k))
-    seen_w, seen_m = np.full((SLOTS, k), 1e-6), np.full((k, k), 1e-6)
+    weights, moves = np.zeros((n_slots, k)), np.zeros((k, k))
+    seen_w, seen_m = np.full((n_slots, k), 1e-6), np.full((k, k), 1e-6)
     sequences = max(BATCH, int(first[-1]) // SEQUENCE)
     for _ in range(EPOCHS * sequences // BATCH):
         picked, truth = [], []
@@ -206,7 +218,7 @@ def label_words(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray]
     raw, offsets = utf8(column)
     parts, firsts, done = [], [np.zeros(1, np.int64)], 0
     for a, b in portions(offsets, PORTION):
-        slots, of, first = features(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        slots, of, first = features(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], len(model.weights))
         has = np.unique(of)  # only words with a letter stay in the chain
         place = np.searchsorted(has, of)
         parts.append(emissions(model.weights, slots, place, len(has)).astype(np.float32))
@@ -218,22 +230,23 @@ def label_words(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray]
 
 
 def training_sample(docs: DataFrame, seed: int = SEED) -> list[tuple[str, str]]:
-    """About TRAIN_TEXTS pairs (span of words, lang) of each language, by seeded draws."""
-    labelled = docs.where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    if not counts:
-        return []
-    draw = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 40)) / (1 << 40)
-    share = F.lit(0.0)
-    for row in counts:
-        share = F.when(F.col("lang") == row["lang"], min(1.0, TRAIN_TEXTS / row["count"])).otherwise(share)
-    w = F.col("w")
+    """Pairs (span of words, lang): of each language the distinct texts with the least draws, TRAIN_TEXTS or an even part of MOST_TEXTS."""
+    draw = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 40))
+    labelled = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text", draw.alias("draw"))
+    counts = labelled.groupBy("lang").agg(F.approx_count_distinct("draw").alias("texts"))
+    per_language = F.greatest(F.lit(1), F.least(F.lit(TRAIN_TEXTS), F.floor(F.lit(MOST_TEXTS) / F.count("*").over(Window.partitionBy(F.lit(0))))))
+    # Twice the texts asked for pass this filter, so that hardly ever too few are left; equal texts pass together.
+    limits = counts.select("lang", per_language.alias("most"), (2.0 * per_language / F.col("texts") * (1 << 40)).alias("limit"))
+    w = words_of(F.col("text"))
     place = F.floor(F.pmod(F.xxhash64("text", F.lit(seed + 1)), F.lit(1 << 40)) / (1 << 40) * (F.greatest(F.size(w) - TRAIN_WORDS, F.lit(0)) + 1))
     rows = (
-        labelled.where(draw < share)
-        .withColumn("w", words_of(F.col("text")))
+        labelled.join(limits, "lang")  # one row for each language: Spark broadcasts it by its size
+        .where("draw < limit")
+        .groupBy("lang", "draw", "most")
+        .agg(F.min("text").alias("text"))
+        .withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("draw")))
+        .where("place <= most")
         .select("lang", F.array_join(F.slice(w, (place + 1).cast("int"), TRAIN_WORDS), " ").alias("span"))
-        .limit(2 * TRAIN_TEXTS * len(counts))
         .collect()
     )
     return sorted((r["span"], r["lang"]) for r in rows)
@@ -244,10 +257,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
-    """All columns of ``docs`` with ``_lang`` and ``_score``; only ``text`` is read for them."""
+    """All columns of ``docs`` with ``_lang`` and ``_score`` behind them; only ``text`` is read for them."""
+    lang_name, score_name, letter_name = fresh(docs.columns, "_lang", "_score", "_letter")
     if model is None:
-        return docs.withColumns({"_lang": F.lit(UND), "_score": F.lit(0.0)})
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS x languages floats: 2 MB for four languages
+        return docs.select("*", F.lit(UND).alias(lang_name), F.lit(0.0).alias(score_name))
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 MB for four languages, 64 MB at most
     names = docs.columns
     at = names.index("text")
 
@@ -267,11 +281,11 @@ def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
             known = (counts > 0) & batch.column(len(names)).to_numpy(zero_copy_only=False)
             lang = [model.languages[b] if ok else UND for b, ok in zip(best, known)]
             score = np.where(known, np.clip(share[np.arange(len(best)), best], 0, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(lang), pa.array(score)], [*names, "_lang", "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(lang), pa.array(score)], [*names, lang_name, score_name])
 
-    schema = docs.select("*", F.lit("").alias("_lang"), F.lit(0.0).alias("_score")).schema
+    schema = docs.select("*", F.lit("").alias(lang_name), F.lit(0.0).alias(score_name)).schema
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.select("*", letter.alias("_letter")).mapInArrow(run, schema)
+    return docs.select("*", letter.alias(letter_name)).mapInArrow(run, schema)
 
 
 def language_model(docs: DataFrame, seed: int = SEED) -> Model | None:

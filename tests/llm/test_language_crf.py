@@ -4,7 +4,13 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from termlake.llm.language_crf import UND, fit, forward_backward, held_out, label_words, language_model, op1_language_crf, predicted
+from pyspark.sql.functions import lit
+
+from termlake.llm import language_crf
+from termlake.llm.language_crf import (
+    UND, emissions, features, fit, forward_backward, held_out, label_words, language_model, op1_language_crf, predicted, training_sample,
+)
+from termlake.llm.text_arrays import utf8
 
 from .helpers import DATA, docs
 
@@ -75,3 +81,53 @@ def test_nothing_to_learn_from(spark):
     assert {r._lang for r in predicted(frame, None).collect()} == {UND}
     assert frame.where(held_out(frame.doc_id)).count() <= 2
     assert predicted(frame.where("false"), None).count() == 0
+
+
+def test_copies_crowd_out_no_language(spark):
+    rows = [(i, "der eine text mit sehr vielen kopien", "de") for i in range(100_000)] + [(200_000 + i, f"this is text number {i} of few", "en") for i in range(30)]
+    rows += [(300_000 + i, f"und noch ein text {i} ohne kopie", "de") for i in range(50)]
+    sample = training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sum(lang == "en" for _, lang in sample) == 30
+    assert sum(lang == "de" for _, lang in sample) == 51
+    assert len(set(sample)) == len(sample)
+
+
+def test_six_hundred_languages(spark):
+    syllables = [a + b for a in "bdfgklmnprstvz" for b in "aeiou"]
+    rng = np.random.default_rng(5)
+    words = {f"l{i:03}": ["".join(rng.choice(syllables, 3)) for _ in range(6)] for i in range(600)}
+    rows = [(i * 10 + k, " ".join(rng.choice(words[lang], 8)), lang) for i, lang in enumerate(words) for k in range(5)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_model(frame)
+    assert len(model.languages) == 600 and model.weights.size <= language_crf.MOST_WEIGHTS
+    asked = spark.createDataFrame([(lang, " ".join(words[lang])) for lang in list(words)[::10]], "truth string, text string")
+    got = predicted(asked, model).collect()
+    assert len({r._lang for r in got}) > 50
+    assert sum(r._lang == r.truth for r in got) / len(got) > 0.9
+
+
+def test_predictions_equal_the_most_likely_labels(spark, model):
+    """The query's language and score against chances summed over all paths of short texts, one text at a time."""
+    import itertools
+
+    texts = ["the of", "der und los", "que", "le la x9 mit"]
+    got = [(r._lang, r._score) for r in predicted(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1), model).collect()]
+    k = len(model.languages)
+    for text, (lang, score) in zip(texts, got):
+        raw, offsets = utf8(pa.array([text]))
+        slots, of, first = features(raw, offsets)
+        scores = emissions(model.weights, slots, of, int(first[-1]))
+        share, total = np.zeros(k), 0.0
+        for path in itertools.product(range(k), repeat=len(scores)):
+            p = np.exp(sum(scores[i, y] for i, y in enumerate(path)) + sum(model.moves[x, y] for x, y in zip(path, path[1:])))
+            total += p
+            share += p * np.bincount(path, minlength=k)
+        share /= total * len(scores)
+        assert lang == model.languages[int(share.argmax())] and abs(score - share.max()) < 1e-4
+
+
+def test_names_that_clash(spark, model):
+    frame = docs(spark, [(1, "the of and the with is"), (2, None)]).withColumns({c: lit(5) for c in ("_lang", "_score", "_letter")})
+    for rows in (predicted(frame, model), predicted(frame, None)):
+        assert rows.columns == [*frame.columns, "_lang_", "_score_"]
+        assert all((r._lang, r._score, r._letter) == (5, 5, 5) for r in rows.collect())
