@@ -59,15 +59,41 @@ def test_edge_rows_in_any_number_of_batches(spark, batches):
         assert (r.n_lines, r.n_dropped, r.kept_text) in {want[r.doc_id, t] for t in texts[r.doc_id]}
 
 
+LINES = "doc long, th long, at int, h1 long, h2 long"
+
+
+def test_rows_without_an_id_are_documents_of_their_own(spark):
+    own = [(None, f"line that {i} rows without an id hold\nline of text {i} alone") for i in (1, 1, 2)] + [(None, "line of text 2 alone\nand more of it"), ((1 << 63) - 1, "and more of it")]
+    rows = line_dedup(docs(spark, own), 2).collect()
+    kept = [r.kept_text for r in rows if r.doc_id is None]
+    assert sum(k.count("line of text 1 alone") for k in kept) == 2  # equal texts are one document
+    assert sum(k.count("line of text 2 alone") for k in kept) == 1
+    assert sum(k.count("and more of it") for k in kept) == 0
+
+
+def test_many_lines_in_one_document(spark):
+    text = "\n".join(f"line number {i % 90_000}" for i in range(100_000))
+    rows = {r.doc_id: r for r in line_dedup(docs(spark, [(1, text), (2, text + "\nand one more line")])).collect()}
+    assert (rows[1].n_dropped, rows[2].n_dropped, rows[2].kept_text) == (0, 100_000, "and one more line")
+
+
+def test_no_table_stays_behind(spark, monkeypatch):
+    before = {t.name for t in spark.catalog.listTables()}
+    monkeypatch.setattr(LineRuns, "_compact", lambda self: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        line_dedup(docs(spark, EDGE))
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_runs_are_levelled(spark):
     runs = LineRuns(spark, buckets=2)
     for i in range(5):
-        batch = spark.createDataFrame([(i, i * 10 + k, 0) for k in range(3)], "doc long, h1 long, h2 long")
+        batch = spark.createDataFrame([(i, 1, k, i * 10 + k, 0) for k in range(3)], LINES)
         assert runs.add(batch, 1000).count() == 0
         assert all(len(level) < FANOUT for level in runs.levels)
-    again = spark.createDataFrame([(9, 0, 0), (9, 99, 0)], "doc long, h1 long, h2 long")
-    assert [(r.doc, r.h1) for r in runs.add(again, 1000).collect()] == [(9, 0)]
-    assert sum(spark.table(name).count() for level in runs.levels for name, _ in level) == 16
+    again = spark.createDataFrame([(9, 1, 4, 0, 0), (9, 1, 5, 99, 0), (9, 1, 6, 0, 7)], LINES)
+    assert [(r.doc, r.at) for r in runs.add(again, 1000).collect()] == [(9, 4)]
+    assert sum(spark.table(name).count() for level in runs.levels for name, _ in level) == 17
     runs.close()
 
 
