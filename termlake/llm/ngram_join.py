@@ -2,13 +2,19 @@
 
 Equal texts form a class first; from then on a class is one row. Bands and rows follow from the target
 recall at the threshold. Classes shuffle on band hashes; a bucket whose members equal another bucket's
-is dropped, a large bucket is cut into blocks, and each pair of blocks is one bounded task group that
-compares shingle sets. A pair counts in the first band it shares, so once. Groups return for each class
-its number of links and one edge of a spanning forest: rows grow with members, never with pairs.
+is dropped. A bucket of one block compares the shingle sets of its texts in one task group. A larger one
+is cut into blocks; its texts go once to their block, where each is set against the bucket's least
+member, and from then on a text is the shingles it lacks and has besides that member: near copies are a
+few numbers. Each pair of blocks is one bounded task group that compares such differences, which give
+the full sets' intersection exactly. A pair counts in the first band it shares, so once. Groups return
+for each class its number of links and one edge of a spanning forest: rows grow with members, never with
+pairs.
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+``; a text of fewer than five has one shingle; null counts as the
 empty text, and texts without words link only to equal ones; rows equal in text share class and links;
-a null doc_id gives way to any other as class id. Sets are compared by 64-bit shingle hashes.
+a null doc_id gives way to any other as class id; a very long text is one set, held by the task of its group
+(blocks are cut by shingles too); an empty table gives an empty result; other columns are kept or ignored
+whatever their names. Sets are compared by 64-bit shingle hashes.
 """
 
 from __future__ import annotations
@@ -21,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_path, persisted, table
+from .common import drop_path, fresh, persisted, table
 from .components import components
 from .text_arrays import mixed, portions, shingle_hashes, utf8
 
@@ -29,7 +35,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 RECALL = 0.99999
 MOST_HASHES = 96
-BLOCK_ROWS, BLOCK_SHINGLES = 512, 2_000_000
+BLOCK_ROWS, BLOCK_SHINGLES = 128, 2_000_000
 PORTION = 1 << 18
 
 
@@ -82,91 +88,173 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key(F.col("text")).alias("key"), "text").mapInArrow(sketch, schema)
 
 
-def compared(groups: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS) -> DataFrame:
-    """key, links and root of every class linked in a block pair. ``groups``: h, pi, pj, blk, key, bands, text, sorted by group."""
-
-    def one(h: int, crossed: bool, blk: np.ndarray, keys: list, marks: np.ndarray, texts: pa.Array) -> tuple[list, list, list]:
-        raw, offsets = utf8(texts)
-        sets = []
-        for a, b in portions(offsets, PORTION):
-            x, first = shingle_hashes(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], SHINGLE)
-            sets += [np.unique(x[first[i] : first[i + 1]]) for i in range(b - a)]
-        m, sizes = len(sets), np.array([len(s) for s in sets])
-        owner = np.repeat(np.arange(m), sizes)
-        values = np.concatenate(sets)
-        order = np.argsort(values, kind="stable")
-        values, owner = values[order], owner[order]
-        new = np.concatenate([[True], values[1:] != values[:-1]])
-        group = np.cumsum(new) - 1
-        shared = np.bincount(group)[group] > 1
-        owner, group = owner[shared], np.unique(group[shared], return_inverse=True)[1]
-        common = np.zeros((m, m), np.float32)
-        for c in range(0, int(group.max()) + 1 if len(group) else 0, 4096):
-            here = (group >= c) & (group < c + 4096)
-            has = np.zeros((m, 4096), np.float32)
-            has[owner[here], group[here] - c] = 1
-            common += has @ has.T
-        link = common >= threshold * (sizes[:, None] + sizes[None, :] - common) - 1e-6
-        np.fill_diagonal(link, False)
-        if crossed:
-            link &= blk[:, None] != blk[None, :]
-        for k in range(h >> 58):  # counted in an earlier band
-            link &= marks[:, k, None] != marks[None, :, k]
-        root = np.arange(m)
-        while True:  # the least member that each one reaches
-            least = np.where(link, root[None, :], m).min(1)
-            step = np.minimum(root, least)
-            step = np.minimum(step, step[step])
-            if (step == root).all():
-                break
-            root = step
-        some = np.flatnonzero(link.any(1))
-        return [keys[i] for i in some], link.sum(1)[some].tolist(), [keys[root[i]] for i in some]
+def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
+    raw, offsets = utf8(texts)
+    sets = []
+    for a, b in portions(offsets, PORTION):
+        x, first = shingle_hashes(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], SHINGLE)
+        sets += [np.unique(x[first[i] : first[i + 1]]) for i in range(b - a)]
+    return sets
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many values each two sets share."""
+    m = len(sets)
+    common = np.zeros((m, m), np.float32)
+    owner = np.repeat(np.arange(m), [len(s) for s in sets])
+    values = np.concatenate(sets)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    group = np.cumsum(np.concatenate([[True], values[1:] != values[:-1]])[: len(values)]) - 1
+    shared = np.bincount(group)[group] > 1 if len(group) else np.zeros(0, bool)
+    owner, group = owner[shared], np.unique(group[shared], return_inverse=True)[1]
+    for c in range(0, int(group.max()) + 1 if len(group) else 0, 4096):
+        here = (group >= c) & (group < c + 4096)
+        has = np.zeros((m, 4096), np.float32)
+        has[owner[here], group[here] - c] = 1
+        common += has @ has.T
+    return common
+
+
+def linked(h: int, common: np.ndarray, sizes: np.ndarray, blk: np.ndarray | None, marks: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each member, and the least member that it reaches by links. ``blk`` keeps to pairs of two blocks."""
+    m = len(sizes)
+    link = common >= threshold * (sizes[:, None] + sizes[None, :] - common) - 1e-6
+    np.fill_diagonal(link, False)
+    if blk is not None:
+        link &= blk[:, None] != blk[None, :]
+    for k in range(h >> 58):  # counted in an earlier band
+        link &= marks[:, k, None] != marks[None, :, k]
+    root = np.arange(m)
+    while True:
+        least = np.where(link, root[None, :], m).min(1)
+        step = np.minimum(root, least)
+        step = np.minimum(step, step[step])
+        if (step == root).all():
+            return link.sum(1), root
+        root = step
+
+
+def by_group(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
+    """Tables of whole groups, of rows that come sorted by ``names``: a group may go on in the next batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        same = np.ones(batch.num_rows, bool)
+        for c in names:
+            x = batch.column(batch.schema.get_field_index(c)).to_numpy()
+            same &= x == x[-1]
+        tail = batch.num_rows - int(same[::-1].argmin()) if not same.all() else 0
+        if tail:
+            yield pa.Table.from_batches([*held, batch.slice(0, tail)])
+            held = []
+        elif held and any(held[-1].column(c)[-1] != batch.column(c)[0] for c in names):
+            yield pa.Table.from_batches(held)
+            held = []
+        held.append(batch.slice(tail))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def groups_of(rows: pa.Table, names: list[str]) -> list[tuple[int, int]]:
+    new = np.zeros(max(0, len(rows) - 1), bool)
+    for c in names:
+        new |= np.diff(rows.column(c).to_numpy()) != 0
+    cuts = [0, *(np.flatnonzero(new) + 1).tolist(), len(rows)]
+    return list(zip(cuts, cuts[1:]))
+
+
+LINKS = "key string, links bigint, root string"
+
+
+def _links(found: list[tuple[list[str], np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """One row for each linked member of the groups ``found``: keys, links and roots."""
+    keys, links, roots = [], [], []
+    for names, n, root in found:
+        some = np.flatnonzero(n)
+        keys += [names[i] for i in some]
+        links += n[some].tolist()
+        roots += [names[root[i]] for i in some]
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(links, pa.int64()), pa.array(roots, pa.string())], ["key", "links", "root"])
+
+
+def compared_texts(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Links of buckets of one block. ``rows``: h, key, bands, text, sorted by h."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def flush(rows: pa.Table) -> pa.RecordBatch:
-            out: tuple[list, list, list] = ([], [], [])
-            ids = [rows.column(c).to_numpy() for c in ("h", "pi", "pj")]
-            cuts = [0, *(np.flatnonzero((np.diff(ids[0]) != 0) | (np.diff(ids[1]) != 0) | (np.diff(ids[2]) != 0)) + 1).tolist(), len(rows)]
-            blk = rows.column("blk").to_numpy()
-            keys, texts = rows.column("key").to_pylist(), rows.column("text").combine_chunks()
-            marks = np.stack(rows.column("bands").to_numpy()) if len(rows) else np.zeros((0, bands), np.int64)
-            for a, b in zip(cuts, cuts[1:]):
+        for part in by_group(batches, ["h"]):
+            h, keys, texts = part.column("h").to_numpy(), part.column("key").to_pylist(), part.column("text").combine_chunks()
+            marks, found = np.stack(part.column("bands").to_numpy()), []
+            for a, b in groups_of(part, ["h"]):
                 if b - a > 1:
-                    found = one(int(ids[0][a]), ids[1][a] != ids[2][a], blk[a:b], keys[a:b], marks[a:b], texts.slice(a, b - a))
-                    for x, y in zip(out, found):
-                        x.extend(y)
-            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], ["key", "links", "root"])
+                    sets = shingle_sets(texts.slice(a, b - a))
+                    sizes = np.array([len(s) for s in sets])
+                    found.append((keys[a:b], *linked(int(h[a]), shared_counts(sets), sizes, None, marks[a:b], threshold)))
+            yield _links(found)
 
+    return rows.mapInArrow(run, LINKS)
+
+
+DIFFERENCES = "h bigint, blk int, nb int, key string, bands array<bigint>, whole int, lacks binary, has binary"
+
+
+def differences(rows: DataFrame) -> DataFrame:
+    """Members of larger buckets against their bucket's least member, the first row (``lead``) of each (h, blk) group.
+
+    ``whole`` is the number of the least member's shingles, ``lacks`` and ``has`` are the hashes that tell the two apart.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, base = None, np.zeros(0, np.uint64)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            # A group may go on in the next batch: hold back the rows of the last one.
-            same = np.ones(batch.num_rows, bool)
-            for c in ("h", "pi", "pj"):
-                x = batch.column(batch.schema.get_field_index(c)).to_numpy()
-                same &= x == x[-1]
-            tail = batch.num_rows - int(same[::-1].argmin()) if not same.all() else 0
-            if tail:
-                yield flush(pa.Table.from_batches([*held, batch.slice(0, tail)]))
-                held = []
-            elif held and any(held[-1].column(i)[-1] != batch.column(i)[0] for i in range(3)):
-                yield flush(pa.Table.from_batches(held))
-                held = []
-            held.append(batch.slice(tail))
-        if held:
-            yield flush(pa.Table.from_batches(held))
-
-    return groups.mapInArrow(run, "key string, links bigint, root string")
+            h, blk, lead = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "blk", "lead"))
+            texts = batch.column(batch.schema.get_field_index("text"))
+            lacks, has, whole = [], [], []
+            for at in range(0, batch.num_rows, 256):  # sets of so many texts are held at a time
+                for i, x in enumerate(shingle_sets(texts.slice(at, 256)), at):
+                    if (h[i], blk[i]) != now:
+                        assert lead[i]
+                        now, base = (h[i], blk[i]), x
+                    lacks.append(np.setdiff1d(base, x, True).tobytes())
+                    has.append(np.setdiff1d(x, base, True).tobytes())
+                    whole.append(len(base))
+            kept = [batch.column(c) for c in ("h", "blk", "nb", "key", "bands")]
+            out = pa.RecordBatch.from_arrays([*kept, pa.array(whole, pa.int32()), pa.array(lacks, pa.binary()), pa.array(has, pa.binary())], DIFFERENCE_NAMES)
+            yield out.filter(pa.array(~lead))
+
+    return rows.mapInArrow(run, DIFFERENCES)
+
+
+DIFFERENCE_NAMES = [c.split()[0] for c in DIFFERENCES.split(", ")]
+
+
+def compared_blocks(pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Links of pairs of blocks. ``pairs``: h, pi, pj and the columns of ``differences``, sorted by (h, pi, pj)."""
+    group = ["h", "pi", "pj"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in by_group(batches, group):
+            h, pi, pj, blk, whole = (part.column(c).to_numpy() for c in (*group, "blk", "whole"))
+            keys, marks = part.column("key").to_pylist(), np.stack(part.column("bands").to_numpy())
+            lacks, has = ([np.frombuffer(x, np.uint64) for x in part.column(c).to_pylist()] for c in ("lacks", "has"))
+            found = []
+            for a, b in groups_of(part, group):
+                less, more = np.array([len(x) for x in lacks[a:b]]), np.array([len(x) for x in has[a:b]])
+                common = whole[a] - less[:, None] - less[None, :] + shared_counts(lacks[a:b]) + shared_counts(has[a:b])
+                sizes = whole[a] - less + more
+                found.append((keys[a:b], *linked(int(h[a]), common, sizes, blk[a:b] if pi[a] != pj[a] else None, marks[a:b], threshold)))
+            yield _links(found)
+
+    return pairs.mapInArrow(run, LINKS)
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Two tables: the rows' doc_id and key; and each key's label (of its group), least doc_id, copies and links."""
-    sketched, sketch_path = persisted(sketches(docs), "sketches")
+    sketched, _ = persisted(sketches(docs), "sketches")
     names = [f"b{i}" for i in range(BANDS)]
-    classes, _ = persisted(
+    classes, classes_path = persisted(
         sketched.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.max("n").alias("n"), *[F.max(c).alias(c) for c in names]),
         "text-classes",
     )
@@ -188,17 +276,26 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFra
         .groupBy("key")
         .agg(F.first("bands").alias("bands"), F.first("text").alias("text"))  # rows with the same doc_id and text
     )
+    small = rows.where("nb = 1").select("h", "key").join(texts, "key").select("h", "key", "bands", "text").repartition("h").sortWithinPartitions("h", "key")
+    leads = (  # the least member goes to every block of its bucket
+        rows.where("nb > 1").groupBy("h", "nb").agg(F.min("key").alias("key"))
+        .select("key", "h", "nb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("blk"), F.lit(True).alias("lead"))
+    )
+    placed = rows.where("nb > 1").select("key", "h", "nb", "blk", F.lit(False).alias("lead")).unionByName(leads)
+    apart, apart_path = persisted(
+        differences(placed.join(texts, "key").select("h", "blk", "nb", "lead", "key", "bands", "text").repartition("h", "blk").sortWithinPartitions("h", "blk", F.desc("lead"), "key")),
+        "bucket-differences",
+    )
     other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other")
-    groups = (
-        rows.select("key", "h", "blk", other)
-        .select("key", "h", "blk", F.least("blk", "other").alias("pi"), F.greatest("blk", "other").alias("pj"))
-        .join(texts, "key")
-        .select("h", "pi", "pj", "blk", "key", "bands", "text")
+    pairs = (
+        apart.select("*", other)
+        .select("h", F.least("blk", "other").alias("pi"), F.greatest("blk", "other").alias("pj"), "blk", "key", "bands", "whole", "lacks", "has")
         .repartition("h", "pi", "pj")
         .sortWithinPartitions("h", "pi", "pj", "blk", "key")
     )
-    links, _ = persisted(compared(groups, threshold), "near-links")
-    drop_path(docs.sparkSession, rows_path)
+    links, links_path = persisted(compared_texts(small, threshold).unionByName(compared_blocks(pairs, threshold)).groupBy("key", "root").agg(F.sum("links").alias("links")), "near-links")
+    for path in (rows_path, apart_path):
+        drop_path(docs.sparkSession, path)
     labels = components(links.where("key <> root").select(F.col("key").alias("u"), F.col("root").alias("v")))
     per_key = (
         classes.select("key", "rep", "n_copies")
@@ -206,7 +303,10 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFra
         .join(labels.withColumnRenamed("node", "key"), "key", "left")
         .select("key", F.coalesce("label", "key").alias("label"), "rep", "n_copies", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
     )
-    return sketched.select("doc_id", "key"), persisted(per_key, "near-classes")[0]
+    out = persisted(per_key, "near-classes")[0]
+    for path in (classes_path, links_path):
+        drop_path(docs.sparkSession, path)
+    return sketched.select("doc_id", "key"), out
 
 
 def ngram_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -220,12 +320,11 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row of ``docs`` for each group, that of the least doc_id, with all columns."""
     _, per_key = near_classes(docs, threshold)
+    own, key, rep = fresh(docs.columns, "_own", "_key", "_rep")
     first = F.struct(F.col("rep").isNull(), F.col("rep"), F.col("key"))
-    kept = per_key.groupBy("label").agg(F.min_by(F.struct("key", "rep"), first).alias("_k")).select(F.col("_k.key").alias("_key"), F.col("_k.rep").alias("_rep"))
-    chosen = docs.withColumn("_own", text_key(F.col("text"))).join(
-        kept, (F.col("_own") == F.col("_key")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("_rep"))
-    )
-    return chosen.dropDuplicates(["_key"]).select(*docs.columns)
+    kept = per_key.groupBy("label").agg(F.min_by(F.struct("key", "rep"), first).alias("k")).select(F.col("k.key").alias(key), F.col("k.rep").alias(rep))
+    chosen = docs.withColumn(own, text_key(F.col("text"))).join(kept, (F.col(own) == F.col(key)) & F.col("doc_id").cast("bigint").eqNullSafe(F.col(rep)))
+    return chosen.dropDuplicates([key]).select(*docs.columns)
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

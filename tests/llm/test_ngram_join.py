@@ -1,6 +1,8 @@
 import collections
 import random
 
+from pyspark.sql.functions import lit
+
 from termlake.llm.ngram_join import BANDS, ROWS, THRESHOLD, choose_bands, ngram_join, one_of_each, op5_ngram_join
 
 from .helpers import SF, docs
@@ -74,6 +76,24 @@ def test_large_group_in_blocks(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_large_group_of_unlike_sizes(spark, monkeypatch):
+    """Blocks whose least member is unlike many others: parts and extensions of one text beside its near copies."""
+    monkeypatch.setattr("termlake.llm.ngram_join.BLOCK_ROWS", 8)
+    rows = near_group(60, seed=9)
+    base = rows[0][1].split()
+    rows += [(2000 + i, " ".join(base[: 100 - i])) for i in range(20)] + [(3000 + i, " ".join(base + [f"y{k}" for k in range(i)])) for i in range(30)]
+    got = {r.doc_id: (r.class_id, r.n_copies, r.n_links) for r in ngram_join(docs(spark, rows)).collect()}
+    assert got == brute(rows)
+
+
+def test_names_that_clash(spark):
+    frame = docs(spark, EDGE).withColumns({c: lit(5) for c in ("_own", "_key", "_rep", "key", "label", "rep", "h", "text_")})
+    kept = one_of_each(frame)
+    assert kept.columns == frame.columns
+    rows = kept.collect()
+    assert sorted(r.doc_id for r in rows) == [1, 3, 4, 7, 8, 9, 10] and all((r._own, r._key, r._rep, r.label) == (5, 5, 5, 5) for r in rows)
+
+
 EDGE = [
     (1, None), (2, ""), (3, " \n"), (4, "one two"), (5, "one two"), (6, "one  two"), (7, "a b c d e"),
     (None, "hot text of many copies here"), (8, "hot text of many copies here"), (8, "hot text of many copies here"),
