@@ -63,11 +63,11 @@ def intermediates(spark: SparkSession) -> Iterator[None]:
             drop_path(spark, path)
 
 
-def persisted(df: DataFrame, label: str, **options: str) -> tuple[DataFrame, str]:
-    """Write ``df`` as a table in the shared folder and read it back; lineage ends there."""
+def persisted(df: DataFrame, label: str, kept: bool = False, **options: str) -> tuple[DataFrame, str]:
+    """Write ``df`` as a table in the shared folder and read it back; lineage ends there. ``kept``: outlives ``intermediates``."""
     spark = df.sparkSession
     path = shared_dir(spark, label)
-    if _SCOPES:
+    if _SCOPES and not kept:
         _SCOPES[-1].append(path)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path

@@ -56,3 +56,28 @@ def test_run(spark):
     assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
     assert out.count() > 0
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_stages_keep_columns_whose_names_clash(spark):
+    from pyspark.sql.functions import lit
+
+    taken = ["_lang", "_score", "_letter", "_own", "_key", "_rep", "_bad_id", "_bad_th", "_size", "_draw", "_target", "_repeats", "_source", "_copy"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 40").withColumns({n: lit(-7) for n in taken}).repartition(2).cache()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[n] == -7 for r in rows for n in taken), name
+
+
+def test_run_leaves_only_token_files(spark):
+    import os
+
+    from termlake.llm.token_files import files_of
+
+    base = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(base))
+    out = corpus_pipeline.run(spark, SF)
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(base)) - before}
+    assert "token-files" in left and not any(x.startswith("pipeline") or x in ("sketches", "mix-sizes", "bench-windows", "near-classes") for x in left)
+    assert files_of(out).startswith("file:") and base in files_of(out) and out.count() > 0
