@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from .common import drop_path, persisted
 
 
+PART_ROWS, LEAST_PARTS = 100_000, 8  # edges of a partition when a round is written; its count is known
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Link the neighbours of every node (the larger ones, or the smaller ones and itself) to its least neighbour."""
     if large:
@@ -32,7 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     before = state(now)
     while before[0]:
-        new, new_path = persisted(_star(_star(now, True), False), "edges")
+        parts = max(LEAST_PARTS, before[0] // PART_ROWS)
+        new, new_path = persisted(_star(_star(now, True), False).coalesce(parts), "edges")
         after = state(new)
         drop_path(now.sparkSession, path)
         now, path = new, new_path

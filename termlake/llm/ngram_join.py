@@ -282,9 +282,8 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFra
         .select("key", "h", "nb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("blk"), F.lit(True).alias("lead"))
     )
     placed = rows.where("nb > 1").select("key", "h", "nb", "blk", F.lit(False).alias("lead")).unionByName(leads)
-    apart, apart_path = persisted(
-        differences(placed.join(texts, "key").select("h", "blk", "nb", "lead", "key", "bands", "text").repartition("h", "blk").sortWithinPartitions("h", "blk", F.desc("lead"), "key")),
-        "bucket-differences",
+    apart = differences(
+        placed.join(texts, "key").select("h", "blk", "nb", "lead", "key", "bands", "text").repartition("h", "blk").sortWithinPartitions("h", "blk", F.desc("lead"), "key")
     )
     other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other")
     pairs = (
@@ -294,8 +293,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFra
         .sortWithinPartitions("h", "pi", "pj", "blk", "key")
     )
     links, links_path = persisted(compared_texts(small, threshold).unionByName(compared_blocks(pairs, threshold)).groupBy("key", "root").agg(F.sum("links").alias("links")), "near-links")
-    for path in (rows_path, apart_path):
-        drop_path(docs.sparkSession, path)
+    drop_path(docs.sparkSession, rows_path)
     labels = components(links.where("key <> root").select(F.col("key").alias("u"), F.col("root").alias("v")))
     per_key = (
         classes.select("key", "rep", "n_copies")
