@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from termlake.operators import browse, coverage, evals, facets, gates, headers, hierarchy, resolve, retrieval, rollup, upsert
-from termlake.operators.spans import SourceIndex, locate_spans
+from termlake.operators.spans import locate_spans, locator
 from termlake.plans.compile import InvalidSelection, compile_selection, governed
 from termlake.plans.model import MEASURES, Cubes, Selection
 
@@ -155,12 +155,12 @@ SOURCE = "Section 1.  The quick brown fox\njumps over the lazy dog. ---- page --
 
 
 def test_spans(spark):
-    plain = SourceIndex(SOURCE).locate("The quick brown fox jumps over the lazy dog. (Page 3)")
+    plain = locator(SOURCE)("The quick brown fox jumps over the lazy dog. (Page 3)")
     assert SOURCE[plain[0] : plain[1]] == "The quick brown fox\njumps over the lazy dog."
-    both = SourceIndex(SOURCE).locate("The quick brown fox jumps<omitted>Pack my box with five dozen")
+    both = locator(SOURCE)("The quick brown fox jumps<omitted>Pack my box with five dozen")
     assert SOURCE[both[0] : both[1]].startswith("The quick") and SOURCE[both[0] : both[1]].endswith("dozen")
-    assert SourceIndex(SOURCE).locate("something that is not in the text at all") is None
-    assert SourceIndex("").locate("something that is not in the text at all") is None
+    assert locator(SOURCE)("something that is not in the text at all") is None
+    assert locator("")("something that is not in the text at all") is None
     excerpts = spark.createDataFrame([(1, 7, "The quick brown fox jumps over"), (2, 7, "absent from the source text"), (3, 8, "no such document at all here")], "id long, doc_id long, excerpt string")
     got = {r.id: (r.span_start, r.span_end) for r in locate_spans(excerpts, spark.createDataFrame([(7, SOURCE)], "doc_id long, text string")).collect()}
     assert got == {1: (12, 42), 2: (None, None), 3: (None, None)}
