@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 MOST_PAGE = 500
 MOST_EXPORT = 50_000
+MOST_LINES = 1000
 
 
 class UnknownColumn(ValueError):
@@ -42,6 +43,25 @@ def page(df: DataFrame, key: str, sort: str | None = None, direction: str = "asc
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def page_of(df: DataFrame, key: str, sort: str | None = None, direction: str = "asc", limit: int = 50, offset: int = 0) -> DataFrame:
+    """A page with the number of all rows of the filtered set beside each row."""
+    return page(df, key, sort, direction, limit, offset).crossJoin(F.broadcast(df.agg(F.count("*").alias("total"))))
+
+
+def lookup(df: DataFrame, key: str, asked: DataFrame) -> DataFrame:
+    """One row for each asked key, with ``found``: the row of ``df`` with this key, or NULLs where there is none."""
+    wanted = asked.select(F.col(asked.columns[0]).alias("asked")).distinct()
+    rows = df.withColumn("found", F.lit(True))
+    return wanted.join(rows, F.col("asked") == known(df, key), "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def iso_text(df: DataFrame) -> DataFrame:
+    """Dates and timestamps as ISO-8601 text; other columns stay."""
+    moment = "yyyy-MM-dd'T'HH:mm:ss"
+    forms = {"date": "yyyy-MM-dd", "timestamp": moment, "timestamp_ntz": moment}
+    return df.select(*[F.date_format(f"`{c}`", forms[t]).alias(c) if t in forms else F.col(f"`{c}`") for c, t in df.dtypes])
+
+
 def export_csv(df: DataFrame, path: str, key: str, sort: str | None = None, direction: str = "asc", most: int = MOST_EXPORT) -> bool:
     """Write the ordered rows as CSV with a header, ``most`` at most; returns whether rows were left out."""
     c = known(df, sort or key)
@@ -52,6 +72,8 @@ def export_csv(df: DataFrame, path: str, key: str, sort: str | None = None, dire
 
 def log_search(lines: DataFrame, level: str | None = None, text: str | None = None, limit: int = 100, offset: int = 0, order: str = "line_no") -> DataFrame:
     """Matching lines, oldest first: level by equality, text case-sensitive in the line's JSON; with the number of all matches."""
+    if not 1 <= limit <= MOST_LINES:
+        raise ValueError(f"limit must be 1 to {MOST_LINES}")
     found = lines
     if level:
         found = found.where(F.col("level") == level)

@@ -69,19 +69,35 @@ def saturated(metrics: DataFrame, template: str, least: float = 0.999) -> DataFr
 def systematic_sample(rows: DataFrame, order: str, want: int = 30, ranges: int = 200) -> DataFrame:
     """Every step-th row by the numeric column ``order``, ``want`` at most; the step comes from the counted rows.
 
-    Rows are numbered within value ranges, whose counts (``ranges`` rows) give the offsets, so no task sorts all rows.
+    Equal values are ordered by all columns, NULLs come last. Rows are numbered within value ranges, whose counts
+    (``ranges`` rows) give the offsets, so no task sorts all rows unless one value holds them all.
     """
     step = max(1, rows.count() // want)
     cuts = rows.agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or []
     number = F.lit(0)
     for cut in sorted(set(cuts)):
-        number = number + (F.col(order) > cut).cast("int")
-    placed = rows.select(order).withColumn("range", number)
-    before = F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = placed.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(before, F.lit(0)).alias("before"))
-    numbered = placed.withColumn("rn", F.row_number().over(Window.partitionBy("range").orderBy(order))).join(F.broadcast(offsets), "range")
-    place = F.col("before") + F.col("rn") - 1
-    return rows.join(numbered.where((place % step == 0) & (place < step * want)).select(order), order, "left_semi")
+        number = number + F.coalesce(F.col(order) > cut, F.lit(True)).cast("int")
+    placed = rows.withColumn("_range", number)
+    running = F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = placed.groupBy("_range").agg(F.count("*").alias("n")).select("_range", F.coalesce(running, F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_range").orderBy(F.col(order).asc_nulls_last(), F.xxhash64(*rows.columns))
+    numbered = placed.withColumn("_rn", F.row_number().over(inside)).join(F.broadcast(offsets), "_range")
+    place = F.col("_before") + F.col("_rn") - 1
+    return numbered.where((place % step == 0) & (place < step * want)).select(*rows.columns)
+
+
+def allowed_answers(facts: DataFrame) -> DataFrame:
+    """The distinct answers of each attribute, sorted: what a label may be."""
+    distinct = facts.where("position IS NOT NULL").select("deal_point_name", "position").distinct()
+    return distinct.groupBy("deal_point_name").agg(F.array_sort(F.collect_set("position")).alias("answers"))
+
+
+def ingest_statistics(facts: DataFrame) -> DataFrame:
+    """One row on a load: facts, those with a place and without, those with a number, distinct names and entities."""
+    return facts.agg(
+        F.count("*").alias("n"), F.count("span_start").alias("located"), F.count_if(F.col("span_start").isNull()).alias("unlocated"),
+        F.count("numeric_value").alias("with_number"), F.count_distinct("deal_point_name").alias("names"), F.count_distinct("matter_id").alias("entities"),
+    )
 
 
 def holdout_by_hash(rows: DataFrame, key: str, want: int = 20) -> DataFrame:

@@ -73,6 +73,38 @@ def embedded(texts: DataFrame, archive: DataFrame) -> DataFrame:
     return keyed.join(archive, "content_key", "left").withColumn("missing", F.col("embedding").isNull())
 
 
+class MissingVectors(LookupError):
+    """Texts without an archived vector; no model is called here."""
+
+
+def require_embedded(texts: DataFrame, archive: DataFrame) -> DataFrame:
+    """As ``embedded``; raises with counts if any text has no vector."""
+    out = embedded(texts, archive)
+    n, missing = out.agg(F.count("*"), F.count_if("missing")).first()
+    if missing:
+        raise MissingVectors(f"{missing} of {n} texts have no vector")
+    return out.drop("missing")
+
+
+def merge_archives(archives: list[DataFrame]) -> DataFrame:
+    """content_key and embedding of all archives; of keys in several the earliest archive's vector."""
+    ranked = [a.select("content_key", "embedding").withColumn("rank", F.lit(i)) for i, a in enumerate(archives)]
+    rows = ranked[0]
+    for r in ranked[1:]:
+        rows = rows.unionByName(r)
+    return rows.groupBy("content_key").agg(F.min_by("embedding", "rank").alias("embedding"))
+
+
+def save_vectors(vectors: DataFrame, path: str) -> None:
+    """Write an archive as a whole; an explicit job, never part of a lookup."""
+    vectors.select("content_key", "embedding").write.mode("overwrite").parquet(path)
+
+
+def unranked(candidates: DataFrame, limit: int, key: str = "id") -> DataFrame:
+    """The first candidates by key: what is shown where nothing was asked."""
+    return candidates.orderBy(key).limit(limit)
+
+
 def to_embed(sources: list[DataFrame]) -> DataFrame:
     """One row per distinct content of all sources (text), with the least of its texts."""
     texts = sources[0].select("text")

@@ -34,10 +34,18 @@ def guarded_upsert(old: DataFrame, new: DataFrame, keys: list[str], stamp: Colum
     return joined.select(*[take(c) for c in [*keys, *values]], moved.alias(STAMP), change.alias("change"))
 
 
+def _same_keys(left: str, right: str, keys: list[str]) -> Column:
+    test = F.lit(True)
+    for k in keys:
+        test = test & F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}"))
+    return test
+
+
 def upsert_and_prune(old: DataFrame, new: DataFrame, keys: list[str], scope: Column, stamp: Column | None = None) -> DataFrame:
-    """As ``guarded_upsert``; old rows in ``scope`` that the batch no longer has go, others stay."""
-    gone = old.where(scope).join(new.select(*keys), keys, "left_anti")
-    left = old.join(gone.select(*keys), keys, "left_anti")
+    """As ``guarded_upsert``; old rows in ``scope`` that the batch no longer has go, others stay. NULL keys are keys."""
+    marked = old.withColumn("_scope", F.coalesce(scope, F.lit(False)))
+    lost = marked.where("_scope").alias("o").join(new.alias("n"), _same_keys("o", "n", keys), "left_anti").select(*keys)
+    left = old.alias("o").join(lost.alias("g"), _same_keys("o", "g", keys), "left_anti")
     return guarded_upsert(left, new, keys, stamp)
 
 
@@ -50,8 +58,10 @@ def update_only(old: DataFrame, updates: DataFrame, keys: list[str], stamp: Colu
 
 
 def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    fresh = new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti")
-    return old.unionByName(fresh.select(*old.columns))
+    """New keys only; of batch rows with one key the least by all columns."""
+    least = new.groupBy(*keys).agg(F.min(F.struct(*new.columns)).alias("_r")).select("_r.*")
+    unknown = least.alias("n").join(old.alias("o"), _same_keys("n", "o", keys), "left_anti")
+    return old.unionByName(unknown.select(*old.columns))
 
 
 def append(rows: DataFrame, path: str) -> None:

@@ -140,6 +140,12 @@ def governed(selection: Selection, cubes: Cubes, min_n: int) -> DataFrame:
     return compile_selection(Selection(selection.measures, selection.dimensions, [*selection.filters, gate], selection.time_dimensions, selection.order, selection.limit), cubes)
 
 
+def described_rows() -> list[tuple[str, str, str]]:
+    """(name, kind, description) of every member that is not hidden."""
+    dims = [(d.name, "dimension", d.description) for d in DIMENSIONS.values() if not d.hidden]
+    return dims + [(m.name, "measure", m.description) for m in MEASURES.values()]
+
+
 def catalog_rows() -> list[tuple[str, str, str, str, bool]]:
     """(name, kind, cube, type or aggregate, selectable) of every member that is not hidden."""
     dims = [(d.name, "dimension", d.cube, d.type, True) for d in DIMENSIONS.values() if not d.hidden]

@@ -79,7 +79,7 @@ def eval_exact_set(spark, sf_dir):
 
 # Known items by customer segment: score of an order is its price, of two kinds, blended; the relevant one is the customer's last order.
 RANK_SQL = """
-WITH o AS (SELECT o_custkey AS query_id, o_orderkey AS id, o_totalprice AS lex, CAST(o_orderkey % 97 AS DOUBLE) AS sem, o_orderdate FROM orders WHERE o_custkey % 5 = 0),
+WITH o AS (SELECT o_custkey AS query_id, o_orderkey AS id, o_totalprice AS lex, CAST(o_orderkey % 97 AS DOUBLE) AS sem, o_orderdate FROM orders),
 rel AS (SELECT query_id, max(id) AS id FROM o GROUP BY 1), g AS (SELECT o.query_id, o.id, a.alpha, round(a.alpha * (sem - (SELECT min(sem) FROM o)) / (SELECT max(sem) - min(sem) FROM o)
   + (1 - a.alpha) * (lex - (SELECT min(lex) FROM o)) / (SELECT max(lex) - min(lex) FROM o), 9) AS score FROM o, (VALUES (0.0), (0.3), (0.5), (0.7), (1.0)) a(alpha)),
 r AS (SELECT *, row_number() OVER (PARTITION BY alpha, query_id ORDER BY score DESC, id) AS rk FROM g),
@@ -113,7 +113,7 @@ def holdout_by_hash(spark, sf_dir):
 
 @register("disagreement_queue", """
 SELECT matter_id AS id, deal_point_name, position AS predicted, CASE WHEN span_start % 3 = 0 THEN 'None' ELSE position END AS baseline, CASE WHEN span_start % 3 = 0 THEN position <> 'None' ELSE false END AS disagreement
-FROM deal_points WHERE matter_id % 50 = 0""", "deal_points")
+FROM deal_points""", "deal_points")
 def disagreement_queue(spark, sf_dir):
     d = t.deal_points(spark, sf_dir)
     baseline = F.when(F.col("span_start") % 3 == 0, "None").otherwise(F.col("position"))

@@ -205,12 +205,12 @@ def matter_card(spark, sf_dir):
 
 
 @register("span_slice", """
-, s AS (SELECT d.*, x.text FROM deal_points d LEFT JOIN documents x ON x.doc_id = d.matter_id % 2000), q AS (
+, s AS (SELECT d.*, x.text FROM deal_points d LEFT JOIN documents x ON x.doc_id = d.matter_id % (SELECT count(*) FROM documents)), q AS (
   SELECT *, CASE WHEN span_start IS NULL THEN 'no_span' WHEN text IS NULL THEN 'no_text' WHEN span_end > length(text) THEN 'bad_span' END AS reason FROM s
 ) SELECT matter_id, deal_point_name, reason, CASE WHEN reason IS NULL THEN substring(text, span_start + 1, 40) END AS clause_text FROM q""", "deal_points")
 def span_slice(spark, sf_dir):
     texts = t.load(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
-    joined = t.deal_points(spark, sf_dir).join(texts, F.col("matter_id") % 2000 == F.col("key"), "left")
+    joined = t.deal_points(spark, sf_dir).join(texts, F.col("matter_id") % texts.count() == F.col("key"), "left")
     piece, reason = slice_text(F.col("text"), F.col("span_start"), F.col("span_end"))
     return joined.select("matter_id", "deal_point_name", reason.alias("reason"), piece.alias("clause_text"))
 
@@ -281,7 +281,6 @@ ASKED = "machinery customer 1996 france"
 SELECT id, round(score, 6) AS score, (SELECT count(*) FROM cand) AS candidate_count FROM scores ORDER BY round(score, 6) DESC, id LIMIT 10""", "matters", "concepts")
 def comparables(spark, sf_dir):
     inside = under(lined(spark, sf_dir), t.concepts(spark, sf_dir), "R3")
-    # The candidates are few after the filters and read once for each statistic, so they are kept (spilling to disk).
-    kept = optional_filters(inside, "1996-01-01", "1997-12-31").select("id", "text").persist()
+    kept = optional_filters(inside, "1996-01-01", "1997-12-31").select("id", "text")
     scores = bm25(kept, ASKED).withColumn("score", F.round("score", 6))
     return top_k(scores, 10).crossJoin(F.broadcast(kept.agg(F.count("*").alias("candidate_count"))))

@@ -52,10 +52,13 @@ def span_ids(spark, sf_dir):
 
 
 LINES = ["key sk-proj-abcdefghijklmnop1234 end", "postgres://user:secret@host/db", "Authorization: Bearer abcdefghijklmnop.1234", "nothing here", "sk-short"]
-CLEAN = ["key *** end", "postgres://user:***@host/db", "Authorization: Bearer ***", "nothing here", "sk-short"]
+REDACT_SQL = """
+SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text || ' ' || suffix, 'sk-(?:proj-)?[A-Za-z0-9_\\-]{16,}', '***', 'g'),
+  '(://[^:/\\s]+):[^@/\\s]+@', '\\1:***@', 'g'), '([Bb][Ee][Aa][Rr][Ee][Rr]\\s+)[A-Za-z0-9._\\-]{16,}', '\\1***', 'g') AS line
+FROM documents, (VALUES """
 
 
-@register("redact", "SELECT doc_id, text || suffix AS line FROM (SELECT doc_id, left(text, 20) || ' ' AS text FROM documents), (VALUES " + ", ".join(f"('{c}')" for c in CLEAN) + ") v(suffix)")
+@register("redact", REDACT_SQL + ", ".join(f"('{x}')" for x in LINES) + ") v(suffix)")
 def redacted(spark, sf_dir):
     whole = t.load(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit(" ")).alias("text"))
     lines = whole.select("doc_id", "text", F.explode(F.array(*map(F.lit, LINES))).alias("suffix"))

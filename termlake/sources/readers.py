@@ -94,7 +94,7 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
 
 def titles(texts: DataFrame) -> DataFrame:
     """``texts`` with a title: its first 600 characters cleaned, without a byte order mark, 200 at most."""
-    head = F.ltrim(F.lit("﻿"), clean_text(F.left("text", F.lit(600)))) if False else F.regexp_replace(clean_text(F.left("text", F.lit(600))), "^﻿+", "")
+    head = F.regexp_replace(clean_text(F.left("text", F.lit(600))), "^﻿+", "")
     return texts.withColumn("title", F.coalesce(F.nullif(F.trim(F.left(head, F.lit(200))), F.lit("")), F.lit("untitled")))
 
 
