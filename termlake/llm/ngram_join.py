@@ -180,58 +180,49 @@ def _links(found: list[tuple[list[str], np.ndarray, np.ndarray]]) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(links, pa.int64()), pa.array(roots, pa.string())], ["key", "links", "root"])
 
 
-def compared_texts(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Links of buckets of one block. ``rows``: h, key, bands, text, sorted by h."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in by_group(batches, ["h"]):
-            h, keys, texts = part.column("h").to_numpy(), part.column("key").to_pylist(), part.column("text").combine_chunks()
-            marks, found = np.stack(part.column("bands").to_numpy()), []
-            for a, b in groups_of(part, ["h"]):
-                if b - a > 1:
-                    sets = shingle_sets(texts.slice(a, b - a))
-                    sizes = np.array([len(s) for s in sets])
-                    found.append((keys[a:b], *linked(int(h[a]), shared_counts(sets), sizes, None, marks[a:b], threshold)))
-            yield _links(found)
-
-    return rows.mapInArrow(run, LINKS)
-
-
-DIFFERENCES = "h bigint, blk int, nb int, key string, bands array<bigint>, whole int, lacks binary, has binary"
+FIRST = "key string, links bigint, root string, h bigint, blk int, nb int, bands array<bigint>, whole int, lacks binary, has binary"
+FIRST_NAMES = [c.split()[0] for c in FIRST.split(", ")]
 
 
-def differences(rows: DataFrame) -> DataFrame:
-    """Members of larger buckets against their bucket's least member, the first row (``lead``) of each (h, blk) group.
+def compared_texts(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The links of buckets of one block, and the differences of the texts of larger ones.
 
-    ``whole`` is the number of the least member's shingles, ``lacks`` and ``has`` are the hashes that tell the two apart.
+    ``rows``: h, blk, nb, lead, key, bands, text, sorted by (h, blk) and with the bucket's least member, the ``lead``, in
+    front of each block of a larger bucket. Of its members ``whole`` is the number of the lead's shingles, and ``lacks``
+    and ``has`` are the hashes that tell the two apart; ``links`` and ``root`` are NULL.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, base = None, np.zeros(0, np.uint64)
-        for batch in batches:
-            h, blk, lead = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "blk", "lead"))
-            texts = batch.column(batch.schema.get_field_index("text"))
-            lacks, has, whole = [], [], []
-            for at in range(0, batch.num_rows, 256):  # sets of so many texts are held at a time
-                for i, x in enumerate(shingle_sets(texts.slice(at, 256)), at):
-                    if (h[i], blk[i]) != now:
-                        assert lead[i]
-                        now, base = (h[i], blk[i]), x
-                    lacks.append(np.setdiff1d(base, x, True).tobytes())
-                    has.append(np.setdiff1d(x, base, True).tobytes())
-                    whole.append(len(base))
-            kept = [batch.column(c) for c in ("h", "blk", "nb", "key", "bands")]
-            out = pa.RecordBatch.from_arrays([*kept, pa.array(whole, pa.int32()), pa.array(lacks, pa.binary()), pa.array(has, pa.binary())], DIFFERENCE_NAMES)
-            yield out.filter(pa.array(~lead))
-
-    return rows.mapInArrow(run, DIFFERENCES)
-
-
-DIFFERENCE_NAMES = [c.split()[0] for c in DIFFERENCES.split(", ")]
+        for part in by_group(batches, ["h", "blk"]):
+            h, nb, keys = part.column("h").to_numpy(), part.column("nb").to_numpy(), part.column("key").to_pylist()
+            texts, bands = part.column("text").combine_chunks(), part.column("bands").combine_chunks()
+            linked_groups, apart = [], []
+            for a, b in groups_of(part, ["h", "blk"]):
+                sets = shingle_sets(texts.slice(a, b - a))
+                if nb[a] == 1:
+                    sizes = np.array([len(s) for s in sets])
+                    marks = np.stack(bands.slice(a, b - a).to_numpy(zero_copy_only=False))
+                    linked_groups.append((keys[a:b], *linked(int(h[a]), shared_counts(sets), sizes, None, marks, threshold)))
+                else:
+                    base = sets[0]
+                    apart += [(a + i, len(base), np.setdiff1d(base, x, True).tobytes(), np.setdiff1d(x, base, True).tobytes()) for i, x in enumerate(sets) if i]
+            links = _links(linked_groups)
+            at = pa.array([x[0] for x in apart], pa.int64())
+            n, m = links.num_rows, len(apart)
+            columns = [
+                pa.concat_arrays([links.column(0), pa.array([keys[x[0]] for x in apart], pa.string())]),
+                pa.concat_arrays([links.column(1), pa.nulls(m, pa.int64())]),
+                pa.concat_arrays([links.column(2), pa.nulls(m, pa.string())]),
+                *[pa.concat_arrays([pa.nulls(n, x.type), x.take(at)]) for x in (part.column(c).combine_chunks() for c in ("h", "blk", "nb", "bands"))],
+                *[pa.concat_arrays([pa.nulls(n, t), pa.array([x[i] for x in apart], t)]) for i, t in ((1, pa.int32()), (2, pa.binary()), (3, pa.binary()))],
+            ]
+            yield pa.RecordBatch.from_arrays(columns, FIRST_NAMES)
+
+    return rows.mapInArrow(run, FIRST)
 
 
 def compared_blocks(pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Links of pairs of blocks. ``pairs``: h, pi, pj and the columns of ``differences``, sorted by (h, pi, pj)."""
+    """Links of pairs of blocks. ``pairs``: h, pi, pj, blk, key, bands and the differences, sorted by (h, pi, pj)."""
     group = ["h", "pi", "pj"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,15 +267,20 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFra
         .groupBy("key")
         .agg(F.first("bands").alias("bands"), F.first("text").alias("text"))  # rows with the same doc_id and text
     )
-    small = rows.where("nb = 1").select("h", "key").join(texts, "key").select("h", "key", "bands", "text").repartition("h").sortWithinPartitions("h", "key")
     leads = (  # the least member goes to every block of its bucket
         rows.where("nb > 1").groupBy("h", "nb").agg(F.min("key").alias("key"))
         .select("key", "h", "nb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("blk"), F.lit(True).alias("lead"))
     )
-    placed = rows.where("nb > 1").select("key", "h", "nb", "blk", F.lit(False).alias("lead")).unionByName(leads)
-    apart = differences(
-        placed.join(texts, "key").select("h", "blk", "nb", "lead", "key", "bands", "text").repartition("h", "blk").sortWithinPartitions("h", "blk", F.desc("lead"), "key")
+    placed = rows.select("key", "h", "nb", "blk", F.lit(False).alias("lead")).unionByName(leads)
+    first, first_path = persisted(
+        compared_texts(
+            placed.join(texts, "key").select("h", "blk", "nb", "lead", "key", "bands", "text")
+            .repartition("h", "blk").sortWithinPartitions("h", "blk", F.desc("lead"), "key"),
+            threshold,
+        ),
+        "bucket-compared",
     )
+    apart = first.where("links IS NULL")
     other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other")
     pairs = (
         apart.select("*", other)
@@ -292,8 +288,12 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFra
         .repartition("h", "pi", "pj")
         .sortWithinPartitions("h", "pi", "pj", "blk", "key")
     )
-    links, links_path = persisted(compared_texts(small, threshold).unionByName(compared_blocks(pairs, threshold)).groupBy("key", "root").agg(F.sum("links").alias("links")), "near-links")
-    drop_path(docs.sparkSession, rows_path)
+    links, links_path = persisted(
+        first.where("links IS NOT NULL").select("key", "links", "root").unionByName(compared_blocks(pairs, threshold)).groupBy("key", "root").agg(F.sum("links").alias("links")),
+        "near-links",
+    )
+    for path in (rows_path, first_path):
+        drop_path(docs.sparkSession, path)
     labels = components(links.where("key <> root").select(F.col("key").alias("u"), F.col("root").alias("v")))
     per_key = (
         classes.select("key", "rep", "n_copies")
