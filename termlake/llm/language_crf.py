@@ -41,7 +41,7 @@ SLOTS, MOST_WEIGHTS = 1 << 17, 1 << 24
 SEQUENCE, EPOCHS, BATCH, RATE = 48, 4, 64, 0.15
 SEED = 3
 PORTION = 1 << 19  # bytes whose features are held at a time
-CHAIN_BYTES = 1 << 21  # bytes of whole texts whose chains run side by side; a longer text runs alone
+CHAIN_BYTES = 1 << 23  # bytes of whole texts whose chains run side by side; a longer text runs alone
 UND = "und"
 
 # Bytes of words: ASCII letters and the apostrophe, and all bytes of characters beyond ASCII.
@@ -240,7 +240,7 @@ def training_sample(docs: DataFrame, seed: int = SEED) -> list[tuple[str, str]]:
     w = words_of(F.col("text"))
     place = F.floor(F.pmod(F.xxhash64("text", F.lit(seed + 1)), F.lit(1 << 40)) / (1 << 40) * (F.greatest(F.size(w) - TRAIN_WORDS, F.lit(0)) + 1))
     rows = (
-        labelled.join(limits, "lang")  # one row for each language: Spark broadcasts it by its size
+        labelled.join(F.broadcast(limits), "lang")  # a row for each language, as many as the model on the driver has columns
         .where("draw < limit")
         .groupBy("lang", "draw", "most")
         .agg(F.min("text").alias("text"))
