@@ -13,7 +13,9 @@ two packs is emitted in both, so a turn that a third of all conversations share
 
 Defined results: rows of one conversation are ordered by turn (null first), then role, then text; a null
 role or text is empty; rows with a null conv_id are one conversation; equal conversations share all nodes.
-A conversation is one row, so it must fit a task; the tokenizer's control tokens are never emitted.
+A conversation is one row, so it must fit a task; the tokenizer's control tokens are never emitted. A very
+long text is one node of its pack; an empty table gives no pack; other columns are ignored. A conversation
+-1 of the table and the query's own one are one conversation.
 """
 
 from __future__ import annotations

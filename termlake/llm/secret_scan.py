@@ -10,7 +10,10 @@ Benjamini-Hochberg in each stratum of length, over all tokens of all documents,
 prose among the spans at FALSE_SHARE. Chances are counted in bins, so the step is a small aggregate.
 
 Defined results: a null text has no span; spans are code-point offsets, end exclusive; a ``random`` span
-that overlaps a base span is left out; rows are judged one by one, repeated rows alike.
+that overlaps a base span is left out; rows are judged one by one, repeated rows alike, though every
+token counts in the discovery step; equal chances share a bin and are found or left together; a very long
+text is scanned whole by one task, its spans in one array; an empty table gives an empty result; other
+columns of the input are ignored.
 """
 
 from __future__ import annotations
