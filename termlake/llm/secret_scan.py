@@ -5,7 +5,9 @@ or more characters with a letter and a digit, of an inferred encoding. For each
   - chi-squared uniformity of the alphabet, Wald-Wolfowitz runs about the alphabet's middle and lag-1
     serial correlation; Fisher's sum of the three must not reject randomness;
   - the chance that prose of the same length comes as near to uniform (its repeat rate is fixed below,
-    so the expected chi-squared grows with the length: long tokens give smaller chances).
+    so the expected chi-squared grows with the length: long tokens give smaller chances) and changes as
+    often between digits, capitals, small letters and signs (its rate of changes is fixed below too):
+    words joined to an identifier keep each class in long runs. Stouffer's sum joins the two.
 Benjamini-Hochberg in each stratum of length, over all tokens of all documents, bounds the share of
 prose among the spans at FALSE_SHARE. Chances are counted in bins, so the step is a small aggregate.
 
@@ -18,6 +20,8 @@ columns of the input are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,15 +38,15 @@ KINDS = [*BASE, "random"]
 SEED_MARKS = "\uE000\uE001\uE002"  # around matches; other uses of these characters in a text become \uE003
 
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-# Encoding: pattern, alphabet, and the chance that two characters of prose in it agree.
+# Encoding: pattern, alphabet, the chance that two characters of prose in it agree, and that two neighbours differ in class.
 ENCODINGS = (
-    ("hex", "^[0-9a-f]+$", DIGITS + LOWER[:6], 0.25),
-    ("HEX", "^[0-9A-F]+$", DIGITS + UPPER[:6], 0.25),
-    ("base32", "^[A-Z2-7]+$", UPPER + "234567", 0.066),
-    ("base36", "^[0-9a-z]+$", DIGITS + LOWER, 0.066),
-    ("BASE36", "^[0-9A-Z]+$", DIGITS + UPPER, 0.066),
-    ("base62", "^[0-9A-Za-z]+$", DIGITS + UPPER + LOWER, 0.066),
-    ("base64", "", UPPER + LOWER + DIGITS + "+/-_", 0.066),
+    ("hex", "^[0-9a-f]+$", DIGITS + LOWER[:6], 0.25, 0.15),
+    ("HEX", "^[0-9A-F]+$", DIGITS + UPPER[:6], 0.25, 0.15),
+    ("base32", "^[A-Z2-7]+$", UPPER + "234567", 0.066, 0.15),
+    ("base36", "^[0-9a-z]+$", DIGITS + LOWER, 0.066, 0.15),
+    ("BASE36", "^[0-9A-Z]+$", DIGITS + UPPER, 0.066, 0.15),
+    ("base62", "^[0-9A-Za-z]+$", DIGITS + UPPER + LOWER, 0.066, 0.33),
+    ("base64", "", UPPER + LOWER + DIGITS + "+/-_", 0.066, 0.4),
 )
 STRATA = (24, 32, 48)  # lengths at which a new stratum begins
 FALSE_SHARE = 0.01
@@ -81,15 +85,16 @@ def upper_tail(z: Column) -> Column:
 
 def battery(token: Column) -> Column:
     """Struct of the encoding, Fisher's p-value of randomness and the chance under prose."""
-    size = alphabet = repeat = name = None
-    for label, pattern, letters, chance in reversed(ENCODINGS):
+    size = alphabet = repeat = change = name = None
+    for label, pattern, letters, chance, rate in reversed(ENCODINGS):
         if name is None:
-            name, alphabet, size, repeat = F.lit(label), F.lit(letters), F.lit(float(len(letters))), F.lit(chance)
+            name, alphabet, size, repeat, change = F.lit(label), F.lit(letters), F.lit(float(len(letters))), F.lit(chance), F.lit(rate)
         else:
             here = token.rlike(pattern)
             name, alphabet = F.when(here, F.lit(label)).otherwise(name), F.when(here, F.lit(letters)).otherwise(alphabet)
             size, repeat = F.when(here, F.lit(float(len(letters)))).otherwise(size), F.when(here, F.lit(chance)).otherwise(repeat)
-    return F.struct(name.alias("encoding"), alphabet.alias("alphabet"), size.alias("size"), repeat.alias("repeat"))
+            change = F.when(here, F.lit(rate)).otherwise(change)
+    return F.struct(name.alias("encoding"), alphabet.alias("alphabet"), size.alias("size"), repeat.alias("repeat"), change.alias("change"))
 
 
 def chances(encoded: Column, token: Column) -> Column:
@@ -107,6 +112,12 @@ def chances(encoded: Column, token: Column) -> Column:
         ),
         lambda acc: acc["sum"],
     )
+    classes = F.aggregate(
+        F.transform(chars, lambda x: F.when(x.between("0", "9"), 1).when(x.between("A", "Z"), 2).when(x.between("a", "z"), 3).otherwise(4)),
+        F.struct(F.lit(0).alias("last"), F.lit(-1.0).alias("changes")),
+        lambda acc, k: F.struct(k.alias("last"), (acc["changes"] + (acc["last"] != k).cast("double")).alias("changes")),
+        lambda acc: acc["changes"],
+    )
     order = F.aggregate(
         chars,
         F.struct(*[F.lit(0.0).alias(k) for k in ("last", "n", "s", "ss", "lag", "first", "high", "runs")]),
@@ -123,7 +134,7 @@ def chances(encoded: Column, token: Column) -> Column:
             )
         )(F.instr(encoded["alphabet"], x).cast("double") - (size + 1) / 2),
     )
-    return F.struct(n.alias("n"), size.alias("size"), encoded["repeat"].alias("repeat"), squares.alias("squares"), order.alias("o"))
+    return F.struct(n.alias("n"), size.alias("size"), encoded["repeat"].alias("repeat"), encoded["change"].alias("change"), squares.alias("squares"), classes.alias("changes"), order.alias("o"))
 
 
 def p_values(x: Column) -> tuple[Column, Column]:
@@ -144,8 +155,10 @@ def p_values(x: Column) -> tuple[Column, Column]:
         half = half - F.log(F.greatest(p, F.lit(1e-15)))
     p_random = F.exp(-half) * (1 + half + half * half / 2)
     shift = n * (size * x["repeat"] - 1)
-    p_prose = upper_tail((df + shift - chi) / F.sqrt(2 * df + 4 * shift))
-    return p_random, p_prose
+    z_flat = (df + shift - chi) / F.sqrt(2 * df + 4 * shift)
+    expected = (n - 1) * x["change"]
+    z_changes = (x["changes"] - F.lit(0.5) - expected) / F.sqrt(expected * (1 - x["change"]))
+    return p_random, upper_tail((z_flat + z_changes) / math.sqrt(2))
 
 
 def _stratum(n: Column) -> Column:
