@@ -33,7 +33,7 @@ from .common import drop_path, persisted, shared_dir, table
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 BLOCK_TOKENS = 1 << 16
-MOST_CACHED, CACHED_CHARS = 250_000, 48  # units kept in each of a worker's two dictionaries, 50 MB at most; then it starts anew
+MOST_CACHED, CACHED_CHARS = 250_000, 48  # units in each generation of a worker's two dictionaries, 50 MB a generation at most
 
 LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
@@ -44,41 +44,57 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+class NotLone(ValueError):
+    """A space was split off that has another space beside it or ends its text."""
+
+
 class UnitIds(dict):
     """Token bytes (little-endian) by unit of text: the part from one lone space to the next.
 
     A byte-level tokenizer splits a text before each single space between two other characters, and a unit's
     tokens don't depend on its surroundings, so equal units are encoded once. It also splits between
     letters and marks and around a line end, so such units are put together from words and marks.
+
+    A full dictionary becomes the older generation, in place of the one before it; what is asked for again
+    comes back from there, so frequent units outlast the many that occur once.
     """
 
     def __init__(self, tokenizer, lead: str, kind: str, bare: UnitIds | None = None):
         super().__init__()
         self.tokenizer, self.lead, self.kind, self.bare = tokenizer, lead, kind, self if bare is None else bare
-        self.model = tokenizer.model
+        self.model, self.older = tokenizer.model, {}
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
         self.letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
         self.mark = lead.translate(self.letters)
 
     def __missing__(self, unit: str) -> bytes:
-        if unit.isalpha():  # one piece for the tokenizer: straight to its merges
-            if unit.isascii():
-                letters = self.mark + unit
-            else:
-                letters = (self.lead + unit).encode().decode("latin-1").translate(self.letters)
-            out = array(self.kind, [t.id for t in self.model.tokenize(letters)]).tobytes()
-        elif WORDS_AND_MARKS(unit):
-            head, *rest = PIECES(unit)
-            out = self[head] + b"".join(map(self.bare.__getitem__, rest)) if rest else self.whole(unit)
-        else:
-            out = self.whole(unit)
+        out = self.older.get(unit)
+        if out is None:
+            out = self.fresh(unit)
         if len(unit) <= CACHED_CHARS:
             if len(self) >= MOST_CACHED:
+                self.older = dict(self)
                 self.clear()
             self[unit] = out
         return out
 
+    def fresh(self, unit: str) -> bytes:
+        if unit.isalpha():  # one piece for the tokenizer: straight to its merges
+            if unit.isascii():
+                letters = self.mark + unit
+            else:
+                letters = (self.lead + unit).encode().decode("latin-1").translate(self.letters)
+            return array(self.kind, [t.id for t in self.model.tokenize(letters)]).tobytes()
+        if unit[-1:] in MARKS and unit[:-1].isalpha():  # a word and one mark, most of the rest
+            return self[unit[:-1]] + self.bare[unit[-1]]
+        if self.lead and (not unit or unit[0].isspace()):
+            raise NotLone
+        if not WORDS_AND_MARKS(unit):
+            return self.whole(unit)
+        head, *rest = PIECES(unit)
+        return self[head] + b"".join(map(self.bare.__getitem__, rest)) if rest else self.whole(unit)
+
     def whole(self, unit: str) -> bytes:
         return array(self.kind, self.tokenizer.encode(self.lead + unit, add_special_tokens=False).ids).tobytes()
 
@@ -86,6 +102,7 @@ class UnitIds(dict):
 LATIN, MARK = "A-Za-zÀ-ÖØ-öø-ɏ", r"!-&(-/:-@\[-`{-~"  # letters; ASCII marks but the apostrophe, which may join letters
 WORDS_AND_MARKS = re.compile(rf"[{LATIN}{MARK}]+(?:\n[{LATIN}{MARK}]+)*").fullmatch
 PIECES = re.compile(rf"[{LATIN}]+|[{MARK}]+|\n").findall
+MARKS = frozenset(filter(re.compile(f"[{MARK}]").match, map(chr, range(128))))
 _ENCODERS: dict[tuple[str, bool], tuple[Callable[[str], bytes], str]] = {}  # of this worker
 
 
@@ -132,14 +149,19 @@ def _encoder(path: str, as_text: bool) -> tuple[Callable[[str], bytes], str]:
     special = None if as_text or not added else re.compile("|".join(re.escape(t["content"]) for t in added)).search
     first = UnitIds(tokenizer, "", kind)
     follow = UnitIds(tokenizer, " ", kind, first).__getitem__
-    odd, lone = re.compile(r" (?:\s|$)|^ ").search, re.compile(r"(?<=\S) (?=\S)").split
+    lone = re.compile(r"(?<=\S) (?=\S)").split
 
     def encode(text: str) -> bytes:
         if special and special(text):
             return whole(text)
-        units = lone(text) if odd(text) else text.split(" ")
-        head = first[units[0]] if units[0] else b""
-        return head + b"".join(map(follow, units[1:]))
+        if not text.startswith(" "):
+            units = text.split(" ")
+            try:
+                return first[units[0]] + b"".join(map(follow, units[1:]))
+            except NotLone:  # found by the units themselves, so that ordinary texts need no search
+                pass
+        units = lone(text)
+        return first[units[0]] + b"".join(map(follow, units[1:]))
 
     return encode, dtype
 

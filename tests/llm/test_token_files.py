@@ -1,10 +1,12 @@
 import json
+import random
 import zlib
 
 import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
+from termlake.llm import token_files
 from termlake.llm.token_files import END_ID, encoder, files_of, op6_token_files, pack_ranks, plain_byte_level, read_files, token_index, tokenizer_path, unpack_ranks, write_files
 
 from .helpers import SF, docs
@@ -26,6 +28,16 @@ def test_units_equal_whole_texts(spark, plain):
         assert np.frombuffer(encode(text), dtype).tolist() == plain(text), text[:80]
 
 
+def test_units_equal_whole_texts_when_dictionaries_turn_over(plain, monkeypatch):
+    monkeypatch.setattr(token_files, "MOST_CACHED", 50)
+    encode, dtype = token_files._encoder(tokenizer_path(), as_text=False)
+    rng = random.Random(5)
+    pieces = [" ", " ", "\n", "\t", "a", "the", "é", "'", "'s", ",", ".", "(", "-", "_", "1", "23", "日", "ª", "\u0301", "\x85", "\u2003", "\x1c", "<|endoftext|>", "İ", "²"]
+    for _ in range(5000):
+        text = "".join(rng.choices(pieces, k=rng.randint(0, 14)))
+        assert np.frombuffer(encode(text), dtype).tolist() == plain(text), text
+
+
 def test_codes_round_trip():
     rng = np.random.default_rng(3)
     for n in (0, 1, 3, 4, 5, 1000):
