@@ -5,7 +5,7 @@ import pytest
 
 from termlake.queries import QUERIES, textprep
 
-from .llm.helpers import docs, saved
+from .helpers import docs, saved
 from .test_queries import SF, table
 
 
