@@ -85,7 +85,7 @@ def shingle_hashes(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.
     stop = np.repeat(first[1:], counts)
     place = np.arange(len(w))
     sums = np.zeros(len(w), np.uint64)
-    for k in range(size):
+    for k in range(min(size, len(w))):
         factor = np.uint64((2 * k + 1) * 0xD6E8FEB86659FD93 & (1 << 64) - 1)
         sums[: len(w) - k] += np.where(place[: len(w) - k] + k < stop[: len(w) - k], w[k:] * factor, np.uint64(0))
     keep = (place + size <= stop) | (place == np.repeat(first[:-1], counts))
