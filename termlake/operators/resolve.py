@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import cosine
 from ..functions.text import normalize_name, without_suffix, zero_pad
+from ..sources.shared import stored
+from .similar import SimilarIndex, search
 
 SIMILARITY_FLOOR = 0.55
 CANDIDATES = 8
-MOST_BROADCAST = 1000  # asked vectors; more of them are not broadcast
 
 
 def unique_aliases(aliases: DataFrame) -> DataFrame:
@@ -42,12 +42,20 @@ def resolve_ladder(asked: DataFrame, concepts: DataFrame, aliases: DataFrame, si
     return out.select("raw", F.coalesce("exact_code", "alias_code", F.when(near, F.col("near_code"))).alias("code"), method.alias("method"))
 
 
-def candidates(asked: DataFrame, vectors: DataFrame, most: int = CANDIDATES) -> DataFrame:
-    """The most similar codes of each asked vector: a query set (raw, vector) against all of ``vectors`` (code, embedding)."""
-    pairs = vectors.crossJoin(F.broadcast(asked) if asked.count() <= MOST_BROADCAST else asked)
-    scored = pairs.select("raw", "code", cosine(F.col("vector"), F.col("embedding")).alias("similarity"))
-    w = Window.partitionBy("raw").orderBy(F.desc("similarity"), "code")
-    return scored.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most)
+def resolve_values(asked: DataFrame, concepts: DataFrame, aliases: DataFrame, index: SimilarIndex, most: int = CANDIDATES) -> DataFrame:
+    """The whole ladder for ``asked`` (raw, vector): raw, code, method, similarity, and what a refused value could have meant.
+
+    Only values that are neither a label nor an alias go to the similarity search, each once. ``similarity`` is that of
+    the most similar code, ``candidates`` the ``most`` nearest codes of a refused value in order, and both are NULL
+    where nothing was searched; a value without a vector is refused without candidates.
+    """
+    direct = resolve_ladder(asked.select("raw"), concepts, aliases)
+    unresolved = asked.join(direct.where("method = 'refused'").select("raw").distinct(), "raw", "left_semi").where(F.col("vector").isNotNull())
+    found, _ = stored(search(index, unresolved.select("raw", "vector"), most), "similar-found")
+    ladder = resolve_ladder(asked.select("raw"), concepts, aliases, found.where("rank = 1"))
+    near = found.groupBy("raw").agg(F.max("similarity").alias("similarity"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "code"))), lambda x: x["code"]).alias("candidates"))
+    refused = F.when(F.col("method") == "refused", F.col("candidates")).alias("candidates")
+    return ladder.join(near, "raw", "left").select("raw", "code", "method", "similarity", refused)
 
 
 def longest_prefix(rows: DataFrame, prefixes: DataFrame, column: str = "sic", lengths: tuple[int, ...] = (4, 3, 2), width: int = 4) -> DataFrame:

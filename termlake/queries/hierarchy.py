@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import normalize_name
 from ..operators import hierarchy as h
 from ..operators import resolve as r
+from ..operators import similar
 from ..sources import tables as t
 from ..sources.tables import sql_with
 
@@ -80,6 +81,49 @@ def resolve_ladder(spark, sf_dir):
     return r.resolve_ladder(asked, t.concepts(spark, sf_dir), t.aliases(spark, sf_dir))
 
 
+@register("resolve_similar", """
+SELECT raw, code, round(similarity, 6) AS similarity, rank FROM (
+  SELECT raw, code, similarity, CAST(row_number() OVER (PARTITION BY raw ORDER BY similarity DESC, code) AS INT) AS rank
+  FROM (SELECT CAST(a.vec_id AS VARCHAR) AS raw, b.vec_id AS code, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS similarity
+        FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0)
+) WHERE rank <= 8""")
+def resolve_similar(spark, sf_dir):
+    """Queries are the vectors whose id is divisible by 100, against all vectors, by the index and exactly."""
+    e = t.load(spark, sf_dir, "embeddings")
+    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").cast("string").alias("raw"), F.col("embedding").alias("vector"))
+    found = similar.search(similar.build(e, code="vec_id"), asked)
+    return found.select("raw", "code", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+# What customers call themselves: a label in other case, an alias, an ambiguous alias, a name that only a vector knows.
+RAW = """CASE c_custkey % 4 WHEN 0 THEN concat('  ', lower(n_name), ' ') WHEN 1 THEN concat('Nation ', n_nationkey)
+  WHEN 2 THEN concat('group ', n_regionkey) ELSE concat(c_name, ' ', c_custkey) END"""
+
+
+@register("resolve_values", f""", asked AS (
+  SELECT c_custkey, raw, CASE WHEN c_custkey % 4 = 3 THEN CAST(embedding AS DOUBLE[]) END AS vector
+  FROM (SELECT c_custkey, {RAW} AS raw FROM customer JOIN nation ON n_nationkey = c_nationkey) LEFT JOIN embeddings ON vec_id = c_custkey
+), ex AS (SELECT lower(label) AS k, min(code) AS code FROM concepts GROUP BY 1), al AS (SELECT lower(alias) AS k, min(code) AS code FROM aliases GROUP BY 1 HAVING count(DISTINCT code) = 1),
+near AS (
+  SELECT raw, code, similarity, row_number() OVER (PARTITION BY raw ORDER BY similarity DESC, code) AS rank
+  FROM (SELECT raw, 'S' || s_suppkey AS code, round(list_cosine_similarity(vector, CAST(embedding AS DOUBLE[])), 9) AS similarity
+        FROM asked, supplier JOIN embeddings ON vec_id = s_suppkey WHERE vector IS NOT NULL)
+), best AS (SELECT raw, max(similarity) AS similarity, arg_min(code, rank) AS code, string_agg(code, '|' ORDER BY rank) FILTER (WHERE rank <= 8) AS candidates FROM near GROUP BY raw)
+SELECT asked.raw, coalesce(ex.code, al.code, CASE WHEN similarity >= 0.55 THEN best.code END) AS code, round(similarity, 6) AS similarity,
+       CASE WHEN ex.code IS NOT NULL THEN 'exact' WHEN al.code IS NOT NULL THEN 'alias' WHEN similarity >= 0.55 THEN 'embedding' ELSE 'refused' END AS method,
+       CASE WHEN coalesce(similarity, 0) < 0.55 AND ex.code IS NULL AND al.code IS NULL THEN candidates END AS candidates
+FROM (SELECT DISTINCT raw FROM asked) asked LEFT JOIN ex ON ex.k = lower(trim(asked.raw)) LEFT JOIN al ON al.k = lower(trim(asked.raw)) LEFT JOIN best ON best.raw = asked.raw""", "concepts", "aliases")
+def resolve_values(spark, sf_dir):
+    """All that customers call themselves, against labels, aliases and the vectors of the suppliers."""
+    customer, nation, e = (t.load(spark, sf_dir, x) for x in ("customer", "nation", "embeddings"))
+    named = customer.join(F.broadcast(nation), F.col("n_nationkey") == F.col("c_nationkey")).select("c_custkey", F.expr(RAW).alias("raw"))
+    vector = F.when(F.col("c_custkey") % 4 == 3, F.col("embedding"))
+    asked = named.join(e, F.col("vec_id") == F.col("c_custkey"), "left").select("raw", vector.alias("vector")).dropDuplicates(["raw"])
+    known = t.load(spark, sf_dir, "supplier").join(e, F.col("vec_id") == F.col("s_suppkey")).select(F.concat(F.lit("S"), "s_suppkey").alias("code"), "embedding")
+    found = r.resolve_values(asked, t.concepts(spark, sf_dir), t.aliases(spark, sf_dir), similar.build(known))
+    return found.select("raw", "code", "method", F.round("similarity", 6).alias("similarity"), F.array_join("candidates", "|").alias("candidates"))
+
+
 PREFIXES = [("00", "A"), ("001", "B"), ("0012", "C"), ("01", "D"), ("014", "E"), ("0199", "F"), ("02", "G")]
 PREFIX_SQL = ", ".join(map(str, PREFIXES))
 
