@@ -1,8 +1,14 @@
 """Benchmark decontamination by template canonicalisation, built-in functions only.
 
-Numbers, units after numbers and capitalised names inside sentences become typed placeholders. Windows
-of WINDOW template tokens of benchmark items and documents meet in a hash join. A window without any
-word keeps its literal values: a bare row of numbers is no template.
+Numbers, units after numbers and names become typed placeholders. Windows of WINDOW template tokens of
+benchmark items and documents meet in a hash join. A window without any word keeps its literal values: a
+bare row of numbers is no template.
+
+A name is a capitalised word inside a sentence; one at the start of a sentence, a line, a quote or a bracket unless
+it is a common word; and, in small letters or capitals, a word that is a name in the benchmark, so that a copy in
+other case still matches. Common are words that the benchmark writes small more often than as names inside
+sentences, names in the benchmark its other capitalised words, of each the MOST_WORDS most frequent. So a word is
+judged alike in items and in documents, by its place alone.
 
 A document leaks an item if consistent windows cover MIN_COVERAGE of the item's windows:
   - a window that stands once in its item meets on diagonals (document, item, shift). On a diagonal every
@@ -33,7 +39,8 @@ from .common import drop_path, fresh, persisted, table
 WINDOW = 6
 MIN_COVERAGE = 0.4
 MOST_BROADCAST = 1_000_000  # rows of three or four longs: a broadcast stays under 200 MB
-NUMBER_MARK, NAME_MARK, UNIT_MARK, AFTER_MARKS = "\uE011", "\uE012", "\uE013", "\uE014"
+MOST_WORDS = 20_000  # they stand in the plan as a hash set
+NUMBER_MARK, NAME_MARK, UNIT_MARK, AFTER_MARKS, START_MARK = "\uE011", "\uE012", "\uE013", "\uE014", "\uE015"
 
 # Units of measure, money and time that may follow a number.
 UNITS = (
@@ -44,22 +51,45 @@ UNITS = (
 NUMBER = r"(\p{N}+(?:[.,:/]\p{N}+)*)"
 NUMBER_UNIT = NUMBER + r"(?:\x20?(?i:(" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")(?![\p{L}\p{N}])))?"
 NAME = r"(?<=[\p{Ll}\p{N},;]\x20)(\p{Lu}[\p{L}']*)"
-TOKEN = rf"{NUMBER_MARK}\p{{N}}+(?:[.,:/]\p{{N}}+)*|[{NAME_MARK}{UNIT_MARK}]?[\p{{L}}\p{{M}}']+"
+START = rf"(?<![\p{{L}}\p{{M}}\p{{N}}'{NAME_MARK}])(\p{{Lu}}[\p{{Ll}}'][\p{{L}}']*)"
+SMALL = r"(?<![\p{L}\p{M}'])\p{Ll}[\p{L}\p{M}']*"
+TOKEN = rf"{NUMBER_MARK}\p{{N}}+(?:[.,:/]\p{{N}}+)*|[{NAME_MARK}{UNIT_MARK}{START_MARK}]?[\p{{L}}\p{{M}}']+"
+
+
+def known_words(benchmark: DataFrame, most: int = MOST_WORDS) -> tuple[list[str], list[str]]:
+    """The words that items write small more often than as names inside sentences, and all others that they write with a capital."""
+
+    def found(pattern: str, group: int, small: int) -> DataFrame:
+        words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(pattern), F.lit(group))
+        return benchmark.select(F.explode(words).alias("word"), F.lit(small).alias("small"))
+
+    words = found(SMALL, 0, 1).unionByName(found(NAME, 1, -1)).unionByName(found(START, 1, 0))
+    counted = words.groupBy(F.lower("word").alias("word")).agg(F.sum("small").alias("small"), F.count("*").alias("n"))
+    top = lambda test: [r["word"] for r in counted.where(test).orderBy(F.desc("n"), "word").limit(most).collect()]
+    return top("small > 0"), top("small <= 0")
 
 
 def template_tokens(text: Column) -> Column:
     """Lower-case tokens; placeholders begin with the mark of their type, and the literal value follows."""
-    plain = F.translate(F.coalesce(text, F.lit("")), NUMBER_MARK + NAME_MARK + UNIT_MARK, "   ")
-    named = F.regexp_replace(plain, NAME, NAME_MARK + "$1")
+    plain = F.translate(F.coalesce(text, F.lit("")), NUMBER_MARK + NAME_MARK + UNIT_MARK + START_MARK, "    ")
+    named = F.regexp_replace(F.regexp_replace(plain, NAME, NAME_MARK + "$1"), START, START_MARK + "$1")
     marked = F.regexp_replace(named, NUMBER_UNIT, f" {NUMBER_MARK}$1 {UNIT_MARK}$2 ")
     return F.regexp_extract_all(F.lower(marked), F.lit(TOKEN), F.lit(0))
 
 
+def decided(tokens: str, words: tuple[list[str], list[str]] = ([], [])) -> Column:
+    """The column ``tokens`` with words and names told apart. It's SQL text, as thousands of single literals take seconds to build."""
+    common, names = ("(" + (", ".join("'" + w.replace("'", "\\'") + "'" for w in known) or "NULL") + ")" for known in words)
+    word = "substring(t, 2)"
+    return F.expr(f"""transform({tokens}, t -> CASE WHEN startswith(t, '{START_MARK}') THEN if({word} IN {common}, {word}, concat('{NAME_MARK}', {word}))
+                      WHEN t IN {names} THEN concat('{NAME_MARK}', t) ELSE t END)""")
+
+
 def is_slot(token: Column) -> Column:
     return (token >= NUMBER_MARK) & (token < AFTER_MARKS)
 
 
-def windows(texts: DataFrame, keys: list[str], sizes: Column, window: int = WINDOW) -> DataFrame:
+def windows(texts: DataFrame, keys: list[str], sizes: Column, window: int = WINDOW, words: tuple[list[str], list[str]] = ([], [])) -> DataFrame:
     """One row for each window: the keys, its place ``at``, its ``size``, ``hash``, ``wordless`` and its tokens ``toks``.
 
     ``sizes``: array of the sizes of windows of the tokens ``_w``, at most ``window`` each. The places are
@@ -70,6 +100,7 @@ def windows(texts: DataFrame, keys: list[str], sizes: Column, window: int = WIND
     types, toks = F.slice("_t", at + 1, size), F.slice("_w", at + 1, size)
     return (
         texts.withColumn("_w", template_tokens(F.col("text")))
+        .withColumn("_w", decided("_w", words))
         .select(*keys, "_w", F.explode(sizes).alias("size"))
         .where((size > 0) & (size <= F.size("_w")))  # above the explode, so that texts are taken apart once
         .select(*keys, "_w", typed.alias("_t"), "size")
@@ -114,8 +145,9 @@ def anchors(item_windows: DataFrame, min_coverage: float = MIN_COVERAGE) -> tupl
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """doc_id, text hash ``_th``, item_id, coverage and n_slots of every leak of an item into a document."""
     bench = benchmark.select("item_id", F.col("text"))
+    words = known_words(bench)
     item_windows, _ = persisted(
-        windows(bench, ["item_id"], F.array(F.least(F.size("_w"), F.lit(window))), window)
+        windows(bench, ["item_id"], F.array(F.least(F.size("_w"), F.lit(window))), window, words)
         .withColumn("pattern", pattern_of(F.col("toks")))
         .withColumn("single", ~F.col("wordless") & (F.count("*").over(Window.partitionBy("item_id", "hash", "size")) == 1)),
         "bench-windows",
@@ -127,7 +159,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_cover
     texts = docs.select(F.col("doc_id"), F.col("text"), F.xxhash64("text").alias("_th"))
     rare, rare_path = persisted(rare, "bench-anchors")
     candidates, _ = persisted(
-        windows(texts, ["doc_id", "_th"], asked, window).select("doc_id", "_th", "hash", "size").join(few(rare), ["hash", "size"]).select("doc_id", "_th", "item_id").distinct(),
+        windows(texts, ["doc_id", "_th"], asked, window, words).select("doc_id", "_th", "hash", "size").join(few(rare), ["hash", "size"]).select("doc_id", "_th", "item_id").distinct(),
         "bench-candidates",
     )
     drop_path(docs.sparkSession, rare_path)
@@ -141,7 +173,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_cover
 
     wanted = few(candidates.select("doc_id", "_th").distinct())
     again = texts.alias("t").join(wanted.alias("c"), same_doc("t", "c"), "left_semi").dropDuplicates(["doc_id", "_th"])
-    met = windows(again, ["doc_id", "_th"], asked, window)
+    met = windows(again, ["doc_id", "_th"], asked, window, words)
     single = asked_for(item_windows.where("single").select("item_id", "hash", "size", F.col("at").alias("item_at"), F.col("toks").alias("item_toks")))
     hits = met.alias("d").join(single.alias("i"), same_doc("d", "i") & (F.col("d.hash") == F.col("i.hash")) & (F.col("d.size") == F.col("i.size"))).select(
         "d.doc_id", "d._th", "i.item_id", "i.item_at", (F.col("d.at") - F.col("i.item_at")).alias("shift"),

@@ -10,19 +10,44 @@ from .helpers import SF, docs
 UNIT = "|".join(sorted(UNITS, key=len, reverse=True))
 
 
-def tokens(text):
+def known(items):
+    """Words that items write small more often than with a capital behind a small letter, digit, comma or semicolon, and their other words with a capital."""
+    n, capital = collections.Counter(), set()
+    for text in items.values():
+        for m in regex.finditer(r"[\p{L}\p{M}']+", text or ""):
+            word, before = m[0], text[: m.start()]
+            if word[0].islower():
+                n[word.lower()] += 1
+            elif word[0].isupper() and inside(before):
+                n[word.lower()] -= 1
+                capital.add(word.lower())
+            elif word[0].isupper() and word[1:2] and (word[1].islower() or word[1] == "'"):
+                capital.add(word.lower())
+    return {w for w, k in n.items() if k > 0}, {w for w in capital if n[w] <= 0}
+
+
+def inside(before):
+    return len(before) > 1 and before[-1] == " " and (before[-2].islower() or before[-2].isnumeric() or before[-2] in ",;")
+
+
+def is_name(word, before, words):
+    common, names = words
+    if word[0].isupper() and (inside(before) or len(word) > 1 and (word[1].islower() or word[1] == "'") and word.lower() not in common):
+        return True
+    return word.lower() in names
+
+
+def tokens(text, words):
     """(type, value) of the template tokens, by a scan of its own."""
     out = []
     scan = regex.compile(rf"(?P<n>\p{{N}}+(?:[.,:/]\p{{N}}+)*)(?: ?(?P<u>(?i:{UNIT}))(?![\p{{L}}\p{{N}}]))?|(?P<w>[\p{{L}}\p{{M}}']+)")
-    name = regex.compile(r"(?<=[\p{Ll}\p{N},;] )\p{Lu}[\p{L}']*")
-    names = {m.start() for m in name.finditer(text or "")}
     for m in scan.finditer(text or ""):
         if m["n"]:
             out.append(("#n", m["n"]))
             if m["u"]:
                 out.append(("#u", m["u"].lower()))
         else:
-            out.append(("#p" if m.start() in names else m["w"].lower(), m["w"].lower()))
+            out.append(("#p" if is_name(m["w"], text[: m.start()], words) else m["w"].lower(), m["w"].lower()))
     return out
 
 
@@ -31,13 +56,14 @@ def brute(texts, items):
         return [tuple(x[0] for x in t[i : i + WINDOW]) for i in range(max(1, len(t) - WINDOW + 1))] if t else []
 
     index = collections.defaultdict(list)
-    item_tokens = {k: tokens(v) for k, v in items.items()}
+    words = known(items)
+    item_tokens = {k: tokens(v, words) for k, v in items.items()}
     for k, t in item_tokens.items():
         for i, w in enumerate(wins(t)):
             index[w].append((k, i))
     found = set()
     for d, text in texts:
-        t = tokens(text)
+        t = tokens(text, words)
         diagonals = collections.defaultdict(set)
         for j, w in enumerate(wins(t)):
             for k, i in index.get(w, ()):
@@ -99,3 +125,40 @@ def test_empty_tables(spark, bench):
     frame = docs(spark, CASES)
     assert leaks(frame.where("false"), bench).count() == 0
     assert decontaminated(frame, bench.where("false")).count() == len(CASES)
+
+
+def asked(one, verbs, a, b):
+    """A question whose name stands at the starts of its sentences."""
+    return f"{one} {verbs[0]} {a} apples. {one} {verbs[1]} {b} apples. {one} keeps the rest. How many?"
+
+
+FORMS = {
+    "plain": "{}", "quoted": 'He said: "{}"', "in brackets": "({})", "on a line": "Question\n{}", "behind a sentence": "Nothing here matters. {} The end.",
+    "listed": "1. {}", "behind a dash": "see below - {}", "typeset quote": "\u201c{}\u201d",
+}
+
+
+@pytest.mark.parametrize("rest", ["", "how the rest of it buys many and keeps the sells"])
+def test_names_at_the_start_of_sentences(spark, rest):
+    items = spark.createDataFrame([(1, asked("Anna", ("buys", "sells"), 12, 5)), (2, rest)], "item_id long, text string")
+    texts = [(i, form.format(asked("Tom", ("buys", "sells"), 30, 7))) for i, form in enumerate(FORMS.values())]
+    texts += [(20, asked("Anna", ("buys", "sells"), 8, 3).lower())]  # a copy in other case
+    texts += [(50, asked("Tom", ("paints", "wraps"), 30, 7).replace("keeps", "forgets")), (51, asked("Tom", ("buys", "sells"), 30, 30)), (52, "How many? Tom waits. Tom goes.")]
+    texts += [(53, "Tom buys 30 apples. Carl sells 7 apples. Eve keeps the rest. How many?")]  # three names for one
+    found = {r.doc_id: r.coverage for r in leaks(docs(spark, texts), items).where("item_id = 1").collect()}
+    assert set(found) == {*range(len(FORMS)), 20} and min(found.values()) >= 0.8
+
+
+def test_a_common_word_at_a_start_is_no_name(spark):
+    items = spark.createDataFrame([(1, "Where does the river begin to bend and where does it end? Where exactly is that place now")], "item_id long, text string").unionByName(
+        spark.createDataFrame([(2, "we ask Will, for Will, if Will will come to Berlin soon and then leaves")], "item_id long, text string")
+    )
+    texts = [(1, "There does the river begin to bend and there does it end? There exactly is this place now"), (2, "Where does the river begin to bend and where does it end? Where exactly is that place now")]
+    assert [r.doc_id for r in leaks(docs(spark, texts), items).collect()] == [2]
+
+
+def test_words_in_capitals_and_repeated_rows(spark):
+    item = "THE SHOP SELLS PENS TO THE MAN WHO DOESN'T GIVE O'NEIL A LOT OF MONEY, isn't so, O'Neil said"
+    items = spark.createDataFrame([(1, item), (1, None)], "item_id long, text string")
+    texts = [(1, item), (1, item), (2, item.lower()), (3, "A BOAT BUYS CARS FROM A CAT WITH NO BIT AT ALL"), (4, "Xx " * 50), (5, None)]
+    assert sorted({r.doc_id for r in leaks(docs(spark, texts), items).collect()}) == [1, 2]
