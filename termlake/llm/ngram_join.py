@@ -34,7 +34,7 @@ from .text_arrays import mixed, portions, shingle_hashes, utf8
 SHINGLE = 5
 THRESHOLD = 0.8
 RECALL = 0.99999
-MOST_HASHES = 96
+MOST_HASHES, MOST_BANDS = 96, 64  # the number of a band is six bits of its hash
 BLOCK_ROWS, BLOCK_SHINGLES = 128, 2_000_000
 PORTION = 1 << 18
 
@@ -43,8 +43,8 @@ def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int
     """(bands, rows): the most rows, so the fewest false candidates, that reach ``recall`` with ``most`` hashes."""
     best = None
     for rows in range(1, most + 1):
-        bands = math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows)) if threshold < 1 else 1
-        if bands * rows <= most:
+        bands = math.ceil(math.log(1 - recall) / math.log1p(-(threshold**rows))) if threshold < 1 else 1
+        if bands * rows <= most and bands <= MOST_BANDS:
             best = bands, rows
     if best is None:
         raise ValueError("no bands reach this recall with so few hashes")
@@ -80,7 +80,7 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
                     band = np.full(len(some), i + 1, np.uint64)
                     for j in range(i * rows, i * rows + rows):
                         band = mixed(band + np.minimum.reduceat((x ^ flips[j]) * factors[j], first[some]))
-                    out[i, a + some] = (band >> np.uint64(6) | np.uint64(i << 58)).astype(np.int64)
+                    out[i, a + some] = (band >> np.uint64(7) | np.uint64(i << 57)).astype(np.int64)
             columns = [batch.column(0), batch.column(1), pa.array(sizes), *map(pa.array, out)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n", *names])
 
@@ -124,7 +124,7 @@ def linked(h: int, common: np.ndarray, sizes: np.ndarray, blk: np.ndarray | None
     np.fill_diagonal(link, False)
     if blk is not None:
         link &= blk[:, None] != blk[None, :]
-    for k in range(h >> 58):  # counted in an earlier band
+    for k in range(h >> 57):  # counted in an earlier band
         link &= marks[:, k, None] != marks[None, :, k]
     root = np.arange(m)
     while True:
@@ -243,8 +243,9 @@ def compared_blocks(pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Two tables: the rows' doc_id and key; and each key's label (of its group), least doc_id, copies and links."""
-    sketched, _ = persisted(sketches(docs), "sketches")
-    names = [f"b{i}" for i in range(BANDS)]
+    bands, band_rows = choose_bands(threshold)
+    sketched, _ = persisted(sketches(docs, bands, band_rows), "sketches")
+    names = [f"b{i}" for i in range(bands)]
     classes, classes_path = persisted(
         sketched.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.max("n").alias("n"), *[F.max(c).alias(c) for c in names]),
         "text-classes",

@@ -1,6 +1,7 @@
 import collections
 import random
 
+import pytest
 from pyspark.sql.functions import lit
 
 from termlake.llm.ngram_join import BANDS, ROWS, THRESHOLD, choose_bands, ngram_join, one_of_each, op5_ngram_join
@@ -15,7 +16,7 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-def brute(rows):
+def brute(rows, threshold=THRESHOLD):
     """{doc_id: (class_id, n_copies, n_links)} by comparing every two texts that share a shingle."""
     copies = collections.defaultdict(list)
     for doc_id, text in rows:
@@ -35,7 +36,7 @@ def brute(rows):
         return i
 
     for (a, b), n in common.items():
-        if n >= THRESHOLD * (len(sets[a]) + len(sets[b]) - n) - 1e-9:
+        if n >= threshold * (len(sets[a]) + len(sets[b]) - n) - 1e-9:
             links[a] += 1
             links[b] += 1
             parent[find(a)] = find(b)
@@ -50,6 +51,40 @@ def test_bands():
     assert choose_bands(0.5, 0.9, 40)[0] * choose_bands(0.5, 0.9, 40)[1] <= 40
 
 
+def pairs_near(threshold, n, seed):
+    """Pairs of texts whose shingles overlap by the threshold or a little more."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        size = rng.randrange(60, 200)
+        words = [f"p{i}w{k}" for k in range(size)]
+        shared = next(k for k in range(size) if (k - 4) / (2 * (size - 4) - (k - 4)) >= threshold)
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:shared] + [f"p{i}x{k}" for k in range(size - shared)]))]
+    return rows
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.65, 0.8])
+def test_recall_at_other_thresholds(spark, threshold):
+    rows = pairs_near(threshold, 200, int(100 * threshold))
+    want = brute(rows, threshold)
+    got = {r.doc_id: (r.class_id, r.n_copies, r.n_links) for r in ngram_join(docs(spark, rows), threshold).collect()}
+    assert all(x[2] == 1 for x in want.values())
+    assert sum(got[k] == v for k, v in want.items()) >= 0.99 * len(want)
+    assert all(v[2] <= want[k][2] for k, v in got.items())
+
+
+def test_links_count_once_over_many_bands(spark):
+    base = [f"w{k}" for k in range(60)]
+    rows = [(i, " ".join([*base[: 60 - i], *(f"y{i}z{k}" for k in range(i))])) for i in range(20)]
+    got = {r.doc_id: (r.class_id, r.n_copies, r.n_links) for r in ngram_join(docs(spark, rows), 0.5).collect()}
+    assert choose_bands(0.5)[0] > 32 and got == brute(rows, 0.5)
+
+
+def test_few_words_in_all(spark):
+    got = {r.doc_id: r.class_id for r in ngram_join(docs(spark, [(1, "one"), (2, None)]).coalesce(1)).collect()}
+    assert got == {1: 1, 2: 2}
+
+
 def test_equals_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = {r.doc_id: (r.class_id, r.n_copies, r.n_links) for r in op5_ngram_join(spark, SF).collect()}
