@@ -42,6 +42,25 @@ def hier_ancestors(spark, sf_dir):
     return h.ancestors(c, c.where("level = 3"))
 
 
+@register("hier_intervals", """
+, d(root, code, depth) AS (
+  SELECT code, code, 0 FROM concepts UNION ALL SELECT d.root, c.code, d.depth + 1 FROM d JOIN concepts c ON c.parent_code = d.code
+) SELECT a.code, a.root, a.depth, b.below FROM d a JOIN (SELECT code FROM concepts WHERE parent_code IS NULL) r ON r.code = a.root
+JOIN (SELECT root, count(*) - 1 AS below FROM d GROUP BY root) b ON b.root = a.code""", "concepts", recursive=True)
+def hier_intervals(spark, sf_dir):
+    """Tree, depth and number of nodes below each node, all read from its interval."""
+    below = F.floor((F.col("high") - F.col("low") - 1) / 2).alias("below")
+    return h.intervals(t.concepts(spark, sf_dir)).select("code", "root", "depth", below)
+
+
+@register("hier_inside", """
+SELECT m.id, m.industry_code FROM matters m JOIN concepts c ON c.code = m.industry_code WHERE 'R3' IN (c.code, c.level_1_code, c.level_2_code, c.level_3_code)""", "matters", "concepts")
+def hier_inside(spark, sf_dir):
+    """Entities below a node by the range test of its interval."""
+    below = h.inside(h.intervals(t.concepts(spark, sf_dir)), "R3").select(F.col("code").alias("industry_code"))
+    return t.matters(spark, sf_dir).join(below, "industry_code", "left_semi").select("id", "industry_code")
+
+
 @register("hier_ancestry", """
 SELECT code, label, parent_code, level, level_1_code, level_2_code, level_3_code FROM concepts""", "concepts")
 def hier_ancestry(spark, sf_dir):

@@ -27,7 +27,17 @@ def stored(df: DataFrame, label: str, *partitions: str) -> tuple[DataFrame, str]
     return df.sparkSession.read.schema(df.select(*order).schema).parquet(path), path
 
 
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, hadoop = _hadoop(spark, path)
+    return files.exists(hadoop)
+
+
 def dropped(spark: SparkSession, path: str) -> None:
     """Remove a table, or one folder of it."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    files, hadoop = _hadoop(spark, path)
+    files.delete(hadoop, True)
