@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import content_key, tokenize
+from ..operators import postings
 from ..operators import retrieval as r
 from ..sources import tables as t
 from .product import bm25_sql
@@ -44,6 +45,13 @@ def bm25_topk(spark, sf_dir):
     return r.top_k(r.bm25(docs(spark, sf_dir), ASKED).withColumn("score", F.round("score", 6)), 20)
 
 
+@register("bm25_postings", CAND + bm25_sql("cand", ASKED) + " SELECT id, round(score, 6) AS score FROM scores ORDER BY round(score, 6) DESC, id LIMIT 20")
+def bm25_postings(spark, sf_dir):
+    """As bm25_topk, from an index of all documents; the filter is one on strata."""
+    index = postings.build(t.load(spark, sf_dir, "documents"), "doc_id", strata=("lang", "source"))
+    return r.top_k(postings.search(index, ASKED, "lang = 'en' AND source <> 'src0'").withColumn("score", F.round("score", 6)), 20)
+
+
 def cosine_of_first(spark, sf_dir):
     e = t.load(spark, sf_dir, "embeddings")
     query = e.where("vec_id = 0").select(F.col("embedding").alias("query"))  # one row
