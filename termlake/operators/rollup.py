@@ -7,24 +7,35 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import render
 from ..plans.model import ABSENT_POSITIONS
+from ..sources.shared import stored
 from .gates import PERCENT_FROM
+from .quantiles import quantiles
+
+
+QUARTILES = {"median_value": 0.5, "p25_value": 0.25, "p75_value": 0.75}
 
 
 def rollup(facts: DataFrame) -> DataFrame:
-    """Per attribute its counts and, only where numbers exist, their exact quartiles."""
+    """Per attribute its counts and, only where numbers exist, their exact quartiles.
+
+    The needed columns of the facts are written once, as counts and quartiles both read them.
+    """
     present = ~F.col("position").isin(*ABSENT_POSITIONS)
-    numeric = F.col("numeric_value")
-    return facts.groupBy("deal_point_name").agg(
+    narrow, _ = stored(
+        facts.select("deal_point_name", "matter_id", present.alias("present"), "numeric_value", (~F.col("is_inferred")).alias("expert"), F.col("span_start").isNotNull().alias("spanned")),
+        "rollup-facts",
+    )
+    counts = narrow.groupBy("deal_point_name").agg(
         F.count("*").alias("n"),
-        F.count_if(present).alias("present_count"),
-        F.count(numeric).alias("numeric_n"),
-        F.percentile(numeric, 0.5).alias("median_value"),
-        F.percentile(numeric, 0.25).alias("p25_value"),
-        F.percentile(numeric, 0.75).alias("p75_value"),
-        F.count_if(~F.col("is_inferred")).alias("expert_labelled_n"),
-        F.count("span_start").alias("with_source_span_n"),
+        F.count_if("present").alias("present_count"),
+        F.count("numeric_value").alias("numeric_n"),
+        F.count_if("expert").alias("expert_labelled_n"),
+        F.count_if("spanned").alias("with_source_span_n"),
         F.count_distinct("matter_id").alias("matters"),
     )
+    quartiles = quantiles(narrow, ["deal_point_name"], "numeric_value", QUARTILES).drop("numeric_n").withColumnRenamed("deal_point_name", "_name")
+    joined = counts.join(quartiles, F.col("deal_point_name").eqNullSafe(F.col("_name")), "left")
+    return joined.select("deal_point_name", "n", "present_count", "numeric_n", *QUARTILES, "expert_labelled_n", "with_source_span_n", "matters")
 
 
 def distribution(facts: DataFrame) -> DataFrame:
