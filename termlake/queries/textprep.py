@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, keyword_class, keywords, numeric_from_text, redact, span_id
 from ..operators.headers import parse_headers
+from ..operators.quotes import locate_quotes
 from ..operators.spans import locate_spans
 from ..sources import tables as t
 from ..sources.tables import sql_with
@@ -65,32 +66,13 @@ def redacted(spark, sf_dir):
     return lines.select("doc_id", redact(F.concat("text", "suffix")).alias("line"))
 
 
-HEAD = 24  # characters by which a quote is met
-MOST_HEADS = 10_000  # quotes held in a row
-
-
 @register("locate_quote", """
 SELECT d.doc_id, b.item_id, CAST(strpos(d.text, b.text) - 1 AS INT) AS span_start, CAST(strpos(d.text, b.text) - 1 + length(b.text) AS INT) AS span_end
 FROM documents d JOIN benchmark b ON contains(d.text, b.text)""")
 def locate_quote(spark, sf_dir):
-    """Items quoted in documents: a quote is met by the characters it begins with, then located as a whole."""
+    """Items quoted in documents, wherever and however often."""
     d, b = t.load(spark, sf_dir, "documents").select("doc_id", "text"), t.load(spark, sf_dir, "benchmark")
-    heads = b.select("item_id", F.col("text").alias("quote"), F.left("text", F.lit(HEAD)).alias("head"))
-    known = heads.select(F.collect_set("head").alias("heads")) if b.count() <= MOST_HEADS else None
-    if known is None:  # too many quotes to hold in a row: every place of every document, by shuffle
-        widths = [r["n"] for r in heads.where("head IS NOT NULL").select(F.length("head").alias("n")).distinct().collect()]  # HEAD + 1 at most
-        places = F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)))
-        pieces = F.transform(places, lambda p: F.substring(F.col("text"), p, F.col("width")))
-        keyed = d.withColumn("th", F.xxhash64("text"))
-        wide = keyed.withColumn("width", F.explode(F.array(*map(F.lit, widths)).cast("array<int>")))
-        met = wide.select("doc_id", "th", F.explode(F.array_distinct(pieces)).alias("head")).join(heads.select("head").distinct(), "head", "left_semi").distinct()
-        met = met.select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th"), "head")
-        pairs = keyed.join(met, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("th") == F.col("_th"))).select("doc_id", "text", "head")
-    else:
-        inside = F.filter("heads", lambda h: F.contains(F.col("text"), h))
-        pairs = d.crossJoin(F.broadcast(known)).select("doc_id", "text", F.explode(inside).alias("head"))
-    found = pairs.join(heads, "head").withColumn("at", F.expr("position(quote, text)")).where("at > 0")
-    return found.select("doc_id", "item_id", (F.col("at") - 1).cast("int").alias("span_start"), (F.col("at") - 1 + F.length("quote")).cast("int").alias("span_end"))
+    return locate_quotes(d, b.select("item_id", F.col("text").alias("quote")))
 
 
 POINT = "Hentat or onhe answer"
