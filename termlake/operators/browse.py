@@ -32,20 +32,33 @@ def contains(df: DataFrame, column: str, value: str) -> DataFrame:
     return df.where(known(df, column).cast("string").ilike(f"%{value}%"))
 
 
-def page(df: DataFrame, key: str, sort: str | None = None, direction: str = "asc", limit: int = 50, offset: int = 0) -> DataFrame:
-    """A page in a total order: NULLs last ascending, first descending, ties by key. Anything but "desc" is ascending."""
+def checked_limit(limit: int) -> None:
     if not 1 <= limit <= MOST_PAGE:
         raise ValueError(f"limit must be 1 to {MOST_PAGE}")
-    order = [known(df, key).asc()]
-    if sort:
-        c = known(df, sort)
-        order.insert(0, c.desc_nulls_first() if direction == "desc" else c.asc_nulls_last())
-    return df.orderBy(*order).offset(offset).limit(limit)
+
+
+def sort_order(df: DataFrame, key: str, sort: str | None = None, direction: str = "asc") -> list[Column]:
+    """A total order: NULLs last ascending, first descending, ties by key. Anything but "desc" is ascending."""
+    if not sort:
+        return [known(df, key).asc()]
+    c = known(df, sort)
+    return [c.desc_nulls_first() if direction == "desc" else c.asc_nulls_last(), known(df, key).asc()]
+
+
+def page(df: DataFrame, key: str, sort: str | None = None, direction: str = "asc", limit: int = 50, offset: int = 0) -> DataFrame:
+    """A page in ``sort_order``; for deep ones see ``pages``, which sorts once for all."""
+    checked_limit(limit)
+    return df.orderBy(*sort_order(df, key, sort, direction)).offset(offset).limit(limit)
+
+
+def with_total(page: DataFrame, total: DataFrame) -> DataFrame:
+    """``page`` with the one row of ``total`` beside each row; past the last page one row, NULL but for the total."""
+    return total.join(F.broadcast(page), F.lit(True), "left").select(*page.columns, *total.columns)
 
 
 def page_of(df: DataFrame, key: str, sort: str | None = None, direction: str = "asc", limit: int = 50, offset: int = 0) -> DataFrame:
-    """A page with the number of all rows of the filtered set beside each row."""
-    return page(df, key, sort, direction, limit, offset).crossJoin(F.broadcast(df.agg(F.count("*").alias("total"))))
+    """A page with the number of all rows of the filtered set beside each row; past the end a row of NULLs with that number."""
+    return with_total(page(df, key, sort, direction, limit, offset), df.agg(F.count("*").alias("total")))
 
 
 def lookup(df: DataFrame, key: str, asked: DataFrame) -> DataFrame:
@@ -71,7 +84,10 @@ def export_csv(df: DataFrame, path: str, key: str, sort: str | None = None, dire
 
 
 def log_search(lines: DataFrame, level: str | None = None, text: str | None = None, limit: int = 100, offset: int = 0, order: str = "line_no") -> DataFrame:
-    """Matching lines, oldest first: level by equality, text case-sensitive in the line's JSON; with the number of all matches."""
+    """Matching lines, oldest first: level by equality, text case-sensitive in the line's JSON; with the number of all matches.
+
+    Past the end, or without a match, there is one row of NULLs with that number.
+    """
     if not 1 <= limit <= MOST_LINES:
         raise ValueError(f"limit must be 1 to {MOST_LINES}")
     found = lines
@@ -79,5 +95,4 @@ def log_search(lines: DataFrame, level: str | None = None, text: str | None = No
         found = found.where(F.col("level") == level)
     if text:
         found = found.where(F.contains(F.to_json(F.struct(*lines.columns)), F.lit(text)))
-    total = F.broadcast(found.agg(F.count("*").alias("total_matched")))
-    return found.orderBy(order).offset(offset).limit(limit).crossJoin(total)
+    return with_total(found.orderBy(order).offset(offset).limit(limit), found.agg(F.count("*").alias("total_matched")))
