@@ -9,8 +9,10 @@ words, and the score is that share.
 
 The model is fitted on a bounded sample: TRAIN_TEXTS labelled texts of each language (MOST_TEXTS in all),
 distinct ones with the least seeded draws, of each at most TRAIN_WORDS words from a seeded place; so copies of
-one text count once and no language is left out. The weight table has SLOTS rows, fewer with so many languages
-that it would pass MOST_WEIGHTS. Prediction reads whole texts.
+one text count once. Languages are the MOST_LANGUAGES labels with the most rows, of equally frequent ones the first by
+code point; rarer labels teach nothing. The weight table has SLOTS rows, fewer with so many languages that it would
+pass MOST_WEIGHTS (64 MB); the moves between languages take 8 MB at most. Prediction reads whole texts; chains that run
+side by side are fewer bytes with more languages.
 
 Words of a chain are those with an ASCII letter, an apostrophe or a character beyond ASCII.
 
@@ -38,10 +40,11 @@ FOLDS = 5
 TRAIN_TEXTS, TRAIN_WORDS = 400, 150
 MOST_TEXTS = 8000  # training texts of all languages together
 SLOTS, MOST_WEIGHTS = 1 << 17, 1 << 24
+MOST_LANGUAGES = 1000
 SEQUENCE, EPOCHS, BATCH, RATE = 48, 4, 64, 0.15
 SEED = 3
 PORTION = 1 << 19  # bytes whose features are held at a time
-CHAIN_BYTES = 1 << 23  # bytes of whole texts whose chains run side by side; a longer text runs alone
+CHAIN_BYTES = 1 << 25  # bytes times languages of whole texts whose chains run side by side; a longer text runs alone
 UND = "und"
 
 # Bytes of words: ASCII letters and the apostrophe, and all bytes of characters beyond ASCII.
@@ -60,7 +63,7 @@ class Model:
 
 def slots_for(languages: int) -> int:
     """Rows of the weight table: a power of two, so that the table stays within MOST_WEIGHTS."""
-    return max(1 << 10, min(SLOTS, 1 << (MOST_WEIGHTS // max(1, languages)).bit_length() - 1))
+    return min(SLOTS, 1 << (MOST_WEIGHTS // max(1, languages)).bit_length() - 1)
 
 
 def features(raw: np.ndarray, offsets: np.ndarray, n_slots: int = SLOTS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -233,19 +236,20 @@ def training_sample(docs: DataFrame, seed: int = SEED) -> list[tuple[str, str]]:
     """Pairs (span of words, lang): of each language the distinct texts with the least draws, TRAIN_TEXTS or an even part of MOST_TEXTS."""
     draw = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 40))
     labelled = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text", draw.alias("draw"))
-    counts = labelled.groupBy("lang").agg(F.approx_count_distinct("draw").alias("texts"))
-    per_language = F.greatest(F.lit(1), F.least(F.lit(TRAIN_TEXTS), F.floor(F.lit(MOST_TEXTS) / F.count("*").over(Window.partitionBy(F.lit(0))))))
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("rows"), F.approx_count_distinct("draw").alias("texts"))
+    top = counts.orderBy(F.desc("rows"), "lang").limit(MOST_LANGUAGES).select("lang", "texts").collect()
+    per_language = max(1, min(TRAIN_TEXTS, MOST_TEXTS // max(1, len(top))))
     # Twice the texts asked for pass this filter, so that hardly ever too few are left; equal texts pass together.
-    limits = counts.select("lang", per_language.alias("most"), (2.0 * per_language / F.col("texts") * (1 << 40)).alias("limit"))
+    limits = docs.sparkSession.createDataFrame([(r["lang"], 2.0 * per_language / r["texts"] * (1 << 40)) for r in top], "lang string, limit double")
     w = words_of(F.col("text"))
     place = F.floor(F.pmod(F.xxhash64("text", F.lit(seed + 1)), F.lit(1 << 40)) / (1 << 40) * (F.greatest(F.size(w) - TRAIN_WORDS, F.lit(0)) + 1))
     rows = (
-        labelled.join(F.broadcast(limits), "lang")  # a row for each language, as many as the model on the driver has columns
+        labelled.join(F.broadcast(limits), "lang")  # MOST_LANGUAGES rows at most
         .where("draw < limit")
-        .groupBy("lang", "draw", "most")
+        .groupBy("lang", "draw")
         .agg(F.min("text").alias("text"))
         .withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("draw")))
-        .where("place <= most")
+        .where(F.col("place") <= per_language)
         .select("lang", F.array_join(F.slice(w, (place + 1).cast("int"), TRAIN_WORDS), " ").alias("span"))
         .collect()
     )
@@ -271,7 +275,7 @@ def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in batches:
             text = batch.column(at)
             share, counts = np.zeros((batch.num_rows, k)), np.zeros(batch.num_rows, np.int64)
-            for a, b in portions(utf8(text)[1], CHAIN_BYTES):
+            for a, b in portions(utf8(text)[1], max(PORTION, CHAIN_BYTES // k)):
                 chances, first = label_words(model, text.slice(a, b - a))
                 counts[a:b] = np.diff(first)
                 some = np.flatnonzero(counts[a:b])

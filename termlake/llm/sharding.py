@@ -31,7 +31,7 @@ from .common import fresh, table
 
 SHARDS = 24
 SEED = 20
-CELL_ROWS, CELL_BYTES = 50_000, 1 << 22  # rows and text bytes of a cell, which one task permutes
+CELL_ROWS, CELL_BYTES = 2_000_000, 1 << 28  # rows and text bytes of a cell, which one task permutes by a sort that spills
 NUMPY_LIMIT = 10**9  # numpy draws hypergeometric numbers from fewer rows
 
 

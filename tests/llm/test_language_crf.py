@@ -131,3 +131,16 @@ def test_names_that_clash(spark, model):
     for rows in (predicted(frame, model), predicted(frame, None)):
         assert rows.columns == [*frame.columns, "_lang_", "_score_"]
         assert all((r._lang, r._score, r._letter) == (5, 5, 5) for r in rows.collect())
+
+
+def test_rarer_labels_than_the_model_has_room_for(spark, monkeypatch):
+    monkeypatch.setattr(language_crf, "MOST_LANGUAGES", 2)
+    words = {"en": "the of and with", "de": "der und nicht mit", "xx": "zzz yyy xxx", "fr": "le la et"}
+    counts = {"en": 30, "de": 20, "fr": 5, "xx": 5}
+    rows = [(i, f"{words[lang]} {lang}{i} " * 5, lang) for i, lang in enumerate(lang for lang, n in counts.items() for _ in range(n))]
+    assert {lang for _, lang in training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))} == {"en", "de"}
+
+
+def test_the_model_is_bounded():
+    for languages in (1, 4, 100, 999, language_crf.MOST_LANGUAGES):
+        assert language_crf.slots_for(languages) * languages <= language_crf.MOST_WEIGHTS
