@@ -16,6 +16,7 @@ of the input are ignored.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import zlib
@@ -106,6 +107,13 @@ MARKS = frozenset(filter(re.compile(f"[{MARK}]").match, map(chr, range(128))))
 _ENCODERS: dict[tuple[str, bool], tuple[Callable[[str], bytes], str]] = {}  # of this worker
 
 
+def forget_units() -> None:
+    """Drop what this worker has cached of units: the stages behind the tokenizing need the memory, not the units."""
+    if _ENCODERS:
+        _ENCODERS.clear()
+        gc.collect()  # the caches hold themselves
+
+
 def plain_byte_level(spec: dict) -> bool:
     """Whether a tokenizer file is one for which units may be encoded apart: bare byte-level pieces and their merges."""
     model, pieces = spec["model"], spec.get("pre_tokenizer") or {}
@@ -197,6 +205,7 @@ def rank_order(ids: DataFrame) -> np.ndarray:
     """All ids that occur, most frequent first, ties by id. Rows to the driver: the vocabulary at most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_units()
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
             for x in unpacked(batch):
@@ -257,6 +266,7 @@ def write_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
     shared = spark.sparkContext.broadcast(rank_of)  # four bytes for each id up to the largest
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_units()
         part, at, pending, names, ranks = TaskContext.get().partitionId(), 0, 0, [], []
 
         def block() -> pa.RecordBatch:
@@ -303,6 +313,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
         before[row["part"]], base = base, base + row["end"]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_units()
         for batch in batches:
             for row in batch.to_pylist():
                 counts = np.array(row["counts"], np.int64)
