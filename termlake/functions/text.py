@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 SPACE = r"(?U)\s+"
 
-# Phrases that bound a number, spellings of legal suffixes, stop words of attribute names.
+# Phrases that bound a number, spellings of legal suffixes, forms of dates, citations and numbers, stop words of attribute names.
 BOUND_WORDS = ("greater than", "less than", "more than", "fewer than", "at least", "at most")
 SUFFIX_SPELLINGS = {"INCORPORATED": "INC", "CORPORATION": "CORP", "COMPANY": "CO", "LIMITED": "LTD"}
 LEGAL_SUFFIXES = ("INCORPORATED", "CORPORATION", "COMPANY", "HOLDINGS", "GROUP", "INC", "CORP", "LLC", "LP", "LTD", "PLC", "NV", "SA", "AB", "CO")
+MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
+STATED_DATE = rf"(?iU)\b({MONTHS})\s+(\d{{1,2}}),?\s+(\d{{4}})\b"
+PAGE_CITATION = r"(?U)\(Pages?\s*[\d\s,\-–]+\)"
+STATED_NUMBER = r"(?U)^(?:within|approximately|about)?\s*(\d+(?:\.\d+)?)\s*(?:%|[a-z])"
 NAME_STOP_WORDS = ("answer", "y", "n", "the", "a", "an", "of", "to", "is", "and", "or", "for")
 
 
@@ -20,7 +24,7 @@ def strip(text: Column) -> Column:
 
 def clean_text(text: Column) -> Column:
     """Page citations dropped, white space collapsed."""
-    return strip(F.regexp_replace(F.regexp_replace(text, r"(?U)\(Pages?\s*[\d\s,\-–]+\)", " "), SPACE, " "))
+    return strip(F.regexp_replace(F.regexp_replace(text, PAGE_CITATION, " "), SPACE, " "))
 
 
 def content_key(text: Column) -> Column:
@@ -38,7 +42,7 @@ def numeric_from_text(text: Column) -> Column:
     bound = F.lit(False)
     for phrase in BOUND_WORDS:
         bound = bound | low.startswith(phrase)
-    number = F.regexp_extract(low, r"(?U)^(?:within|approximately|about)?\s*(\d+(?:\.\d+)?)\s*(?:%|[a-z])", 1)
+    number = F.regexp_extract(low, STATED_NUMBER, 1)
     return F.when(~bound & (number != ""), number.try_cast("double"))
 
 
@@ -93,9 +97,7 @@ def slice_text(text: Column, start: Column, end: Column) -> tuple[Column, Column
 
 def header_date(text: Column) -> Column:
     """The first ``Month d, yyyy``, in any case; an impossible day is NULL."""
-    months = "January|February|March|April|May|June|July|August|September|October|November|December"
-    pattern = rf"(?iU)\b({months})\s+(\d{{1,2}}),?\s+(\d{{4}})\b"
-    stated = F.concat_ws(" ", F.initcap(F.regexp_extract(text, pattern, 1)), F.regexp_extract(text, pattern, 2), F.regexp_extract(text, pattern, 3))
+    stated = F.concat_ws(" ", F.initcap(F.regexp_extract(text, STATED_DATE, 1)), F.regexp_extract(text, STATED_DATE, 2), F.regexp_extract(text, STATED_DATE, 3))
     return F.try_to_date(F.nullif(F.trim(stated), F.lit("")), "MMMM d yyyy")
 
 

@@ -17,6 +17,14 @@ def refusal(spark: SparkSession, ids: list, min_n: int = MIN_N) -> DataFrame:
     return spark.createDataFrame([(n, n < min_n, reason)], "selection_n bigint, refused boolean, reason string")
 
 
+def refusals(selected: DataFrame, group: str, key: str = "id", min_n: int = MIN_N) -> DataFrame:
+    """As ``refusal`` for each of many selections: ``group`` names the selection of a row, ``key`` the selected entity."""
+    counted = selected.groupBy(group).agg(F.count_distinct(key).alias("selection_n"))
+    small = F.col("selection_n") < min_n
+    reason = F.concat(F.lit("n="), F.col("selection_n").cast("string"), F.lit(f" is below the minimum of {min_n}"))
+    return counted.select(group, "selection_n", small.alias("refused"), F.when(small, reason).alias("reason"))
+
+
 def suppress(df: DataFrame, n: str, min_n: int = MIN_N) -> DataFrame:
     return df.where(F.col(n) >= min_n)
 

@@ -17,6 +17,14 @@ FURTHER = r"INCORPORATED|CORPORATION|COMPANY|INC|CORP|LLC|L\.L\.C\.|LP|L\.P\.|LT
 LEADS = r"BY AND AMONG|AND AMONG|AMONG|BETWEEN|AND|BY|THE"
 VEHICLES = r"MERGER SUB|MERGERSUB|ACQUISITION|BIDCO|MERGER CORP|SUB,|MERGER PARENT|HOLDCO"
 
+# Where a header ends, what a signing date looks like, what stands before and behind the parties.
+HEAD_CHARS = 1500
+HEADER_END = r"(?iU)TABLE OF CONTENTS|ARTICLE\s+(?:[IVX]+|\d+)\b"
+MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
+SIGNED = rf"(?iU)\b(?:{MONTHS})\s+\d{{1,2}},?\s+\d{{4}}\b"
+BEFORE_PARTIES = r"(?iU)^.*?\b(?:by and among|by and between|among|between)\b[:\s]*"
+BEHIND_PARTIES = r"(?iU)\b(?:Dated as of|dated)\b.*"
+
 PARTY = re.compile(rf"[A-Z][A-Za-z0-9&'’./\-\s]{{2,70}}?,?\s+(?:{ENDINGS})\.?(?![A-Za-z])(?:,?\s+(?:{FURTHER})\.?(?![A-Za-z]))*")
 LEAD = re.compile(rf"(?:(?:{LEADS}) [\s,:]*)+", re.I)
 
@@ -55,17 +63,14 @@ def parse_parties(blocks: pd.Series) -> pd.DataFrame:
 
 
 def header_of(text: Column) -> Column:
-    """The cleaned first 1500 characters up to the table of contents or the first article."""
-    head = F.regexp_replace(clean_text(F.left(text, F.lit(1500))), "^﻿+", "")
-    return F.element_at(F.split(head, r"(?iU)TABLE OF CONTENTS|ARTICLE\s+(?:[IVX]+|\d+)\b", 2), 1)
+    """The cleaned first HEAD_CHARS characters up to the table of contents or the first article."""
+    head = F.regexp_replace(clean_text(F.left(text, F.lit(HEAD_CHARS))), "^﻿+", "")
+    return F.element_at(F.split(head, HEADER_END, 2), 1)
 
 
 def parse_headers(texts: DataFrame, key: str = "id") -> DataFrame:
     """key, acquirer_name, target_name, signing_date and parties of each text."""
-    months = "January|February|March|April|May|June|July|August|September|October|November|December"
-    date = rf"(?iU)\b(?:{months})\s+\d{{1,2}},?\s+\d{{4}}\b"
-    lead = r"(?iU)^.*?\b(?:by and among|by and between|among|between)\b[:\s]*"
     head = header_of(F.col("text"))
-    block = F.regexp_replace(F.element_at(F.split(F.regexp_replace(head, lead, ""), date, 2), 1), r"(?iU)\b(?:Dated as of|dated)\b.*", "")
+    block = F.regexp_replace(F.element_at(F.split(F.regexp_replace(head, BEFORE_PARTIES, ""), SIGNED, 2), 1), BEHIND_PARTIES, "")
     parsed = texts.select(key, header_date(head).alias("signing_date"), parse_parties(block).alias("p"))
     return parsed.select(key, "p.acquirer_name", "p.target_name", "signing_date", "p.parties")

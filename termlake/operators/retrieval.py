@@ -68,9 +68,13 @@ def hybrid(lexical: DataFrame, semantic: DataFrame, alphas: tuple[float, ...] =
 
 
 def embedded(texts: DataFrame, archive: DataFrame) -> DataFrame:
-    """``texts`` with the archived vector of their content; ``missing`` tells the texts without one."""
+    """``texts`` with the archived vector of their content; ``missing`` tells the texts without one.
+
+    Of a key that the archive has several times the least vector counts; ``merge_archives`` puts archives in order first.
+    """
     keyed = texts.withColumn("content_key", content_key(F.col("text")))
-    return keyed.join(archive, "content_key", "left").withColumn("missing", F.col("embedding").isNull())
+    once = archive.groupBy("content_key").agg(F.min("embedding").alias("embedding"))
+    return keyed.join(once, "content_key", "left").withColumn("missing", F.col("embedding").isNull())
 
 
 class MissingVectors(LookupError):
@@ -105,13 +109,13 @@ def unranked(candidates: DataFrame, limit: int, key: str = "id") -> DataFrame:
     return candidates.orderBy(key).limit(limit)
 
 
-def to_embed(sources: list[DataFrame]) -> DataFrame:
-    """One row per distinct content of all sources (text), with the least of its texts."""
-    texts = sources[0].select("text")
-    for s in sources[1:]:
-        texts = texts.unionByName(s.select("text"))
-    cut = texts.where("text <> ''").select(F.left("text", F.lit(2000)).alias("text"))
-    return cut.groupBy(content_key(F.col("text")).alias("content_key")).agg(F.min("text").alias("text"), F.count("*").alias("n_sources"))
+def to_embed(sources: list[DataFrame], most: list[int | None] | None = None) -> DataFrame:
+    """One row per distinct content of all sources (text), with the least of its texts; ``most`` cuts the texts of a source."""
+    texts = None
+    for source, limit in zip(sources, most or [None] * len(sources), strict=True):
+        cut = source.select((F.col("text") if limit is None else F.left("text", F.lit(limit))).alias("text"))
+        texts = cut if texts is None else texts.unionByName(cut)
+    return texts.where("text <> ''").groupBy(content_key(F.col("text")).alias("content_key")).agg(F.min("text").alias("text"), F.count("*").alias("n_sources"))
 
 
 def summary_line(title: Column, target: Column, acquirer: Column, label: Column, date: Column) -> Column:

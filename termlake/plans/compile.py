@@ -150,3 +150,19 @@ def catalog_rows() -> list[tuple[str, str, str, str, bool]]:
     """(name, kind, cube, type or aggregate, selectable) of every member that is not hidden."""
     dims = [(d.name, "dimension", d.cube, d.type, True) for d in DIMENSIONS.values() if not d.hidden]
     return dims + [(m.name, "measure", m.cube, m.how, m.selectable) for m in MEASURES.values()]
+
+
+def label_sizes(cubes: Cubes) -> DataFrame:
+    """(name, n_values) of every dimension that is not hidden: how many different values the data have for it, NULL left out.
+
+    Values of all dimensions of a cube are told apart together, so no task gathers those of one dimension.
+    """
+    out = None
+    for cube in PREFIX:
+        dims = [d for d in DIMENSIONS.values() if d.cube == cube and not d.hidden]
+        rows, _ = joined(cubes, {cube, "consideration"} if cube == "matters" else {cube}, cube)
+        cells = F.array(*[F.struct(F.lit(d.name).alias("name"), d.column().cast("string").alias("value")) for d in dims])
+        values = rows.select(F.explode(cells).alias("x")).select("x.name", "x.value").distinct()
+        sizes = values.groupBy("name").agg(F.count("value").alias("n_values"))
+        out = sizes if out is None else out.unionByName(sizes)
+    return out

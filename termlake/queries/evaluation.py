@@ -88,14 +88,22 @@ SELECT CAST(alpha AS DOUBLE) AS alpha, count(*) AS queries, round(avg(CASE WHEN
        round(avg(CASE WHEN rk <= 10 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_10, round(avg(coalesce(1.0 / rk, 0)), 6) AS mrr FROM h GROUP BY alpha"""
 
 
-@register("eval_recall_mrr", RANK_SQL)
-def eval_recall_mrr(spark, sf_dir):
+RANKS = RANK_SQL[: RANK_SQL.index("SELECT CAST(alpha")]
+
+
+def ranked_orders(spark, sf_dir, alphas):
+    """Blended scores of all orders, the customer who asks for each, and the order that is the relevant one."""
     o = t.load(spark, sf_dir, "orders")
     lexical = o.select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("score"))
     semantic = o.select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 97).cast("double").alias("score"))
-    blended = hybrid(lexical, semantic, (0.0, 0.3, 0.5, 0.7, 1.0)).withColumn("score", F.round("score", 9))
+    blended = hybrid(lexical, semantic, alphas).withColumn("score", F.round("score", 9))
     asked = o.select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("id"))
-    relevant = asked.groupBy("query_id").agg(F.max("id").alias("id"))
+    return blended, asked, asked.groupBy("query_id").agg(F.max("id").alias("id"))
+
+
+@register("eval_recall_mrr", RANK_SQL)
+def eval_recall_mrr(spark, sf_dir):
+    blended, asked, relevant = ranked_orders(spark, sf_dir, (0.0, 0.3, 0.5, 0.7, 1.0))
     return e.ranked_metrics(blended.join(asked, "id"), relevant, ["alpha"])
 
 

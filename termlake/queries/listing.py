@@ -10,11 +10,13 @@ from ..operators import evals as e
 from ..operators import retrieval as r
 from ..operators import upsert as u
 from ..operators.facets import facets
-from ..plans.compile import described_rows
+from ..plans.compile import described_rows, label_sizes
 from ..sources import tables as t
 from ..sources.readers import titles
 from ..sources.tables import sql_with
+from .evaluation import RANKS, ranked_orders
 from .product import LINE_SQL, lined
+from .semantic import SIZES_SQL, VIEWS, cubes
 
 QUERIES, ORACLES = {}, {}
 
@@ -53,14 +55,14 @@ def comparables_unranked(spark, sf_dir):
     return r.unranked(lined(spark, sf_dir).where("industry_code = 'N7'").select("id", "text"), 25)
 
 
-TEXT_KEYS = "FROM documents WHERE text <> ''"
+CLAUSE_CHARS = 2000  # of a clause so much is embedded
 
 
 @register("texts_to_embed", f"""
-SELECT text, count(*) AS n_sources FROM (SELECT left(text, 2000) AS text {TEXT_KEYS} UNION ALL SELECT left(text, 2000) FROM benchmark WHERE text <> '') GROUP BY text""")
+SELECT text, count(*) AS n_sources FROM (SELECT text FROM documents WHERE text <> '' UNION ALL SELECT left(text, {CLAUSE_CHARS}) FROM benchmark WHERE text <> '') GROUP BY text""")
 def texts_to_embed(spark, sf_dir):
     sources = [t.load(spark, sf_dir, name) for name in ("documents", "benchmark")]
-    return r.to_embed(sources).select("text", "n_sources")
+    return r.to_embed(sources, [None, CLAUSE_CHARS]).select("text", "n_sources")
 
 
 @register("embedding_lookup", """
@@ -90,10 +92,13 @@ def ingest_statistics(spark, sf_dir):
     return e.ingest_statistics(t.deal_points(spark, sf_dir))
 
 
-@register("catalog_descriptions", "SELECT * FROM (VALUES " + ", ".join("({})".format(", ".join("'" + x.replace("'", "''") + "'" for x in row)) for row in described_rows()) + f") v(name, kind, description), (SELECT CAST({len(described_rows())} AS BIGINT) AS n_members)")
+DESCRIBED = ", ".join("({})".format(", ".join("'" + x.replace("'", "''") + "'" for x in row)) for row in described_rows())
+
+
+@register("catalog_descriptions", SIZES_SQL + f" SELECT v.*, n_values FROM (VALUES {DESCRIBED}) v(name, kind, description) LEFT JOIN sizes ON sizes.name = v.name", *VIEWS)
 def catalog_descriptions(spark, sf_dir):
     rows = spark.createDataFrame(described_rows(), "name string, kind string, description string")
-    return rows.withColumn("n_members", F.lit(len(described_rows())).cast("bigint"))
+    return rows.join(label_sizes(cubes(spark, sf_dir)), "name", "left")
 
 
 @register("id_suffix", "SELECT page_id, list_last(string_split('page__' || url, '__')) AS suffix FROM pages")
@@ -127,13 +132,14 @@ def bucket_labels(spark, sf_dir):
     return facets(rows, {"year": "year", "industry": "industry_code"}, {}).select("facet", "value", "n", "reason")
 
 
-@register("saturated_templates", """
-, m AS (SELECT industry_code AS template, acquirer_name AS method, avg(CASE WHEN deal_value IS NULL OR deal_value > 30000 THEN 1.0 ELSE 0.0 END) AS recall FROM matters GROUP BY 1, 2)
-SELECT template, min(recall) >= 0.999 AS saturated FROM m GROUP BY 1""", "matters")
+@register("saturated_templates", RANKS + """, n AS (SELECT query_id, CAST(least(count(*), 12) AS INT) AS template FROM o GROUP BY 1),
+m AS (SELECT template, alpha, avg(CASE WHEN rk <= 1 THEN 1.0 ELSE 0.0 END) AS recall FROM h JOIN n ON n.query_id = h.query_id WHERE alpha IN (0.0, 1.0) GROUP BY 1, 2)
+SELECT template, min(recall) >= 0.999 AS saturated FROM m GROUP BY 1""")
 def saturated_templates(spark, sf_dir):
-    hit = F.when(F.coalesce(F.col("deal_value") <= 30000, F.lit(False)), 0.0).otherwise(1.0)
-    metrics = t.matters(spark, sf_dir).groupBy(F.col("industry_code").alias("template"), F.col("acquirer_name").alias("method")).agg(F.avg(hit).alias("recall_at_1"))
-    return e.saturated(metrics, "template")
+    """Customers by their number of orders: whether both pure methods find the last order first."""
+    blended, asked, relevant = ranked_orders(spark, sf_dir, (0.0, 1.0))
+    templates = asked.groupBy("query_id").agg(F.least(F.count("*"), F.lit(12)).cast("int").alias("template"))
+    return e.saturated(e.ranked_metrics(blended.join(asked, "id").join(templates, "query_id"), relevant, ["template", "alpha"]), "template")
 
 
 @register("insert_ignore", """

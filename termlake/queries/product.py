@@ -10,10 +10,11 @@ from ..functions.text import slice_text
 from ..operators import coverage as cov
 from ..operators import facets as fac
 from ..operators.drill import drill_through, matter_cards
-from ..operators.gates import confident, refusal
+from ..operators.gates import confident, refusals
 from ..operators.hierarchy import under
 from ..operators.retrieval import bm25, summary_line, top_k
 from ..operators.rollup import absences, deal_terms, rollup
+from ..plans.model import ABSENT_POSITIONS
 from ..sources import tables as t
 from ..sources.tables import sql_with
 from .semantic import BAND_SQL, banded
@@ -152,22 +153,27 @@ def deal_terms_report(spark, sf_dir):
     return deal_terms(t.deal_points(spark, sf_dir), plus_unasked(spark, sf_dir), chosen(spark, sf_dir), 100)
 
 
-RENDERED = [(0, 0, 8), (3, 7, 8), (5, 8, 8), (1, 8, 8), (3, 8, 9), (10, 10, 10), (25, 200, 300), (9, 9, 12)]
-
-
-@register("render_counts", f"""
-SELECT present, answered, selected, CASE WHEN answered = 0 THEN '0 of ' || selected WHEN answered < 8 THEN present || ' of ' || answered
-  ELSE CAST(CAST(round_even(100.0 * present / answered, 0) AS INT) AS STRING) || '%' END AS rendered, CASE WHEN answered < 8 THEN 'count' ELSE 'percentage' END AS kind
-FROM (VALUES {", ".join(map(str, RENDERED))}) v(present, answered, selected)""")
+@register("render_counts", """
+, c AS (SELECT deal_point_name, span_start, count(*) FILTER (WHERE position NOT IN ('None', 'No', 'N/A')) AS present, count(numeric_value) AS answered, count(DISTINCT matter_id) AS selected FROM deal_points GROUP BY 1, 2)
+SELECT deal_point_name, span_start, present, answered, selected, CASE WHEN answered = 0 THEN '0 of ' || selected WHEN answered < 8 THEN present || ' of ' || answered
+  ELSE CAST(CAST(round_even(100.0 * present / answered, 0) AS INT) AS STRING) || '%' END AS rendered, CASE WHEN answered < 8 THEN 'count' ELSE 'percentage' END AS kind FROM c""", "deal_points")
 def render_counts(spark, sf_dir):
-    df = spark.createDataFrame(RENDERED, "present int, answered int, selected int")
+    """Counts of each attribute at each place, rendered against those that state a number."""
+    present = ~F.col("position").isin(*ABSENT_POSITIONS)
+    counts = t.deal_points(spark, sf_dir).groupBy("deal_point_name", "span_start").agg(
+        F.count_if(present).alias("present"), F.count("numeric_value").alias("answered"), F.count_distinct("matter_id").alias("selected")
+    )
     text, kind = render(F.col("present"), F.col("answered"), F.col("selected"), 8)
-    return df.select("*", text.alias("rendered"), kind.alias("kind"))
+    return counts.select("*", text.alias("rendered"), kind.alias("kind"))
 
 
-@register("min_n_gate", "SELECT CAST(4 AS BIGINT) AS selection_n, true AS refused, 'n=4 is below the minimum of 5' AS reason UNION ALL SELECT 5, false, NULL")
+@register("min_n_gate", """
+, s AS (SELECT target_name AS asked, count(DISTINCT id) AS selection_n FROM matters WHERE deal_value IS NOT NULL GROUP BY 1)
+SELECT asked, selection_n, selection_n < 5 AS refused, CASE WHEN selection_n < 5 THEN 'n=' || selection_n || ' is below the minimum of 5' END AS reason FROM s""", "matters")
 def min_n_gate(spark, sf_dir):
-    return refusal(spark, [1, 2, 3, 4, 4, 1]).unionByName(refusal(spark, [1, 2, 3, 4, 5]))
+    """The matters of every target as a selection of its own."""
+    valued = t.matters(spark, sf_dir).where("deal_value IS NOT NULL").withColumnRenamed("target_name", "asked")
+    return refusals(valued, "asked")
 
 
 CONFIDENCE = [("DP1", 0.95), ("DP2", 0.5), ("DP3", 0.7)]
@@ -205,13 +211,15 @@ def matter_card(spark, sf_dir):
 
 
 @register("span_slice", """
-, s AS (SELECT d.*, x.text FROM deal_points d LEFT JOIN documents x ON x.doc_id = d.matter_id % (SELECT count(*) FROM documents)), q AS (
+, s AS (SELECT matter_id, deal_point_name, span_start * 53 AS span_start, span_start * 53 + 40 AS span_end, x.text FROM deal_points d LEFT JOIN documents x ON x.doc_id = d.matter_id % (SELECT count(*) FROM documents)), q AS (
   SELECT *, CASE WHEN span_start IS NULL THEN 'no_span' WHEN text IS NULL THEN 'no_text' WHEN span_end > length(text) THEN 'bad_span' END AS reason FROM s
 ) SELECT matter_id, deal_point_name, reason, CASE WHEN reason IS NULL THEN substring(text, span_start + 1, 40) END AS clause_text FROM q""", "deal_points")
 def span_slice(spark, sf_dir):
+    """Spans of 40 characters that begin anywhere in the first ten thousand."""
     texts = t.load(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
     joined = t.deal_points(spark, sf_dir).join(texts, F.col("matter_id") % texts.count() == F.col("key"), "left")
-    piece, reason = slice_text(F.col("text"), F.col("span_start"), F.col("span_end"))
+    start = F.col("span_start") * 53
+    piece, reason = slice_text(F.col("text"), start, start + 40)
     return joined.select("matter_id", "deal_point_name", reason.alias("reason"), piece.alias("clause_text"))
 
 

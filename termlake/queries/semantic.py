@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import size_band
-from ..plans.compile import catalog_rows, compile_selection, governed
+from ..plans.compile import catalog_rows, compile_selection, governed, label_sizes
 from ..plans.model import TEST_BANDS, Cubes, Selection
 from ..sources import tables as t
 from ..sources.tables import sql_with
@@ -161,9 +161,34 @@ def sl_min_n_suppress(spark, sf_dir):
     return governed(asked, cubes(spark, sf_dir), 20).toDF("target_name", "n")
 
 
-@register("catalog", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{k}', '{c}', '{y}', {str(s).lower()})" for n, k, c, y, s in catalog_rows()) + ") v(name, kind, cube, type, selectable)")
+@register("sl_order_limit", "SELECT position, deal_point_name, count(*) AS n FROM deal_points GROUP BY 1, 2 ORDER BY position DESC, deal_point_name LIMIT 25", "deal_points")
+def sl_order_limit(spark, sf_dir):
+    out = select(spark, sf_dir, measures=["deal_points.n"], dimensions=["deal_points.position", "deal_points.deal_point_name"], order={"deal_points.position": "desc"}, limit=25)
+    return out.toDF("position", "deal_point_name", "n")
+
+
+# The dimensions as SQL over the views; names that are columns stand for themselves.
+SIZED = {
+    "deal_points": ["matter_id", "deal_point_name", "position", "numeric_value", "is_inferred", "has_source_span", "updated_at"],
+    "matters": ["id", "target_name", "acquirer_name", "signing_date", "signing_year", "sic_code", "industry_code", "is_inferred_industry", "has_industry", "deal_value", "deal_size_band",
+                "consideration_type", "corpus", "updated_at"],
+    "concepts": ["code", "label", "level_1_code", "level_2_code", "level_3_code"],
+}
+FORMULAS = {
+    "has_source_span": "span_start IS NOT NULL", "signing_year": "year(signing_date)", "has_industry": "industry_code IS NOT NULL", "deal_size_band": BAND_SQL,
+    "consideration_type": "CASE WHEN id IN (SELECT matter_id FROM answers) THEN (SELECT max(position) FROM answers WHERE matter_id = id) END",
+}
+SIZES_SQL = ", answers AS (SELECT matter_id, position FROM deal_points WHERE deal_point_name = 'DP1'), sizes AS (" + " UNION ALL ".join(
+    f"SELECT '{cube}.{name}' AS name, count(DISTINCT {FORMULAS.get(name, name)}) AS n_values FROM {cube}" for cube, names in SIZED.items() for name in names
+) + ")"
+VIEWS = ("deal_points", "matters", "concepts")
+
+
+@register("catalog", SIZES_SQL + " SELECT v.*, n_values FROM (VALUES " + ", ".join(f"('{n}', '{k}', '{c}', '{y}', {str(s).lower()})" for n, k, c, y, s in catalog_rows()) + ") v(name, kind, cube, type, selectable) LEFT JOIN sizes ON sizes.name = v.name", *VIEWS)
 def catalog(spark, sf_dir):
-    return spark.createDataFrame(catalog_rows(), "name string, kind string, cube string, type string, selectable boolean")
+    """All members, the dimensions with the number of values that the data have."""
+    rows = spark.createDataFrame(catalog_rows(), "name string, kind string, cube string, type string, selectable boolean")
+    return rows.join(label_sizes(cubes(spark, sf_dir)), "name", "left")
 
 
 def banded(matters: DataFrame) -> DataFrame:

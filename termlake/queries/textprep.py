@@ -107,13 +107,36 @@ def span_locate(spark, sf_dir):
     return locate_spans(excerpts, d)
 
 
-HEADERS = [
-    (1, "AGREEMENT AND PLAN OF MERGER by and among ALPHA PHARMACEUTICALS, INC., ALPHA REEF MERGER SUB, INC. and OMEGA SYSTEMS GROUP, INC. Dated as of JANUARY 5, 2021 TABLE OF CONTENTS x"),
-    (2, "MERGER AGREEMENT between BUYER CORPORATION and SELLER COMPANY dated March 31, 2020 ARTICLE I"),
-    (3, "no parties here, signed February 30, 2020"),
-]
+# Agreements between the parties of a matter; every third one is made through a company formed for it.
+HEADER = """concat('AGREEMENT ', CASE WHEN id % 3 = 0 AND buyer <> '' THEN concat('by and among ', buyer, ' HOLDINGS, INC., ', buyer, ' MERGER SUB, INC. and ', seller, ' SYSTEMS GROUP, INC.')
+  WHEN buyer <> '' THEN concat('AND PLAN OF MERGER between ', buyer, ' CORPORATION and ', seller, ' COMPANY') ELSE concat('by and between ', seller, ' COMPANY') END,
+  ' Dated as of ', signed, CASE WHEN id % 2 = 0 THEN ' TABLE OF CONTENTS ' ELSE ' ARTICLE IV ' END, 'OTHER NAMES INC. and June 5, 2031')"""
+SIDES = "SELECT id, coalesce(acquirer_name, '') AS buyer, upper(replace(target_name, '#', ' ')) AS seller, signing_date, {signed} AS signed FROM {matters} WHERE signing_date IS NOT NULL"
 
 
-@register("parse_header", None)
+@register("parse_header", f""", s AS ({SIDES.format(signed="upper(strftime(signing_date, '%B')) || ' ' || day(signing_date) || ', ' || year(signing_date)", matters="matters")})
+SELECT id, CASE WHEN buyer = '' THEN NULL WHEN id % 3 = 0 THEN buyer || ' HOLDINGS, INC.' ELSE buyer || ' CORPORATION' END AS acquirer_name,
+       CASE WHEN id % 3 = 0 AND buyer <> '' THEN seller || ' SYSTEMS GROUP, INC.' ELSE seller || ' COMPANY' END AS target_name, signing_date,
+       CAST(CASE WHEN buyer = '' THEN 1 WHEN id % 3 = 0 THEN 3 ELSE 2 END AS INT) AS n_parties FROM s""", "matters")
 def headers(spark, sf_dir):
-    return parse_headers(spark.createDataFrame(HEADERS, "id long, text string"))
+    """Headers written for all dated matters and read again."""
+    sides = spark.sql(SIDES.format(signed="upper(date_format(signing_date, 'MMMM d, yyyy'))", matters="{m}"), m=t.matters(spark, sf_dir))
+    parsed = parse_headers(sides.select("id", F.expr(HEADER).alias("text")))
+    return parsed.select("id", "acquirer_name", "target_name", "signing_date", F.size("parties").alias("n_parties"))
+
+
+ANCHORED = "CASE WHEN n >= 400 THEN 400 WHEN n >= 200 THEN 200 WHEN n >= 100 THEN 100 WHEN n >= 50 THEN 50 WHEN n >= 30 THEN 30 ELSE 20 END"
+
+
+@register("span_located", rf"""
+WITH d AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM documents),
+e AS (SELECT *, CASE WHEN length(text) < 900 THEN text ELSE trim(substring(text, CAST(length(text) * 3 // 10 AS INT) + 1, 260)) END AS excerpt FROM d),
+k AS (SELECT doc_id, text, excerpt, {ANCHORED.replace("n >=", "length(excerpt) >=")} AS k FROM e), p AS (SELECT *, strpos(text, left(excerpt, k)) AS begin FROM k)
+SELECT doc_id AS id, doc_id, CAST(CASE WHEN length(excerpt) >= 20 THEN begin - 1 END AS INT) AS span_start,
+       CAST(CASE WHEN length(excerpt) >= 20 THEN begin - 2 + strpos(substring(text, begin), right(excerpt, k)) + k END AS INT) AS span_end FROM p""")
+def span_located(spark, sf_dir):
+    """An excerpt of every document with single spaces, found where its head and then its tail stand first."""
+    d = t.load(spark, sf_dir, "documents").select("doc_id", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text"))
+    piece = F.trim(F.substring(F.col("text"), F.floor(F.length("text") * 3 / 10).cast("int") + 1, F.lit(260)))
+    excerpts = d.select(F.col("doc_id").alias("id"), "doc_id", F.when(F.length("text") < 900, F.col("text")).otherwise(piece).alias("excerpt"))
+    return locate_spans(excerpts, d).select("id", "doc_id", F.col("span_start").cast("int").alias("span_start"), F.col("span_end").cast("int").alias("span_end"))
