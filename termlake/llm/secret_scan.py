@@ -8,8 +8,10 @@ or more characters with a letter and a digit, of an inferred encoding. For each
     so the expected chi-squared grows with the length: long tokens give smaller chances) and changes as
     often between digits, capitals, small letters and signs (its rate of changes is fixed below too):
     words joined to an identifier keep each class in long runs. Stouffer's sum joins the two.
-Benjamini-Hochberg in each stratum of length, over all tokens of all documents, bounds the share of
-prose among the spans at FALSE_SHARE. Chances are counted in bins, so the step is a small aggregate.
+Benjamini-Hochberg in each stratum of length, over all tokens of all documents, aims at a share of prose among
+the spans of FALSE_SHARE. The chances are normal approximations, so the aim is no bound: on made-up identifiers the
+share was 0.000 below 32 characters and 0.016 to 0.017 from there on, with a recall of 0.78 from 16, 0.86 from 24, 0.94
+from 32 and 0.98 from 48 characters. Chances are counted in bins, so the step is a small aggregate.
 
 Defined results: a null text has no span; spans are code-point offsets, end exclusive; a ``random`` span
 that overlaps a base span is left out; rows are judged one by one, repeated rows alike, though every
