@@ -33,6 +33,12 @@ def read_text_folder(spark, sf_dir):
     return readers.text_folder(spark, path).groupBy("text").agg(F.count_distinct("source_file").alias("files"))
 
 
+def one_file(spark, lines, path, first, last=None):
+    """Write ``lines`` (value) as one file between a first and a last line."""
+    ends = spark.createDataFrame([(0, first)] + ([(2, last)] if last else []), "place int, value string")
+    ends.unionByName(lines.select(F.lit(1).alias("place"), "value")).repartition(1).sortWithinPartitions("place").select("value").write.text(path)
+
+
 ANNOTATED = "SELECT o_orderstatus AS contract_name, CASE WHEN o_orderkey % 3 = 0 THEN 'abridged' ELSE 'main' END AS data_type, o_orderpriority AS question, 'order \"' || o_orderkey || '\"' || chr(10) || 'as signed, by all' AS answer FROM orders"
 
 
@@ -77,9 +83,8 @@ def read_nested_split(spark, sf_dir):
     answer = F.array(F.struct(F.col("c_mktsegment").alias("text"), F.lit(9).alias("answer_start")))
     qas = F.array(F.struct(F.concat("c_name", F.lit("__Segment")).alias("id"), answer.alias("answers")))
     record = F.to_json(F.struct(F.col("c_name").alias("title"), F.array(F.struct(F.concat(F.lit("Segment: "), "c_mktsegment").alias("context"), qas.alias("qas"))).alias("paragraphs")))
-    lines = t.load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("place"), F.concat(F.lit(", "), record).alias("value"))
-    ends = spark.createDataFrame([(-1, '{"version": "1", "data": [{"title": "first", "paragraphs": []}'), (1 << 62, "]}")], "place long, value string")
-    lines.unionByName(ends).repartition(1).sortWithinPartitions("place").select("value").write.text(path)
+    lines = t.load(spark, sf_dir, "customer").select(F.concat(F.lit(", "), record).alias("value"))
+    one_file(spark, lines, path, '{"version": "1", "data": [{"title": "first", "paragraphs": []}', "]}")
     return nested.nested_qa_split(spark, path, 1 << 16)
 
 
@@ -97,7 +102,7 @@ def read_ontology(spark, sf_dir):
     body = F.concat(tag("rdfs:label", F.col("label")), parent, alts, tag("skos:definition", F.when(F.col("level") > 1, F.concat(F.lit("level "), "level"))))
     lines = c.join(names, "code", "left").select(F.concat(F.lit('<owl:Class rdf:about="http://x/'), "code", F.lit('">'), body, F.lit("</owl:Class>")).alias("value"))
     unlabelled = c.where("level = 1").select(F.concat(F.lit('<owl:Class rdf:about="http://x/none'), "code", F.lit('"><skos:altLabel>x</skos:altLabel></owl:Class>')).alias("value"))
-    lines.unionByName(unlabelled).write.text(path)
+    one_file(spark, lines.unionByName(unlabelled), path, "<rdf:RDF>", "</rdf:RDF>")
     found = readers.ontology_classes(spark, path)
     return found.select("code", "label", "definition", F.array_join("parents", "|").alias("parents"), F.array_join(F.array_sort("aliases"), "|").alias("aliases"))
 
@@ -111,12 +116,12 @@ def read_name_index(spark, sf_dir):
 
 @register("read_crosswalk", "SELECT lpad(CAST(p_size AS VARCHAR), 4, '0') AS sic, p_brand AS code, count(*) AS n FROM part GROUP BY 1, 2")
 def read_crosswalk(spark, sf_dir):
-    """Every file begins with a header; lines with a leading # are comments, and leading zeros stay."""
+    """Lines with a leading # are comments, and leading zeros stay."""
     path = shared_path(spark, "crosswalk")
     part = t.load(spark, sf_dir, "part")
-    rows = part.select(F.lpad(F.col("p_size").cast("string"), 4, "0").alias("sic"), F.concat(F.lit("  "), "p_brand").alias("code"))
-    notes = part.where("p_partkey % 10 = 0").select(F.concat(F.lit("# "), "p_name").alias("sic"), F.col("p_brand").alias("code"))
-    rows.unionByName(notes).write.csv(path, header=True, ignoreLeadingWhiteSpace=False)
+    rows = part.select(F.concat_ws(",", F.lpad(F.col("p_size").cast("string"), 4, "0"), F.concat(F.lit("  "), "p_brand")).alias("value"))
+    notes = part.where("p_partkey % 10 = 0").select(F.concat(F.lit("# "), "p_name").alias("value"))
+    one_file(spark, rows.unionByName(notes), path, "sic,code")
     return readers.crosswalk(spark, path).groupBy("sic", "code").agg(F.count("*").alias("n"))
 
 
@@ -172,6 +177,6 @@ def file_digests(spark, sf_dir):
     path = shared_path(spark, "digests")
     nation, supplier = t.load(spark, sf_dir, "nation"), t.load(spark, sf_dir, "supplier")
     lines = supplier.select(F.col("s_nationkey").alias("file"), F.lit(1).alias("place"), F.col("s_name").alias("value"))
-    heads = nation.select(F.col("n_nationkey").alias("file"), F.lit(0), F.col("n_name"))
-    heads.union(lines).repartition("file").sortWithinPartitions("file", "place", "value").select("file", "value").write.partitionBy("file").text(path)
+    heads = nation.select(F.col("n_nationkey").alias("file"), F.lit(0).alias("place"), F.col("n_name").alias("value"))
+    heads.unionByName(lines).repartition("file").sortWithinPartitions("file", "place", "value").select("file", "value").write.partitionBy("file").text(path)
     return readers.file_digests(spark, f"{path}/file=*/*.txt").select("sha256", "length")

@@ -95,10 +95,10 @@ def ingest_statistics(spark, sf_dir):
 DESCRIBED = ", ".join("({})".format(", ".join("'" + x.replace("'", "''") + "'" for x in row)) for row in described_rows())
 
 
-@register("catalog_descriptions", SIZES_SQL + f" SELECT v.*, n_values FROM (VALUES {DESCRIBED}) v(name, kind, description) LEFT JOIN sizes ON sizes.name = v.name", *VIEWS)
+@register("catalog_descriptions", SIZES_SQL + f" SELECT v.*, coalesce(n_values, 0) AS n_values FROM (VALUES {DESCRIBED}) v(name, kind, description) LEFT JOIN sizes ON sizes.name = v.name", *VIEWS)
 def catalog_descriptions(spark, sf_dir):
     rows = spark.createDataFrame(described_rows(), "name string, kind string, description string")
-    return rows.join(label_sizes(cubes(spark, sf_dir)), "name", "left")
+    return rows.join(label_sizes(cubes(spark, sf_dir)), "name", "left").na.fill(0, ["n_values"])
 
 
 @register("id_suffix", "SELECT page_id, list_last(string_split('page__' || url, '__')) AS suffix FROM pages")

@@ -154,13 +154,13 @@ def deal_terms_report(spark, sf_dir):
 
 
 @register("render_counts", """
-, c AS (SELECT deal_point_name, span_start, count(*) FILTER (WHERE position NOT IN ('None', 'No', 'N/A')) AS present, count(numeric_value) AS answered, count(DISTINCT matter_id) AS selected FROM deal_points GROUP BY 1, 2)
+, c AS (SELECT deal_point_name, coalesce(span_start, -1) AS span_start, count(*) FILTER (WHERE position NOT IN ('None', 'No', 'N/A')) AS present, count(numeric_value) AS answered, count(DISTINCT matter_id) AS selected FROM deal_points GROUP BY 1, 2)
 SELECT deal_point_name, span_start, present, answered, selected, CASE WHEN answered = 0 THEN '0 of ' || selected WHEN answered < 8 THEN present || ' of ' || answered
   ELSE CAST(CAST(round_even(100.0 * present / answered, 0) AS INT) AS STRING) || '%' END AS rendered, CASE WHEN answered < 8 THEN 'count' ELSE 'percentage' END AS kind FROM c""", "deal_points")
 def render_counts(spark, sf_dir):
     """Counts of each attribute at each place, rendered against those that state a number."""
     present = ~F.col("position").isin(*ABSENT_POSITIONS)
-    counts = t.deal_points(spark, sf_dir).groupBy("deal_point_name", "span_start").agg(
+    counts = t.deal_points(spark, sf_dir).groupBy("deal_point_name", F.coalesce("span_start", F.lit(-1)).alias("span_start")).agg(
         F.count_if(present).alias("present"), F.count("numeric_value").alias("answered"), F.count_distinct("matter_id").alias("selected")
     )
     text, kind = render(F.col("present"), F.col("answered"), F.col("selected"), 8)

@@ -184,11 +184,11 @@ SIZES_SQL = ", answers AS (SELECT matter_id, position FROM deal_points WHERE dea
 VIEWS = ("deal_points", "matters", "concepts")
 
 
-@register("catalog", SIZES_SQL + " SELECT v.*, n_values FROM (VALUES " + ", ".join(f"('{n}', '{k}', '{c}', '{y}', {str(s).lower()})" for n, k, c, y, s in catalog_rows()) + ") v(name, kind, cube, type, selectable) LEFT JOIN sizes ON sizes.name = v.name", *VIEWS)
+@register("catalog", SIZES_SQL + " SELECT v.*, coalesce(n_values, 0) AS n_values FROM (VALUES " + ", ".join(f"('{n}', '{k}', '{c}', '{y}', {str(s).lower()})" for n, k, c, y, s in catalog_rows()) + ") v(name, kind, cube, type, selectable) LEFT JOIN sizes ON sizes.name = v.name", *VIEWS)
 def catalog(spark, sf_dir):
     """All members, the dimensions with the number of values that the data have."""
     rows = spark.createDataFrame(catalog_rows(), "name string, kind string, cube string, type string, selectable boolean")
-    return rows.join(label_sizes(cubes(spark, sf_dir)), "name", "left")
+    return rows.join(label_sizes(cubes(spark, sf_dir)), "name", "left").na.fill(0, ["n_values"])
 
 
 def banded(matters: DataFrame) -> DataFrame:

@@ -132,11 +132,12 @@ ANCHORED = "CASE WHEN n >= 400 THEN 400 WHEN n >= 200 THEN 200 WHEN n >= 100 THE
 WITH d AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM documents),
 e AS (SELECT *, CASE WHEN length(text) < 900 THEN text ELSE trim(substring(text, CAST(length(text) * 3 // 10 AS INT) + 1, 260)) END AS excerpt FROM d),
 k AS (SELECT doc_id, text, excerpt, {ANCHORED.replace("n >=", "length(excerpt) >=")} AS k FROM e), p AS (SELECT *, strpos(text, left(excerpt, k)) AS begin FROM k)
-SELECT doc_id AS id, doc_id, CAST(CASE WHEN length(excerpt) >= 20 THEN begin - 1 END AS INT) AS span_start,
-       CAST(CASE WHEN length(excerpt) >= 20 THEN begin - 2 + strpos(substring(text, begin), right(excerpt, k)) + k END AS INT) AS span_end FROM p""")
+SELECT doc_id AS id, doc_id, CAST(CASE WHEN length(excerpt) >= 20 THEN begin - 1 ELSE -1 END AS INT) AS span_start,
+       CAST(CASE WHEN length(excerpt) >= 20 THEN begin - 2 + strpos(substring(text, begin), right(excerpt, k)) + k ELSE -1 END AS INT) AS span_end FROM p""")
 def span_located(spark, sf_dir):
-    """An excerpt of every document with single spaces, found where its head and then its tail stand first."""
+    """An excerpt of every document with single spaces, found where its head and then its tail stand first; -1 if it is too short for an anchor."""
     d = t.load(spark, sf_dir, "documents").select("doc_id", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text"))
     piece = F.trim(F.substring(F.col("text"), F.floor(F.length("text") * 3 / 10).cast("int") + 1, F.lit(260)))
     excerpts = d.select(F.col("doc_id").alias("id"), "doc_id", F.when(F.length("text") < 900, F.col("text")).otherwise(piece).alias("excerpt"))
-    return locate_spans(excerpts, d).select("id", "doc_id", F.col("span_start").cast("int").alias("span_start"), F.col("span_end").cast("int").alias("span_end"))
+    place = lambda c: F.coalesce(F.col(c).cast("int"), F.lit(-1)).alias(c)
+    return locate_spans(excerpts, d).select("id", "doc_id", place("span_start"), place("span_end"))
