@@ -16,6 +16,8 @@ of the input are ignored.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import json
 import re
@@ -107,11 +109,19 @@ MARKS = frozenset(filter(re.compile(f"[{MARK}]").match, map(chr, range(128))))
 _ENCODERS: dict[tuple[str, bool], tuple[Callable[[str], bytes], str]] = {}  # of this worker
 
 
+def release_unused() -> None:
+    """Give back to the system what arrays of earlier tasks have left with this worker's allocators."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has such a call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def forget_units() -> None:
     """Drop what this worker has cached of units: the stages behind the tokenizing need the memory, not the units."""
     if _ENCODERS:
         _ENCODERS.clear()
         gc.collect()  # the caches hold themselves
+        release_unused()
 
 
 def plain_byte_level(spec: dict) -> bool:
@@ -180,6 +190,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
+        release_unused()
         (encode, dtype), pack = encoder(path), zstandard.ZstdCompressor(level=1).compress
         end, width = np.array([end_id], dtype).tobytes(), np.dtype(dtype).itemsize
         for batch in batches:
