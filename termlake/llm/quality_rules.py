@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, table, words_of
+from .common import SPACE_CLASS, fresh, table, words_of
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -96,7 +96,8 @@ def measured(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame
     would else copy the expressions below every projection and evaluate them many times.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    w, h, lines = F.col("_tl_w"), F.col("_tl_h"), F.col("_tl_lines")
+    words_name, hashes_name, lines_name = fresh(docs.columns, "_words", "_hashes", "_lines")
+    w, h, lines = F.col(words_name), F.col(hashes_name), F.col(lines_name)
     windows = F.when(
         F.size(w) >= WINDOW,
         F.transform(
@@ -117,11 +118,11 @@ def measured(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame
     return (
         docs.withColumns(
             {
-                "_tl_w": words_of(F.col(text)),
-                "_tl_lines": F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != ""),
+                words_name: words_of(F.col(text)),
+                lines_name: F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != ""),
             }
         )
-        .withColumn("_tl_h", windows)
+        .withColumn(hashes_name, windows)
         .select(*docs.columns, F.inline(F.array(F.struct(*[v.alias(prefix + k) for k, v in columns.items()]))))
     )
 

@@ -1,6 +1,6 @@
 import re
 
-from termlake.llm.quality_rules import RULES, op2_quality_rules, quality_rules
+from termlake.llm.quality_rules import RULES, measured, op2_quality_rules, quality_rules
 
 from .helpers import SF, docs
 
@@ -58,3 +58,9 @@ def test_empty_table_and_one_projection(spark):
     plan = quality_rules(docs(spark, [(1, "a")]))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
     assert len({r.name for r in RULES}) == len(RULES)
+
+
+def test_columns_of_any_name_stay(spark):
+    frame = docs(spark, [(1, "some words here"), (2, None)]).withColumnsRenamed({"lang": "_words", "source": "_hashes", "n_chars": "_Lines"})
+    rows = measured(frame, prefix="m_").collect()
+    assert [(r["_words"], r["_hashes"]) for r in rows] == [("en", "src0")] * 2 and sorted(r.m_n_words for r in rows) == [0, 3]
