@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, table, words_of
+from .common import fresh, release_unused, table, words_of
 from .text_arrays import mixed, portions, utf8, words
 
 FOLDS = 5
@@ -44,7 +44,7 @@ MOST_LANGUAGES = 1000
 SEQUENCE, EPOCHS, BATCH, RATE = 48, 4, 64, 0.15
 SEED = 3
 PORTION = 1 << 19  # bytes whose features are held at a time
-CHAIN_BYTES = 1 << 25  # bytes times languages of whole texts whose chains run side by side; a longer text runs alone
+CHAIN_BYTES = 1 << 24  # bytes times languages of whole texts whose chains run side by side; a longer text runs alone
 UND = "und"
 
 # Bytes of words: ASCII letters and the apostrophe, and all bytes of characters beyond ASCII.
@@ -270,6 +270,7 @@ def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_unused()
         model = shared.value
         k = len(model.languages)
         for batch in batches:
@@ -286,6 +287,7 @@ def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
             lang = [model.languages[b] if ok else UND for b, ok in zip(best, known)]
             score = np.where(known, np.clip(share[np.arange(len(best)), best], 0, 1), 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(lang), pa.array(score)], [*names, lang_name, score_name])
+        release_unused()
 
     schema = docs.select("*", F.lit("").alias(lang_name), F.lit(0.0).alias(score_name)).schema
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_path, fresh, persisted, table
+from .common import drop_path, fresh, persisted, release_unused, table
 from .components import components
 from .text_arrays import mixed, portions, shingle_hashes, utf8
 
@@ -83,6 +83,7 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
                     out[i, a + some] = (band >> np.uint64(7) | np.uint64(i << 57)).astype(np.int64)
             columns = [batch.column(0), batch.column(1), pa.array(sizes), *map(pa.array, out)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n", *names])
+        release_unused()
 
     schema = "doc_id bigint, key string, n bigint, " + ", ".join(f"{c} bigint" for c in names)
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key(F.col("text")).alias("key"), "text").mapInArrow(sketch, schema)
@@ -217,6 +218,7 @@ def compared_texts(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 *[pa.concat_arrays([pa.nulls(n, t), pa.array([x[i] for x in apart], t)]) for i, t in ((1, pa.int32()), (2, pa.binary()), (3, pa.binary()))],
             ]
             yield pa.RecordBatch.from_arrays(columns, FIRST_NAMES)
+        release_unused()
 
     return rows.mapInArrow(run, FIRST)
 

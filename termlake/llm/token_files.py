@@ -16,8 +16,6 @@ of the input are ignored.
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import gc
 import json
 import re
@@ -31,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_path, persisted, shared_dir, table
+from .common import drop_path, persisted, release_unused, shared_dir, table
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -109,13 +107,6 @@ MARKS = frozenset(filter(re.compile(f"[{MARK}]").match, map(chr, range(128))))
 _ENCODERS: dict[tuple[str, bool], tuple[Callable[[str], bytes], str]] = {}  # of this worker
 
 
-def release_unused() -> None:
-    """Give back to the system what arrays of earlier tasks have left with this worker's allocators."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # where the C library has such a call
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def forget_units() -> None:
     """Drop what this worker has cached of units: the stages behind the tokenizing need the memory, not the units."""
     if _ENCODERS:
