@@ -51,14 +51,14 @@ def page(df: DataFrame, key: str, sort: str | None = None, direction: str = "asc
     return df.orderBy(*sort_order(df, key, sort, direction)).offset(offset).limit(limit)
 
 
-def with_total(page: DataFrame, total: DataFrame) -> DataFrame:
-    """``page`` with the one row of ``total`` beside each row; past the last page one row, NULL but for the total."""
-    return total.join(F.broadcast(page), F.lit(True), "left").select(*page.columns, *total.columns)
+def with_total(page: DataFrame, total: DataFrame, always: bool) -> DataFrame:
+    """``page`` with the one row of ``total`` beside each row; with ``always``, past the last page one row, NULL but for the total."""
+    return total.join(F.broadcast(page), F.lit(True), "left" if always else "inner").select(*page.columns, *total.columns)
 
 
-def page_of(df: DataFrame, key: str, sort: str | None = None, direction: str = "asc", limit: int = 50, offset: int = 0) -> DataFrame:
-    """A page with the number of all rows of the filtered set beside each row; past the end a row of NULLs with that number."""
-    return with_total(page(df, key, sort, direction, limit, offset), df.agg(F.count("*").alias("total")))
+def page_of(df: DataFrame, key: str, sort: str | None = None, direction: str = "asc", limit: int = 50, offset: int = 0, always: bool = False) -> DataFrame:
+    """A page with the number of all rows of the filtered set beside each row; see ``with_total`` for pages past the end."""
+    return with_total(page(df, key, sort, direction, limit, offset), df.agg(F.count("*").alias("total")), always)
 
 
 def lookup(df: DataFrame, key: str, asked: DataFrame) -> DataFrame:
@@ -83,10 +83,10 @@ def export_csv(df: DataFrame, path: str, key: str, sort: str | None = None, dire
     return not df.offset(most).isEmpty()
 
 
-def log_search(lines: DataFrame, level: str | None = None, text: str | None = None, limit: int = 100, offset: int = 0, order: str = "line_no") -> DataFrame:
+def log_search(lines: DataFrame, level: str | None = None, text: str | None = None, limit: int = 100, offset: int = 0, order: str = "line_no", always: bool = False) -> DataFrame:
     """Matching lines, oldest first: level by equality, text case-sensitive in the line's JSON; with the number of all matches.
 
-    Past the end, or without a match, there is one row of NULLs with that number.
+    See ``with_total`` for pages past the end and for no match at all.
     """
     if not 1 <= limit <= MOST_LINES:
         raise ValueError(f"limit must be 1 to {MOST_LINES}")
@@ -95,4 +95,4 @@ def log_search(lines: DataFrame, level: str | None = None, text: str | None = No
         found = found.where(F.col("level") == level)
     if text:
         found = found.where(F.contains(F.to_json(F.struct(*lines.columns)), F.lit(text)))
-    return with_total(found.orderBy(order).offset(offset).limit(limit), found.agg(F.count("*").alias("total_matched")))
+    return with_total(found.orderBy(order).offset(offset).limit(limit), found.agg(F.count("*").alias("total_matched")), always)

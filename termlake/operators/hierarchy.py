@@ -1,8 +1,8 @@
 """Hierarchies of any depth by pointer doubling: after k rounds every node knows its ancestor 2^k levels up.
 
 Descendants and ancestors of asked nodes take as many rounds as the depth has binary digits, and rows in proportion to
-their result. ``intervals`` numbers a whole forest so that "at or below" is a range test. A tree whose parents run in
-a circle raises CycleFound; where a node may have several parents, circles are allowed. A code with several parents
+their result. ``intervals`` numbers a whole forest so that "at or below" is a range test. Asking a tree for
+what lies on or above a circle raises CycleFound; where a node may have several parents, circles are allowed. A code with several parents
 has the smallest one in tree functions; a parent without a row of its own is a root. Every round is a written table.
 """
 
@@ -26,24 +26,22 @@ def pointers(concepts: DataFrame) -> DataFrame:
 
 
 def _doubled(now: DataFrame) -> DataFrame:
-    """Twice as far: (code, up) and the smallest code passed on the way."""
+    """Twice as far."""
     a, b = now.alias("a"), now.alias("b")
-    return a.join(b, F.col("a.up") == F.col("b.code")).select("a.code", "b.up", F.least("a.least", "b.least").alias("least"))
+    return a.join(b, F.col("a.up") == F.col("b.code")).select("a.code", "b.up")
 
 
-def jumps(single: DataFrame, endless: bool = False) -> Iterator[tuple[int, DataFrame]]:
-    """(distance, table of (code, up, least)) for the distances 1, 2, 4, ... as long as any node has an ancestor so far up.
+def jumps(single: DataFrame) -> Iterator[tuple[int, DataFrame, bool]]:
+    """(distance, table of (code, up), False) for the distances 1, 2, 4, ... as long as any node has an ancestor so far up.
 
-    A path without a circle is no longer than there are nodes with a parent. What goes on beyond that is at or below a
-    circle: it raises, or with ``endless`` is the last table.
+    A path without a circle is no longer than there are nodes with a parent. If some go on beyond that, a last table with
+    True has the nodes at or below a circle.
     """
-    now, path = stored(single.select("code", "up", F.col("code").alias("least")), "jumps")
+    now, path = stored(single.select("code", "up"), "jumps")
     longest = rows = now.count()
     distance = 1
     while rows:
-        if distance > longest and not endless:
-            raise CycleFound(f"no root above {', '.join(str(r['code']) for r in now.orderBy('code').limit(3).collect())}")
-        yield distance, now
+        yield distance, now, distance > longest
         if distance > longest:
             return
         further, further_path = stored(_doubled(now), "jumps")
@@ -52,43 +50,58 @@ def jumps(single: DataFrame, endless: bool = False) -> Iterator[tuple[int, DataF
     dropped(now.sparkSession, path)
 
 
-def looped(single: DataFrame) -> DataFrame:
-    """(code, least) of the nodes at or below a circle; ``least`` is the smallest code on the way around, which each circle has once."""
-    last, nodes = None, single.count()
-    for distance, last in jumps(single, endless=True):
-        pass
-    return last.select("code", "least") if last is not None and distance > nodes else single.select("code", F.col("code").alias("least")).where("false")
-
-
-def _grown(start: DataFrame, single: DataFrame, step) -> DataFrame:
-    """``start`` with the rows that ``step(so far, jumps, distance)`` adds for each distance."""
+def _grown(start: DataFrame, single: DataFrame, step) -> tuple[DataFrame, DataFrame | None]:
+    """``start`` with the rows that ``step(so far, jumps, distance)`` adds for each distance; and the codes at or below a circle, if any."""
     now, path = stored(start, "closure")
-    for distance, jump in jumps(single):
+    for distance, jump, endless in jumps(single):
+        if endless:
+            return now, jump.select("code")
         more, more_path = stored(now.unionByName(step(now, jump, distance)), "closure")
         dropped(now.sparkSession, path)
         now, path = more, more_path
-    return now
+    return now, None
+
+
+def _refuse(looped: DataFrame) -> None:
+    """Raise if there are such codes."""
+    some = [str(r["code"]) for r in looped.select("code").distinct().orderBy("code").limit(3).collect()]
+    if some:
+        raise CycleFound(f"no root above {', '.join(some)}")
 
 
 def descendants(concepts: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root, code, depth) of every node at or below the codes of ``roots`` (code)."""
+    """(root, code, depth) of every node at or below the codes of ``roots`` (code), none of which may lie on a circle."""
     start = roots.select(F.col("code").alias("root"), F.col("code"), F.lit(0).alias("depth")).distinct()
 
     def step(now: DataFrame, jump: DataFrame, distance: int) -> DataFrame:
         return now.alias("d").join(jump.alias("j"), F.col("d.code") == F.col("j.up")).select("d.root", "j.code", (F.col("d.depth") + distance).alias("depth"))
 
-    return _grown(start, pointers(concepts), step)
+    found, endless = _grown(start, pointers(concepts), step)
+    if endless is not None:
+        _refuse(found.where("root = code AND depth > 0"))
+    return found
 
 
 def ancestors(concepts: DataFrame, codes: DataFrame) -> DataFrame:
-    """(code, ancestor, position) of every node on the way up, the root first at position 1."""
+    """(code, ancestor, position) of every node on the way up, the root first at position 1; no code may lie at or below a circle."""
     start = codes.select("code", F.col("code").alias("ancestor"), F.lit(0).alias("up")).distinct()
 
     def step(now: DataFrame, jump: DataFrame, distance: int) -> DataFrame:
         return now.alias("a").join(jump.alias("j"), F.col("a.ancestor") == F.col("j.code")).select("a.code", F.col("j.up").alias("ancestor"), (F.col("a.up") + distance).alias("up"))
 
+    found, endless = _grown(start, pointers(concepts), step)
+    if endless is not None:
+        _refuse(codes.join(endless, "code", "left_semi"))
     levels = F.max("up").over(Window.partitionBy("code"))
-    return _grown(start, pointers(concepts), step).select("code", "ancestor", (levels - F.col("up") + 1).cast("int").alias("position"))
+    return found.select("code", "ancestor", (levels - F.col("up") + 1).cast("int").alias("position"))
+
+
+def looped(single: DataFrame) -> DataFrame:
+    """(code) of the nodes at or below a circle."""
+    for _, table, endless in jumps(single):
+        if endless:
+            return table.select("code")
+    return single.select("code").where("false")
 
 
 def _followers(rows: DataFrame, group: str, key: str) -> DataFrame:
@@ -152,28 +165,19 @@ def inside(numbered: DataFrame, code: str) -> DataFrame:
 def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
     """(code) of every node at or below ``start`` (code) over ``edges`` (code, parent_code), several parents and circles allowed.
 
-    The smallest parents, less those that close circles, make a forest, where doubling reaches everything below a set; the
-    other edges then carry on from what is new. So rounds follow the other edges on a path, not its length.
+    Over the smallest parents doubling reaches everything below a set; the other edges then carry on from what is new.
+    So rounds follow the other edges on a path, not its length.
     """
     edges, _ = stored(edges.where("code IS NOT NULL AND parent_code IS NOT NULL").select("code", "parent_code").distinct(), "edges")
-    try:
-        return _reached(edges, pointers(edges), start)
-    except CycleFound:
-        single = pointers(edges)
-        closing = looped(single).where("code = least").select("code")
-        return _reached(edges, single.join(closing, "code", "left_anti"), start)
-
-
-def _reached(edges: DataFrame, forest: DataFrame, start: DataFrame) -> DataFrame:
-    forest, _ = stored(forest, "forest")
-    other = edges.join(forest.withColumnRenamed("up", "parent_code"), ["code", "parent_code"], "left_anti")
+    single, _ = stored(pointers(edges), "first-parents")
+    other = edges.join(single.withColumnRenamed("up", "parent_code"), ["code", "parent_code"], "left_anti")
 
     def step(now: DataFrame, jump: DataFrame, distance: int) -> DataFrame:
         return jump.join(now.withColumnRenamed("code", "up"), "up", "left_semi").select("code").join(now, "code", "left_anti")
 
     reached, new = None, start.select("code").distinct()
     while True:
-        found = _grown(new, forest, step)
+        found, _ = _grown(new, single, step)
         reached, _ = stored(found if reached is None else reached.unionByName(found).distinct(), "reached")
         beyond = other.join(reached.withColumnRenamed("code", "parent_code"), "parent_code", "left_semi").select("code").distinct()
         new, _ = stored(beyond.join(reached, "code", "left_anti"), "reached")
@@ -200,7 +204,7 @@ def ancestry(labels: DataFrame, edges: DataFrame, excluded: DataFrame) -> DataFr
     try:
         return _chains(ok, keep)
     except CycleFound:
-        around = looped(pointers(ok)).select("code")
+        around = looped(pointers(ok))
         straight = _chains(ok.join(around, "code", "left_anti"), keep.join(around, "code", "left_anti"))
         return straight.unionByName(_followed(ok, around))
 

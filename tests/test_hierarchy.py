@@ -62,14 +62,19 @@ def test_forests_against_walks(spark, width):
         assert below == {x for x in codes if y in chains[x]}
 
 
-def test_circles_raise(spark):
-    edges = [("r", None), ("a", "r"), ("x", "z"), ("y", "x"), ("z", "y"), ("tail", "z"), ("self", "self")]
-    concepts, some = frame(spark, edges), spark.createDataFrame([("a",)], "code string")
-    for call in (h.ancestors, h.descendants):
+def test_circles_raise_where_they_are_met(spark):
+    edges = [("r", None), ("a", "r"), ("x", "z"), ("y", "x"), ("z", "y"), ("tail", "z"), ("end", "tail"), ("self", "self")]
+    concepts, codes = frame(spark, edges), lambda *c: spark.createDataFrame([(x,) for x in c], "code string")
+    for asked in ("x", "tail", "end", "self"):
         with pytest.raises(h.CycleFound):
-            call(concepts, some)
+            h.ancestors(concepts, codes("a", asked))
+    for asked in ("x", "y", "z", "self"):
+        with pytest.raises(h.CycleFound):
+            h.descendants(concepts, codes("r", asked))
     with pytest.raises(h.CycleFound):
         h.intervals(concepts)
+    assert sorted(tuple(r) for r in h.descendants(concepts, codes("r", "tail")).collect()) == [("r", "a", 1), ("r", "r", 0), ("tail", "end", 1), ("tail", "tail", 0)]
+    assert sorted(tuple(r) for r in h.ancestors(concepts, codes("a")).collect()) == [("a", "a", 2), ("a", "r", 1)]
 
 
 def test_empty(spark):

@@ -47,11 +47,12 @@ def test_a_deep_page_reads_one_range(spark):
 
 
 def test_totals_past_the_end(table):
-    row = browse.page_of(table, "id", limit=10, offset=5000).collect()
+    row = browse.page_of(table, "id", limit=10, offset=5000, always=True).collect()
     assert [tuple(r) for r in row] == [(None, None, None, 900)]
     assert [r.total for r in browse.page_of(table, "id", limit=3).collect()] == [900] * 3
+    assert browse.page_of(table, "id", limit=10, offset=5000).count() == 0
     lines = table.select(F.col("id").alias("line_no"), F.col("name").alias("level"))
-    assert [tuple(r) for r in browse.log_search(lines, "none such").collect()] == [(None, None, 0)]
+    assert [tuple(r) for r in browse.log_search(lines, "none such", always=True).collect()] == [(None, None, 0)]
 
 
 TEXTS = ["The quick brown fox", "THE QUICK", "quic k", "", None, "a%b_c\\d", "ab", "émile É straße", "abcabcabc", "line\nbreak the quick", "漢字仮名交じり文 😀😀x", "o ther"]
