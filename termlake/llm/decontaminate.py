@@ -7,8 +7,8 @@ bare row of numbers is no template.
 A name is a capitalised word inside a sentence; one at the start of a sentence, a line, a quote or a bracket unless
 it is a common word; and, in small letters or capitals, a word that is a name in the benchmark, so that a copy in
 other case still matches. Common are words that the benchmark writes small more often than as names inside
-sentences, names in the benchmark its other capitalised words, of each the MOST_WORDS most frequent. So a word is
-judged alike in items and in documents, by its place alone.
+sentences, names in the benchmark its other capitalised words. Up to MOST_WORDS of each stand in the plan; of more
+words, tokens meet them in a join. So a word is judged alike in items and in documents, by its place alone.
 
 A document leaks an item if consistent windows cover MIN_COVERAGE of the item's windows:
   - a window that stands once in its item meets on diagonals (document, item, shift). On a diagonal every
@@ -39,7 +39,7 @@ from .common import drop_path, fresh, persisted, table
 WINDOW = 6
 MIN_COVERAGE = 0.4
 MOST_BROADCAST = 1_000_000  # rows of three or four longs: a broadcast stays under 200 MB
-MOST_WORDS = 20_000  # they stand in the plan as a hash set
+MOST_WORDS = 20_000  # stand in the plan as a hash set; more are joined
 NUMBER_MARK, NAME_MARK, UNIT_MARK, AFTER_MARKS, START_MARK = "\uE011", "\uE012", "\uE013", "\uE014", "\uE015"
 
 # Units of measure, money and time that may follow a number.
@@ -56,17 +56,23 @@ SMALL = r"(?<![\p{L}\p{M}'])\p{Ll}[\p{L}\p{M}']*"
 TOKEN = rf"{NUMBER_MARK}\p{{N}}+(?:[.,:/]\p{{N}}+)*|[{NAME_MARK}{UNIT_MARK}{START_MARK}]?[\p{{L}}\p{{M}}']+"
 
 
-def known_words(benchmark: DataFrame, most: int = MOST_WORDS) -> tuple[list[str], list[str]]:
-    """The words that items write small more often than as names inside sentences, and all others that they write with a capital."""
+def known_words(benchmark: DataFrame) -> tuple[list[str], list[str]] | DataFrame:
+    """The words that items write small more often than as names inside sentences, and all others that they write with a capital.
+
+    Two lists, or a table (word, common) if either is longer than MOST_WORDS.
+    """
 
     def found(pattern: str, group: int, small: int) -> DataFrame:
         words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(pattern), F.lit(group))
         return benchmark.select(F.explode(words).alias("word"), F.lit(small).alias("small"))
 
     words = found(SMALL, 0, 1).unionByName(found(NAME, 1, -1)).unionByName(found(START, 1, 0))
-    counted = words.groupBy(F.lower("word").alias("word")).agg(F.sum("small").alias("small"), F.count("*").alias("n"))
-    top = lambda test: [r["word"] for r in counted.where(test).orderBy(F.desc("n"), "word").limit(most).collect()]
-    return top("small > 0"), top("small <= 0")
+    table, path = persisted(words.groupBy(F.lower("word").alias("word")).agg((F.sum("small") > 0).alias("common")), "bench-words")
+    if any(r["count"] > MOST_WORDS for r in table.groupBy("common").count().collect()):
+        return table
+    lists = tuple([r["word"] for r in table.where(test).collect()] for test in ("common", "NOT common"))
+    drop_path(benchmark.sparkSession, path)
+    return lists
 
 
 def template_tokens(text: Column) -> Column:
@@ -85,11 +91,23 @@ def decided(tokens: str, words: tuple[list[str], list[str]] = ([], [])) -> Colum
                       WHEN t IN {names} THEN concat('{NAME_MARK}', t) ELSE t END)""")
 
 
+def decided_by_join(texts: DataFrame, keys: list[str], known: DataFrame) -> DataFrame:
+    """As ``decided`` for a table of words (word, common): tokens are rows that meet their words, and texts are put together again."""
+    tokens = texts.select(*keys, "_w", F.monotonically_increasing_id().alias("_row")).select(*keys, "_row", F.posexplode("_w").alias("_at", "_token"))
+    start = F.col("_token").startswith(START_MARK)
+    bare = F.when(start, F.expr("substring(_token, 2)")).otherwise(F.col("_token"))
+    met = tokens.join(few(known), bare == F.col("word"), "left")
+    name = F.when(start, F.coalesce(~F.col("common"), F.lit(True))).otherwise(F.coalesce(~F.col("common"), F.lit(False)))
+    token = F.when(name, F.concat(F.lit(NAME_MARK), bare)).otherwise(bare)
+    whole = met.groupBy(*keys, "_row").agg(F.array_sort(F.collect_list(F.struct("_at", token.alias("token")))).alias("_w"))
+    return whole.select(*keys, F.col("_w.token").alias("_w"))
+
+
 def is_slot(token: Column) -> Column:
     return (token >= NUMBER_MARK) & (token < AFTER_MARKS)
 
 
-def windows(texts: DataFrame, keys: list[str], sizes: Column, window: int = WINDOW, words: tuple[list[str], list[str]] = ([], [])) -> DataFrame:
+def windows(texts: DataFrame, keys: list[str], sizes: Column, window: int = WINDOW, words: tuple[list[str], list[str]] | DataFrame = ([], [])) -> DataFrame:
     """One row for each window: the keys, its place ``at``, its ``size``, ``hash``, ``wordless`` and its tokens ``toks``.
 
     ``sizes``: array of the sizes of windows of the tokens ``_w``, at most ``window`` each. The places are
@@ -98,10 +116,10 @@ def windows(texts: DataFrame, keys: list[str], sizes: Column, window: int = WIND
     typed = F.transform("_w", lambda t: F.when(is_slot(t), F.substring(t, 1, 1)).otherwise(t))
     at, size = F.col("at"), F.col("size")
     types, toks = F.slice("_t", at + 1, size), F.slice("_w", at + 1, size)
+    tokens = texts.withColumn("_w", template_tokens(F.col("text")))
+    tokens = decided_by_join(tokens, keys, words) if isinstance(words, DataFrame) else tokens.withColumn("_w", decided("_w", words))
     return (
-        texts.withColumn("_w", template_tokens(F.col("text")))
-        .withColumn("_w", decided("_w", words))
-        .select(*keys, "_w", F.explode(sizes).alias("size"))
+        tokens.select(*keys, "_w", F.explode(sizes).alias("size"))
         .where((size > 0) & (size <= F.size("_w")))  # above the explode, so that texts are taken apart once
         .select(*keys, "_w", typed.alias("_t"), "size")
         .select(*keys, "_w", "_t", "size", F.explode(F.sequence(F.lit(0), F.size("_w") - size)).alias("at"))

@@ -43,3 +43,24 @@ def test_only_windows_with_a_disagreeing_slot_are_dropped(spark):
     windows = 62 - 5
     assert found[1, 1].coverage == pytest.approx((windows - 12) / windows) and found[1, 1].n_slots == 0
     assert found[3, 1].coverage == 1 and found[3, 1].n_slots == 2
+
+
+def test_rare_names_of_a_large_vocabulary_are_known(spark):
+    """The item's names stand once; 20,100 others stand twice."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = ["Q" + letters[i // 676 % 26 + 0] + letters[i // 26 % 26] + letters[i % 26] + letters[i // 17576] for i in range(20_100)]
+    item = "we saw Zorbo near Xilbon with Zarbos and Vilmon under Tembor by Kolbin then Palvis over Rendok"
+    bench = spark.createDataFrame([(1, item), (2, " a ".join(["a", *names])), (3, " a ".join(["a", *names]))], "item_id long, text string")
+    found = leaks(docs(spark, [(1, item.lower()), (2, FILLER), (3, None)]), bench).where("item_id = 1").collect()
+    assert [(r.doc_id, r.coverage) for r in found] == [(1, 1.0)]
+
+
+@pytest.mark.parametrize("most", [decontaminate.MOST_BROADCAST, 0])
+def test_joined_words_decide_as_those_in_the_plan(spark, monkeypatch, most):
+    items = [(1, "The duke saw Anna near Bonn and paid 7 dollars to Anna"), (1, "The duke saw Anna near Bonn and paid 7 dollars to Anna"), (2, "Near the mill, Otto met the duke"), (None, "Duke of mill"), (3, None)]
+    texts = [(1, "the duke saw anna near bonn and paid 8 dollars to anna"), (1, "the duke saw anna near bonn and paid 8 dollars to anna"), (2, "Near The Mill, OTTO met the Duke"), (None, "near the mill, Karl met the duke"), (4, ""), (5, "Duke of mill")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "MOST_BROADCAST", most)
+    want = sorted(map(str, leaks(docs(spark, texts), bench).collect()))
+    monkeypatch.setattr(decontaminate, "MOST_WORDS", 0)
+    assert sorted(map(str, leaks(docs(spark, texts), bench).collect())) == want and len(want) == 2
