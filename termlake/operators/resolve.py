@@ -11,6 +11,7 @@ from .similar import SimilarIndex, search
 
 SIMILARITY_FLOOR = 0.55
 CANDIDATES = 8
+FEW = 1000  # names that stand in a plan, at most
 
 
 def unique_aliases(aliases: DataFrame) -> DataFrame:
@@ -77,8 +78,20 @@ def resolve_names(rows: DataFrame, index: DataFrame, column: str = "name") -> Da
 
 
 def first_resolving(rows: DataFrame, lookup: DataFrame, key: str = "id", names: str = "names") -> DataFrame:
-    """Per row the first of its ordered candidate names that ``lookup`` (name, attribute) gives an attribute."""
-    each = rows.select(key, F.posexplode(names).alias("pos", "name"))
-    hits = each.join(lookup.where(F.col("attribute").isNotNull()), "name")
-    first = hits.groupBy(key).agg(F.min_by(F.struct("name", "attribute"), "pos").alias("x"))
-    return rows.select(key).join(first, key, "left").select(key, F.col("x.name").alias("name"), F.col("x.attribute").alias("attribute"))
+    """Per row the first of its ordered candidate names that ``lookup`` (name, attribute) gives an attribute; of several attributes the least.
+
+    Up to FEW names stand in the plan and rows stay where they are; more names are joined.
+    """
+    known = lookup.where(F.col("name").isNotNull() & F.col("attribute").isNotNull()).groupBy("name").agg(F.min("attribute").alias("attribute"))
+    held = known.limit(FEW + 1).collect()
+    if len(held) <= FEW:
+        none = F.lit(None).cast(dict(known.dtypes)["attribute"])
+        first = rows.select(key, F.get(F.filter(names, lambda n: n.isin([r["name"] for r in held])), F.lit(0)).alias("name"))
+        pairs = F.create_map(*[F.lit(x) for r in held for x in (r["name"], r["attribute"])]) if held else None
+        return first.select(key, "name", (none if pairs is None else pairs[F.col("name")]).alias("attribute"))
+    row = F.monotonically_increasing_id().alias("_row")
+    numbered, _ = stored(rows.select(key, F.col(names).alias("_names"), row), "resolving-rows")
+    hits = numbered.select("_row", F.posexplode("_names").alias("pos", "name")).join(known.select("name"), "name", "left_semi")
+    at = hits.groupBy("_row").agg(F.min("pos").alias("pos"))  # numbers only, so that the groups need no sort
+    first = numbered.join(at, "_row", "left").select(key, F.get("_names", F.col("pos")).alias("name"))
+    return first.join(known, "name", "left").select(key, "name", "attribute")
