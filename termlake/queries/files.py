@@ -24,13 +24,27 @@ def register(name: str, sql: str | None, *views: str):
     return wrap
 
 
+FILES = 100  # that a task writes, about
+
+
+def parts_for(files: int) -> int:
+    """Tasks that write ``files`` files, so many that none writes for long."""
+    return max(1, -(-files // FILES))
+
+
+def one_row_files(rows, kind, path):
+    """Write a file for each row, in place as its task ends: the folder is fresh, and moving files one by one at the job's end takes the driver long."""
+    rows.write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2).format(kind).save(path)
+
+
 @register("read_text_folder", "SELECT 'Supplier ' || s_suppkey || chr(10) || s_name || chr(10) AS text, CAST(1 AS BIGINT) AS files FROM supplier")
 def read_text_folder(spark, sf_dir):
     """A file for each supplier."""
     path = shared_path(spark, "texts")
     s = t.load(spark, sf_dir, "supplier")
-    s.select(F.concat(F.lit("Supplier "), "s_suppkey", F.lit("\n"), "s_name").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
-    return readers.text_folder(spark, path).groupBy("text").agg(F.count_distinct("source_file").alias("files"))
+    texts = s.select(F.concat(F.lit("Supplier "), "s_suppkey", F.lit("\n"), "s_name").alias("value"))
+    one_row_files(texts.repartition(parts_for(s.count())), "text", path)
+    return readers.text_folder(spark, path, ordered=False).groupBy("text").agg(F.count_distinct("source_file").alias("files"))
 
 
 def one_file(spark, lines, path, first, last=None):
@@ -63,14 +77,16 @@ def read_vocabulary(spark, sf_dir):
 SELECT 'cuad_' || left(sha256(c_name || chr(0) || 'Segment' || chr(0) || 9 || chr(0) || (9 + length(c_mktsegment))), 24) AS id, c_name AS title, 'Segment' AS clause_type, c_mktsegment AS text,
        9 AS char_start, CAST(9 + length(c_mktsegment) AS INT) AS char_end FROM customer""")
 def read_nested_qa(spark, sf_dir):
-    """Files of up to a hundred titles, each with an answered and an unanswered category."""
+    """Files of up to a thousand titles, each with an answered and an unanswered category."""
     path = shared_path(spark, "nested")
     qa = lambda kind, answers: F.struct(F.concat("c_name", F.lit(f"__{kind}")).alias("id"), answers.alias("answers"))
     answer = F.struct(F.col("c_mktsegment").alias("text"), F.lit(9).alias("answer_start"))
     qas = F.array(qa("Segment", F.array(answer)), qa("None", F.array_remove(F.array(answer), answer)))
     paragraph = F.struct(F.concat(F.lit("Segment: "), "c_mktsegment").alias("context"), qas.alias("qas"))
-    titled = t.load(spark, sf_dir, "customer").select(F.floor(F.col("c_custkey") / 100).alias("file"), F.struct(F.col("c_name").alias("title"), F.array(paragraph).alias("paragraphs")).alias("d"))
-    titled.groupBy("file").agg(F.collect_list("d").alias("data")).select(F.lit("1").alias("version"), "data").write.option("maxRecordsPerFile", 1).json(path)
+    customer = t.load(spark, sf_dir, "customer")
+    titled = customer.select(F.floor(F.col("c_custkey") / 1000).alias("file"), F.struct(F.col("c_name").alias("title"), F.array(paragraph).alias("paragraphs")).alias("d"))
+    whole = titled.repartition(parts_for(customer.count() // 1000), "file").groupBy("file").agg(F.collect_list("d").alias("data"))
+    one_row_files(whole.select(F.lit("1").alias("version"), "data"), "json", path)
     return readers.nested_qa(spark, path)
 
 

@@ -13,9 +13,16 @@ ONTOLOGY_SCHEMA = """
 """
 
 
-def text_folder(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file (``source_file``, ``text``), ordered by the number that ends the name."""
+NESTED_SCHEMA = """
+data array<struct<title: string, paragraphs: array<struct<context: string, qas: array<struct<id: string, answers: array<struct<text: string, answer_start: bigint>>>>>>>>
+"""
+
+
+def text_folder(spark: SparkSession, path: str, ordered: bool = True) -> DataFrame:
+    """One row per file (``source_file``, ``text``), ordered by the number that ends the name; the order takes a second pass over the files."""
     files = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("source_file"), F.col("value").alias("text"))
+    if not ordered:
+        return files
     number = F.expr("try_cast(regexp_extract(source_file, '([0-9]+)[^0-9]*$', 1) AS int)")
     return files.orderBy(number.asc_nulls_last(), "source_file")
 
@@ -32,7 +39,7 @@ def vocabulary_of(rows: DataFrame, column: str = "question") -> DataFrame:
 
 def nested_qa(spark: SparkSession, path: str) -> DataFrame:
     """Answered spans of a nested question-answer file; an unanswered category yields no row."""
-    data = spark.read.json(path, multiLine=True).select(F.explode("data").alias("d"))
+    data = spark.read.schema(NESTED_SCHEMA).json(path, multiLine=True).select(F.explode("data").alias("d"))
     spans = (
         data.select("d.title", F.explode("d.paragraphs").alias("p"))
         .select("title", "p.context", F.explode("p.qas").alias("q"))

@@ -3,6 +3,8 @@
 import random
 
 from termlake.operators import resolve
+from termlake.queries import files
+from termlake.sources import readers
 
 NAMES, PAIRS = "id long, names array<string>", "name string, attribute string"
 
@@ -17,3 +19,19 @@ def test_first_resolving_moves_no_rows(spark, monkeypatch):
     assert resolve.first_resolving(rows, lookup.where("false")).where("name IS NULL").count() == 6
     monkeypatch.setattr(resolve, "FEW", 0)
     assert sorted(map(tuple, resolve.first_resolving(rows, lookup).collect())) == want
+
+
+def test_files_without_answers_and_texts_without_an_order(spark, tmp_path):
+    """No pass over the files for their schema or their order."""
+    (tmp_path / "a.json").write_text('{"version": "1", "data": [{"title": "t", "paragraphs": [{"context": "c", "qas": [{"id": "t__x", "answers": []}]}]}]}')
+    assert readers.nested_qa(spark, str(tmp_path)).count() == 0
+    (tmp_path / "texts").mkdir()
+    for i in range(3):
+        (tmp_path / "texts" / f"f{i}.txt").write_text(f"text {i}")
+    found = readers.text_folder(spark, str(tmp_path / "texts"), ordered=False)
+    assert sorted(map(tuple, found.collect())) == [(f"f{i}.txt", f"text {i}") for i in range(3)]
+    assert "Sort" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_files_are_written_by_many_tasks():
+    assert [files.parts_for(n) for n in (0, 1, 100, 101, 360_000)] == [1, 1, 1, 2, 3600]
