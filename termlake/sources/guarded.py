@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .shared import stored
 
 CHUNK, BUCKETS = 4096, 32
+MOST_NAMES, MOST_CHUNKS = 100_000, 4000  # broadcast: lengths, and chunks of at most 64 MB
 
 
 @dataclass
@@ -49,26 +50,36 @@ def guarded(name: Column) -> Column:
     return F.when(name.isNotNull() & ~outside, F.array_join(steps, "/"))
 
 
+def few(df: DataFrame, most: int) -> DataFrame:
+    """``df``, to be broadcast if it has at most ``most`` rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def read_spans(sources: SourceTexts, asked: DataFrame) -> DataFrame:
     """``asked`` (id, source_file, span_start, span_end) with ``clause_text`` or the reason why there is none.
 
     Reasons: no_span, outside (the name), no_text (no such source), bad_span.
     """
     start, end = F.col("span_start"), F.col("span_end")
-    named = asked.select("id", "source_file", "span_start", "span_end", guarded(F.col("source_file")).alias("name"))
-    known = named.join(sources.lengths, "name", "left")
+    row = F.monotonically_increasing_id().alias("_row")
+    named, _ = stored(asked.select("id", "source_file", "span_start", "span_end", guarded(F.col("source_file")).alias("name"), row), "asked-spans")
+    names, _ = stored(sources.lengths.join(few(named.where("name IS NOT NULL").select("name").distinct(), MOST_NAMES), "name", "left_semi"), "asked-names")
+    known = named.join(few(names, MOST_NAMES), "name", "left")
     bad = (start < 0) | (end > F.col("n_chars")) | (end <= start)
     reason = F.when(start.isNull() | end.isNull(), "no_span").when(F.col("source_file").isNotNull() & F.col("name").isNull(), "outside").when(F.col("n_chars").isNull(), "no_text").when(bad, "bad_span")
-    judged, _ = stored(known.select("id", "source_file", "name", "span_start", "span_end", reason.alias("reason")), "asked-spans")
-    fine = judged.where("reason IS NULL").select("id", "name", "span_start", "span_end", bucket_of(F.col("name"), sources.buckets).alias("bucket"))
+    judged = known.withColumn("reason", reason)
     first, last = F.floor(start / CHUNK).cast("int"), F.floor((end - 1) / CHUNK).cast("int")
-    wanted = fine.withColumn("number", F.explode(F.sequence(first, last)))
-    met = wanted.join(sources.chunks, ["bucket", "name", "number"])  # the chunks of the spans only
-    pieces = met.groupBy("id", "name", "span_start", "span_end").agg(F.array_sort(F.collect_list(F.struct("number", "text"))).alias("x"))
-    joined = F.array_join(F.col("x.text"), "")
-    found = pieces.select(
-        F.col("id").alias("_id"), F.col("name").alias("_name"), F.col("span_start").alias("_start"), F.col("span_end").alias("_end"),
-        F.substring(joined, (start % CHUNK + 1).cast("int"), (end - start).cast("int")).alias("clause_text"),
-    )
-    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("name") == F.col("_name")) & (start == F.col("_start")) & (end == F.col("_end"))
-    return judged.join(found, same, "left").select("id", "source_file", "span_start", "span_end", "reason", "clause_text")
+    bucket = bucket_of(F.col("name"), sources.buckets).alias("bucket")
+    wanted = judged.where("reason IS NULL").select("id", "source_file", "span_start", "span_end", "_row", "name", bucket, last.alias("_last"), F.explode(F.sequence(first, last)).alias("number"))
+    asked_chunks, _ = stored(wanted.select("bucket", "name", "number").distinct(), "asked-chunks")
+    chunks, _ = stored(sources.chunks.join(few(asked_chunks, MOST_NAMES), ["bucket", "name", "number"], "left_semi"), "met-chunks")
+    low = F.greatest(start - F.col("number") * CHUNK, F.lit(0))
+    piece = F.substring(F.col("text"), (low + 1).cast("int"), (F.least(end - F.col("number") * CHUNK, F.lit(CHUNK)) - low).cast("int"))
+    met = wanted.join(few(chunks, MOST_CHUNKS), ["bucket", "name", "number"]).withColumn("piece", piece)  # only the span's part goes on
+    whole = [*asked.select("id", "source_file", "span_start", "span_end").columns]
+    alone = start.cast("bigint") >= F.col("_last").cast("bigint") * CHUNK
+    one = met.where(alone).select(*whole, F.lit(None).cast("string").alias("reason"), F.col("piece").alias("clause_text"))
+    pieces = F.array_sort(F.collect_list(F.struct("number", "piece")))["piece"]
+    several = met.where(~alone).groupBy("_row", *whole).agg(F.array_join(pieces, "").alias("clause_text")).select(*whole, F.lit(None).cast("string").alias("reason"), "clause_text")
+    none = judged.where("reason IS NOT NULL").select(*whole, "reason", F.lit(None).cast("string").alias("clause_text"))
+    return none.unionByName(one).unionByName(several)

@@ -4,7 +4,7 @@ import random
 
 from termlake.operators import resolve
 from termlake.queries import files
-from termlake.sources import readers
+from termlake.sources import guarded, readers
 
 NAMES, PAIRS = "id long, names array<string>", "name string, attribute string"
 
@@ -35,3 +35,10 @@ def test_files_without_answers_and_texts_without_an_order(spark, tmp_path):
 
 def test_files_are_written_by_many_tasks():
     assert [files.parts_for(n) for n in (0, 1, 100, 101, 360_000)] == [1, 1, 1, 2, 3600]
+
+
+def test_equal_spans_over_the_border_of_two_chunks(spark):
+    text = "".join(random.Random(4).choices("abcdef", k=9000))
+    sources = guarded.index_texts(spark.createDataFrame([("d", text)], "source_file string, text string"))
+    asked = spark.createDataFrame([(1, "d", 4000, 8200), (1, "d", 4000, 8200), (2, "d", 4090, 4100), (2, "d", 4090, 4100)], "id long, source_file string, span_start int, span_end int")
+    assert sorted((r.id, r.clause_text) for r in guarded.read_spans(sources, asked).collect()) == [(1, text[4000:8200])] * 2 + [(2, text[4090:4100])] * 2
