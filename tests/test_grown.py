@@ -2,7 +2,7 @@
 
 import random
 
-from termlake.operators import resolve
+from termlake.operators import resolve, trigrams
 from termlake.queries import files
 from termlake.sources import guarded, readers
 
@@ -42,3 +42,10 @@ def test_equal_spans_over_the_border_of_two_chunks(spark):
     sources = guarded.index_texts(spark.createDataFrame([("d", text)], "source_file string, text string"))
     asked = spark.createDataFrame([(1, "d", 4000, 8200), (1, "d", 4000, 8200), (2, "d", 4090, 4100), (2, "d", 4090, 4100)], "id long, source_file string, span_start int, span_end int")
     assert sorted((r.id, r.clause_text) for r in guarded.read_spans(sources, asked).collect()) == [(1, text[4000:8200])] * 2 + [(2, text[4090:4100])] * 2
+
+
+def test_trigrams_take_a_row_for_each_text_and_bucket(spark):
+    df = spark.createDataFrame([(i, f"text {i} " * 40) for i in range(20)] + [(20, None), (21, "ab")], "id long, text string")
+    index = trigrams.build(df, "id", "text", 4)
+    assert index.grams.count() <= 20 * 4
+    assert [r.id for r in trigrams.search(df, index, "t 17 T").collect()] == [17]
