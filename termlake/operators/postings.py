@@ -45,11 +45,15 @@ def build(docs: DataFrame, id_col: str = "id", text_col: str = "text", strata: t
     """Index ``docs`` below ``path``, by default a fresh folder that all executors share."""
     spark, strata = docs.sparkSession, list(strata)
     path = path or shared_path(spark, "postings")
-    words = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), *strata, tokenize(F.coalesce(text_col, F.lit(""))).alias("words"))
-    words.groupBy("id").agg(F.sum(F.size("words")).alias("dl"), *[F.min(s).alias(s) for s in strata]).write.parquet(f"{path}/lengths")
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), *strata, F.coalesce(text_col, F.lit("")).alias("text"))
+    count = F.regexp_count(F.lower("text"), F.lit("[a-z0-9]+")).cast("bigint")
+    texts.groupBy("id").agg(F.sum(count).alias("dl"), *[F.min(s).alias(s) for s in strata]).write.parquet(f"{path}/lengths")
     lengths = spark.read.parquet(f"{path}/lengths")
-    counted = words.select("id", F.explode("words").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
-    placed = counted.join(lengths, "id").withColumn("bucket", bucket_of(F.col("term"), buckets))
+    # Whole texts are moved once, to their id; words are counted where they come to lie.
+    by_id = texts.select("id", "text").repartition(F.col("id")).join(lengths.hint("shuffle_hash"), "id")
+    words = by_id.select("id", "dl", *strata, F.explode(tokenize(F.col("text"))).alias("term"))
+    counted = words.groupBy("id", "term", "dl", *strata).agg(F.count("*").alias("tf")).select("term", "id", "tf", "dl", *strata)
+    placed = counted.withColumn("bucket", bucket_of(F.col("term"), buckets))
     # A frequent word's postings are split over files by their size, each sorted by word.
     placed.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms")
     terms = spark.read.schema("term string, id {0}, tf bigint, dl bigint{1}, bucket int".format(dict(lengths.dtypes)["id"], "".join(f", `{s}` {dict(lengths.dtypes)[s]}" for s in strata))).parquet(f"{path}/terms")

@@ -2,7 +2,7 @@
 
 import random
 
-from termlake.operators import resolve, trigrams
+from termlake.operators import postings, resolve, trigrams
 from termlake.queries import files
 from termlake.sources import guarded, readers
 
@@ -49,3 +49,12 @@ def test_trigrams_take_a_row_for_each_text_and_bucket(spark):
     index = trigrams.build(df, "id", "text", 4)
     assert index.grams.count() <= 20 * 4
     assert [r.id for r in trigrams.search(df, index, "t 17 T").collect()] == [17]
+
+
+def test_postings_are_counted_where_their_texts_lie(spark, monkeypatch):
+    """No join of all postings with the lengths: the words come behind the join of texts."""
+    calls = []
+    real = type(spark.range(1)).join
+    monkeypatch.setattr(type(spark.range(1)), "join", lambda self, *a, **k: (calls.append(self.columns), real(self, *a, **k))[1])
+    postings.build(spark.createDataFrame([(1, "a b a"), (1, "c"), (2, None)], "id long, text string"), buckets=2)
+    assert calls == [["id", "text"]]
