@@ -2,7 +2,7 @@
 
 ``build`` puts every vector on the list of its nearest centroid and writes the lists as partitions of one table.
 ``search`` takes a stated set of asked vectors, block by block: each task scores its rows of the probed lists against
-the asked vectors by matrix products and passes on its best ``most`` for each of them. Nothing but those is shuffled,
+the asked vectors by matrix products of SCORES cells and passes on each batch's best ``most`` for each of them. Nothing but those is shuffled,
 lists that no asked vector probes are not read, and no pair is made into a row.
 
 With a number of ``probes`` the search may miss; ``probes_for`` measures how many a wanted recall takes. Without it
@@ -30,7 +30,8 @@ FIT_ROWS = 20_000  # vectors that centroids are fitted on, at most
 MOST_LISTS = 4096
 FIT_ROUNDS, SEED = 6, 17
 FIRST_PROBES = 8  # of an exact search, before the bound is known
-BLOCK_BYTES = 1 << 26  # asked vectors held by a task at a time
+BLOCK_BYTES = 1 << 24  # asked vectors held by a task at a time
+SCORES = 1 << 20  # similarities, and best rows not yet ranked, held by a task at a time
 RANK_DIGITS = 9
 SLACK = 1e-6  # in radians; what rounding can move an angle
 
@@ -89,10 +90,13 @@ def build(vectors: DataFrame, lists: int | None = None, code: str = "code", vect
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = units(batch.column(1), size) @ centroids.T
-            best = near.argmax(1)
-            angle = np.arccos(np.clip(near[np.arange(len(best)), best], -1, 1))
-            angle[np.abs(near).max(1) == 0] = np.pi  # no direction: its list is never ruled out
+            x = units(batch.column(1), size)
+            best, angle = np.zeros(len(x), np.int64), np.zeros(len(x))
+            step = max(1, SCORES // len(centroids))
+            for a in range(0, len(x), step):
+                near = x[a : a + step] @ centroids.T
+                best[a : a + step], angle[a : a + step] = near.argmax(1), np.arccos(np.clip(near.max(1), -1, 1))
+            angle[np.abs(x).max(1) == 0] = np.pi  # no direction: its list is never ruled out
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(angle), pa.array(best, pa.int32())], ["code", "vector", "angle", "list"])
 
     kinds = dict(rows.dtypes)
@@ -104,29 +108,56 @@ def build(vectors: DataFrame, lists: int | None = None, code: str = "code", vect
     return SimilarIndex(table.select("code", "vector", "list"), path, centroids, widest)
 
 
+def _leading(number: np.ndarray, place: np.ndarray, similarity: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each number the ``most`` best rows, and all that are as good as the last of them, so ties are decided later."""
+    order = np.lexsort((-similarity, number))
+    number, place, similarity = number[order], place[order], similarity[order]
+    first = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
+    held = np.diff(np.r_[first, len(number)])
+    last = np.repeat(similarity[first + np.minimum(held, most) - 1], held)
+    keep = similarity >= last
+    return number[keep], place[keep], similarity[keep]
+
+
 def _best(index: SimilarIndex, asked: np.ndarray, wanted: np.ndarray, most: int) -> DataFrame:
-    """(number of the asked vector, code, similarity): of each task its ``most`` best rows of the lists ``wanted`` (asked x lists)."""
+    """(number of the asked vector, code, similarity): of each batch of a task its ``most`` best rows of the lists ``wanted`` (asked x lists)."""
     size = index.centroids.shape[1]
     kind = dict(index.rows.dtypes)["code"]
     probed = np.flatnonzero(wanted.any(0)).tolist()
+    packed, n_asked = np.packbits(wanted, axis=0), len(asked)
+
+    def scored(x: np.ndarray, who: np.ndarray, rows: np.ndarray) -> Iterator[tuple]:
+        """The best of ``rows`` for the asked ``who``, SCORES similarities at a time."""
+        step = max(1, SCORES // len(rows))
+        for a in range(0, len(who), step):
+            some = who[a : a + step]
+            near = np.round(asked[some] @ x[rows].T, RANK_DIGITS)
+            if len(rows) > most:
+                last = np.partition(near, len(rows) - most, 1)[:, len(rows) - most, None]
+                i, j = np.nonzero(near >= last)
+            else:
+                i, j = np.nonzero(np.ones_like(near, bool))
+            yield some[i], rows[j], near[i, j]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(2).to_numpy(zero_copy_only=False)
             x = units(batch.column(1), size)
-            number, place, similarity = [], [], []
+            held, pending, ranked = [], 0, 0
             for k in np.unique(lists):
-                rows, who = np.flatnonzero(lists == k), np.flatnonzero(wanted[:, k])
-                near = np.round(asked[who] @ x[rows].T, RANK_DIGITS)
-                if len(rows) > most:  # all rows as good as the last of the best stay, so ties are decided later
-                    last = np.partition(near, len(rows) - most, 1)[:, len(rows) - most, None]
-                    a, b = np.nonzero(near >= last)
-                else:
-                    a, b = np.nonzero(np.ones_like(near, bool))
-                number.append(who[a]), place.append(rows[b]), similarity.append(near[a, b])
-            if number:
-                number, place, similarity = map(np.concatenate, (number, place, similarity))
-                yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), batch.column(0).take(pa.array(place)), pa.array(similarity)], ["asked", "code", "similarity"])
+                who = np.flatnonzero(np.unpackbits(packed[:, k], count=n_asked))
+                for rows in np.array_split(np.flatnonzero(lists == k), -(-np.count_nonzero(lists == k) // SCORES)):
+                    for found in scored(x, who, rows):
+                        held.append(found)
+                        pending += len(found[0])
+                        if pending > 2 * max(SCORES, ranked):
+                            held = [_leading(*map(np.concatenate, zip(*held)), most)]
+                            pending = ranked = len(held[0][0])
+            if pending:
+                number, place, similarity = _leading(*map(np.concatenate, zip(*held)), most)
+                for a in range(0, len(number), SCORES):
+                    part = slice(a, a + SCORES)
+                    yield pa.RecordBatch.from_arrays([pa.array(number[part], pa.int32()), batch.column(0).take(pa.array(place[part])), pa.array(similarity[part])], ["asked", "code", "similarity"])
 
     return index.rows.where(F.col("list").isin(probed)).mapInArrow(run, f"asked int, code {kind}, similarity double")
 

@@ -87,3 +87,12 @@ def test_ladder_with_candidates(spark):
         " ALPHA ": ("A", "exact", None), "First": ("A", "alias", None), "both": (None, "refused", None), "close": ("B", "embedding", None),
         "far": (None, "refused", ["A", "B"]), "floor": ("A", "embedding", None),
     }
+
+
+def test_scores_are_taken_in_small_pieces(spark, data, monkeypatch):
+    vectors, asked = data
+    vectors = [v for v in vectors if v[0] != "wide"][:400]
+    monkeypatch.setattr(similar, "SCORES", 50)
+    index = similar.build(spark.createDataFrame(vectors, SCHEMA), 3)
+    got = rows(similar.search(index, spark.createDataFrame(asked, ASKED)))
+    assert [g[:2] + g[3:] for g in got] == [w[:2] + w[3:] for w in brute(vectors, asked)]
