@@ -97,7 +97,8 @@ def slice_text(text: Column, start: Column, end: Column) -> tuple[Column, Column
 
 def header_date(text: Column) -> Column:
     """The first ``Month d, yyyy``, in any case; an impossible day is NULL."""
-    stated = F.concat_ws(" ", F.initcap(F.regexp_extract(text, STATED_DATE, 1)), F.regexp_extract(text, STATED_DATE, 2), F.regexp_extract(text, STATED_DATE, 3))
+    found = F.regexp_extract(text, STATED_DATE, 0)  # the text is searched once, what follows reads the few characters found
+    stated = F.when(found != "", F.concat_ws(" ", F.initcap(F.regexp_extract(found, STATED_DATE, 1)), F.regexp_extract(found, STATED_DATE, 2), F.regexp_extract(found, STATED_DATE, 3)))
     return F.try_to_date(F.nullif(F.trim(stated), F.lit("")), "MMMM d yyyy")
 
 

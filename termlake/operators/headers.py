@@ -70,7 +70,7 @@ def header_of(text: Column) -> Column:
 
 def parse_headers(texts: DataFrame, key: str = "id") -> DataFrame:
     """key, acquirer_name, target_name, signing_date and parties of each text."""
-    head = header_of(F.col("text"))
+    head = F.col("_head")
     block = F.regexp_replace(F.element_at(F.split(F.regexp_replace(head, BEFORE_PARTIES, ""), SIGNED, 2), 1), BEHIND_PARTIES, "")
-    parsed = texts.select(key, header_date(head).alias("signing_date"), parse_parties(block).alias("p"))
+    parsed = texts.select(key, header_of(F.col("text")).alias("_head")).select(key, header_date(head).alias("signing_date"), parse_parties(block).alias("p"))
     return parsed.select(key, "p.acquirer_name", "p.target_name", "signing_date", "p.parties")
