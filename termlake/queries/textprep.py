@@ -121,7 +121,8 @@ SELECT id, CASE WHEN buyer = '' THEN NULL WHEN id % 3 = 0 THEN buyer || ' HOLDIN
 def headers(spark, sf_dir):
     """Headers written for all dated matters and read again."""
     sides = spark.sql(SIDES.format(signed="upper(date_format(signing_date, 'MMMM d, yyyy'))", matters="{m}"), m=t.matters(spark, sf_dir))
-    parsed = parse_headers(sides.select("id", F.expr(HEADER).alias("text")))
+    spread = sides.repartition(4 * spark.sparkContext.defaultParallelism, "id")  # a file of small rows is much work
+    parsed = parse_headers(spread.select("id", F.expr(HEADER).alias("text")))
     return parsed.select("id", "acquirer_name", "target_name", "signing_date", F.size("parties").alias("n_parties"))
 
 
