@@ -1,6 +1,7 @@
 """Token files: frequency-ranked ids in byte-aligned variable-length coding with separate control bytes.
 
-Three passes: texts become ids (one table, compressed); a count over all ids ranks them, most
+Three passes: texts become ids (one table, compressed), each chunk of texts cut into the tokenizer's pieces
+at once and each different piece looked up once; a count over all ids ranks them, most
 frequent first; documents in ascending doc_id order become blocks of ranks. A rank takes 1 to 4 bytes;
 its length minus one is a 2-bit code, four codes to a control byte, control bytes apart from data bytes.
 Decoding finds the lengths of a whole block by a table of 256 rows and gathers bytes with numpy.
@@ -34,6 +35,7 @@ from .common import drop_path, persisted, release_unused, shared_dir, table
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 BLOCK_TOKENS = 1 << 16
+CHUNK_BYTES = 1 << 22  # of text that a task cuts into pieces at once; a longer text is a chunk of its own
 MOST_CACHED, CACHED_CHARS = 250_000, 48  # units in each generation of a worker's two dictionaries, 50 MB a generation at most
 
 LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
@@ -81,12 +83,8 @@ class UnitIds(dict):
         return out
 
     def fresh(self, unit: str) -> bytes:
-        if unit.isalpha():  # one piece for the tokenizer: straight to its merges
-            if unit.isascii():
-                letters = self.mark + unit
-            else:
-                letters = (self.lead + unit).encode().decode("latin-1").translate(self.letters)
-            return array(self.kind, [t.id for t in self.model.tokenize(letters)]).tobytes()
+        if unit.isalpha():
+            return self.merged(self.mark + unit if unit.isascii() else self.spelled(self.lead + unit))
         if unit[-1:] in MARKS and unit[:-1].isalpha():  # a word and one mark, most of the rest
             return self[unit[:-1]] + self.bare[unit[-1]]
         if self.lead and (not unit or unit[0].isspace()):
@@ -96,15 +94,38 @@ class UnitIds(dict):
         head, *rest = PIECES(unit)
         return self[head] + b"".join(map(self.bare.__getitem__, rest)) if rest else self.whole(unit)
 
+    def spelled(self, piece: str) -> str:
+        return piece.encode().decode("latin-1").translate(self.letters)
+
+    def merged(self, letters: str) -> bytes:
+        """One piece for the tokenizer: straight to its merges."""
+        return array(self.kind, [t.id for t in self.model.tokenize(letters)]).tobytes()
+
     def whole(self, unit: str) -> bytes:
         return array(self.kind, self.tokenizer.encode(self.lead + unit, add_special_tokens=False).ids).tobytes()
 
 
+class PieceIds(UnitIds):
+    """Token bytes by what lies between two ``cuts``, a space before it included."""
+
+    def __init__(self, tokenizer, kind: str):
+        super().__init__(tokenizer, "", kind)
+        self.space = " ".translate(self.letters)
+
+    def fresh(self, piece: str) -> bytes:
+        word = piece[1:] if piece[0] == " " else piece
+        if not word.isalpha():
+            return self.whole(piece)
+        if not piece.isascii():
+            return self.merged(self.spelled(piece))
+        return self.merged(piece if word is piece else self.space + word)
+
+
 LATIN, MARK = "A-Za-zÀ-ÖØ-öø-ɏ", r"!-&(-/:-@\[-`{-~"  # letters; ASCII marks but the apostrophe, which may join letters
 WORDS_AND_MARKS = re.compile(rf"[{LATIN}{MARK}]+(?:\n[{LATIN}{MARK}]+)*").fullmatch
 PIECES = re.compile(rf"[{LATIN}]+|[{MARK}]+|\n").findall
 MARKS = frozenset(filter(re.compile(f"[{MARK}]").match, map(chr, range(128))))
-_ENCODERS: dict[tuple[str, bool], tuple[Callable[[str], bytes], str]] = {}  # of this worker
+_ENCODERS: dict[tuple[str, bool | None], tuple[Callable, str]] = {}  # of this worker
 
 
 def forget_units() -> None:
@@ -140,7 +161,15 @@ def encoder(path: str, as_text: bool = False) -> tuple[Callable[[str], bytes], s
     return _ENCODERS[path, as_text]
 
 
-def _encoder(path: str, as_text: bool) -> tuple[Callable[[str], bytes], str]:
+def batch_encoder(path: str) -> tuple[Callable[[pa.Array], Iterator[bytes]], str]:
+    """As ``encoder``, for a whole Arrow array of texts; null counts as empty."""
+    if (path, None) not in _ENCODERS:
+        _ENCODERS[path, None] = _batch_encoder(path)
+    return _ENCODERS[path, None]
+
+
+def _opened(path: str, as_text: bool) -> tuple:
+    """The tokenizer, array and numpy type of its ids, encoding of whole texts, whether parts may be encoded apart, search for added tokens."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -153,9 +182,15 @@ def _encoder(path: str, as_text: bool) -> tuple[Callable[[str], bytes], str]:
         return array(kind, tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     added = spec.get("added_tokens") or []
-    if not plain_byte_level(spec) or (as_text and not all(t.get("special") for t in added)):
-        return whole, dtype
+    apart = plain_byte_level(spec) and not (as_text and not all(t.get("special") for t in added))
     special = None if as_text or not added else re.compile("|".join(re.escape(t["content"]) for t in added)).search
+    return tokenizer, kind, dtype, whole, apart, special
+
+
+def _encoder(path: str, as_text: bool) -> tuple[Callable[[str], bytes], str]:
+    tokenizer, kind, dtype, whole, apart, special = _opened(path, as_text)
+    if not apart:
+        return whole, dtype
     first = UnitIds(tokenizer, "", kind)
     follow = UnitIds(tokenizer, " ", kind, first).__getitem__
     lone = re.compile(r"(?<=\S) (?=\S)").split
@@ -175,6 +210,83 @@ def _encoder(path: str, as_text: bool) -> tuple[Callable[[str], bytes], str]:
     return encode, dtype
 
 
+UNSURE, BLANK, SOLID, LETTER, POINT, DIGIT, LATIN_LEAD, SPACE_LEAD = range(8)  # kinds of UTF-8 bytes; the leads only until their character is known
+KINDS = np.array([UNSURE] * 128 + [SOLID] * 128, np.uint8)
+for _kind, _bytes in (
+    (BLANK, b" \t\n\x0b\x0c\r"),
+    (SOLID, b"'"),
+    (LETTER, b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
+    (POINT, "".join(MARKS).encode()),
+    (DIGIT, b"0123456789"),
+    (LATIN_LEAD, bytes(range(0xC3, 0xC9))),  # U+00C0 to U+023F, letters but for two
+    (SPACE_LEAD, b"\xc2\xe1\xe2\xe3"),
+):
+    KINDS[list(_bytes)] = _kind
+WIDE_SPACES = np.array([int.from_bytes(c.encode().ljust(3, b"\0")) for c in map(chr, range(128, 1 << 16)) if c.isspace() or c == "\u180e"])
+
+
+def cuts(text: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Places in UTF-8 bytes, ``bounds`` of the texts included, at which a byte-level tokenizer surely parts two pieces.
+
+    It parts Latin letters, ASCII marks and ASCII digits from each other and from white space behind them. The last
+    character of white space before anything else begins a piece: a space goes with what follows, others stand alone.
+    """
+    kind = KINDS[text]
+    lead = np.flatnonzero(kind == LATIN_LEAD)
+    sign = (text[lead] == 0xC3) & ((text[lead + 1] == 0x97) | (text[lead + 1] == 0xB7))
+    kind[lead] = kind[lead + 1] = np.where(sign, SOLID, LETTER)
+    lead = np.flatnonzero(kind == SPACE_LEAD)
+    code = text[lead].astype(np.int64) << 16 | text[lead + 1].astype(np.int64) << 8
+    code |= np.where(text[lead] == 0xC2, 0, text.take(lead + 2, mode="clip"))
+    kind[lead] = np.where(np.isin(code, WIDE_SPACES), UNSURE, SOLID)
+    cut = np.zeros(len(text) + 1, bool)
+    cut[1:-1] = (kind[1:] != kind[:-1]) & (kind[:-1] >= LETTER) & ((kind[1:] >= LETTER) | (kind[1:] == BLANK))
+    last = kind == BLANK
+    last[bounds[1:] - 1] = False  # what follows is another text
+    last[:-1] &= kind[1:] >= SOLID
+    last = np.flatnonzero(last)
+    cut[last] = True
+    cut[last[text[last] != 32] + 1] = True
+    cut[bounds] = True
+    return np.flatnonzero(cut)
+
+
+def _batch_encoder(path: str) -> tuple[Callable[[pa.Array], Iterator[bytes]], str]:
+    tokenizer, kind, dtype, whole, apart, special = _opened(path, as_text=False)
+    ids_of = PieceIds(tokenizer, kind).__getitem__
+
+    def plain(texts: pa.Array) -> Iterator[bytes]:
+        return (whole(t.as_py() or "") for t in texts)
+
+    def encode(texts: pa.Array) -> Iterator[bytes]:
+        texts = texts.fill_null("").cast(pa.large_string())
+        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + CHUNK_BYTES, "right")) - 1)
+            yield from chunk(texts, at, ends[at : to + 1])
+            at = to
+
+    def chunk(texts: pa.Array, at: int, ends: np.ndarray) -> Iterator[bytes]:
+        bounds, size = ends - ends[0], int(ends[-1] - ends[0])
+        if not size:
+            yield from [b""] * (len(ends) - 1)
+            return
+        raw = texts.buffers()[2].slice(int(ends[0]), size)
+        cut = cuts(np.frombuffer(raw, np.uint8), bounds)
+        pieces = pa.Array.from_buffers(pa.large_string(), len(cut) - 1, [None, pa.py_buffer(cut), raw]).dictionary_encode()
+        ids = pa.array(map(ids_of, pieces.dictionary.to_numpy(zero_copy_only=False)), pa.large_binary()).take(pieces.indices)
+        data, of_text = memoryview(ids.buffers()[2]), np.frombuffer(ids.buffers()[1], np.int64)[np.searchsorted(cut, bounds)]
+        added = special and special(str(raw, "utf-8"))  # in a text, or across two
+        for i in range(len(bounds) - 1):
+            if added and special(text := texts[at + i].as_py()):
+                yield whole(text)
+            else:
+                yield bytes(data[of_text[i] : of_text[i + 1]])
+
+    return (encode if apart else plain), dtype
+
+
 def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """doc_id, text hash ``th``, place ``row`` in the input, n_tokens, and the compressed ids with their ``width`` in bytes, the end id included."""
 
@@ -182,13 +294,15 @@ def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
         import zstandard
 
         release_unused()
-        (encode, dtype), pack = encoder(path), zstandard.ZstdCompressor(level=1).compress
+        (encode, dtype), pack = batch_encoder(path), zstandard.ZstdCompressor(level=1).compress
         end, width = np.array([end_id], dtype).tobytes(), np.dtype(dtype).itemsize
         for batch in batches:
-            ids = [encode(t.as_py() or "") + end for t in batch.column(3)]
-            sizes = pa.array([len(x) // width for x in ids], pa.int64())
+            sizes, ids = [], []
+            for x in encode(batch.column(3)):
+                sizes.append(len(x) // width + 1)
+                ids.append(pack(x + end))
             widths = pa.array(np.full(len(ids), width, np.int32))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], sizes, widths, pa.array(map(pack, ids), pa.binary())], ["doc_id", "th", "row", "n_tokens", "width", "ids"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int64()), widths, pa.array(ids, pa.binary())], ["doc_id", "th", "row", "n_tokens", "width", "ids"])
 
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("th"), F.monotonically_increasing_id().alias("row"), "text")
     return source.mapInArrow(run, "doc_id bigint, th bigint, row bigint, n_tokens bigint, width int, ids binary")

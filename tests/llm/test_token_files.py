@@ -3,11 +3,12 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from termlake.llm import token_files
-from termlake.llm.token_files import END_ID, encoder, files_of, op6_token_files, pack_ranks, plain_byte_level, read_files, token_index, tokenizer_path, unpack_ranks, write_files
+from termlake.llm.token_files import END_ID, batch_encoder, encoder, files_of, op6_token_files, pack_ranks, plain_byte_level, read_files, token_index, tokenizer_path, unpack_ranks, write_files
 
 from .helpers import SF, docs
 
@@ -112,3 +113,45 @@ def test_repeated_rows_are_spread_over_ranges(spark, tmp_path, request):
     parts = spark.read.parquet(f"{path}/blocks").groupBy("part").count().collect()
     assert len(parts) > 1
     assert sorted(r.start for r in read_files(spark, path).collect())[0] == 0
+
+
+def batch_ids(texts, kind=pa.string()):
+    encode, dtype = batch_encoder(tokenizer_path())
+    return [np.frombuffer(x, dtype).tolist() for x in encode(pa.array(texts, kind))]
+
+
+@pytest.mark.parametrize("chunk", [1, 64, 1 << 22])
+def test_batches_equal_whole_texts(spark, plain, monkeypatch, chunk):
+    monkeypatch.setattr(token_files, "CHUNK_BYTES", chunk)
+    texts = [None, "", *HARD, None, *HARD[::-1], *(r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(200).collect()), ""]
+    assert batch_ids(texts) == [plain(t) for t in texts]
+    assert batch_ids(["", None]) == [[], []] and batch_ids([]) == []
+    encode, dtype = batch_encoder(tokenizer_path())
+    assert [np.frombuffer(x, dtype).tolist() for x in encode(pa.array(texts, pa.large_string()).slice(3, 9))] == [plain(t) for t in texts[3:12]]
+
+
+def test_batches_equal_whole_texts_when_dictionaries_turn_over(plain, monkeypatch):
+    monkeypatch.setattr(token_files, "MOST_CACHED", 50)
+    encode, dtype = token_files._batch_encoder(tokenizer_path())
+    rng = random.Random(6)
+    pieces = [*"  \n\n\t\r'.,(-_|1日ªéжÀ×÷ɏɐǀ²½あ“–\u0301\x85\xa0\u2003\u3000\u180e\u200b\x1c\x00\x7f😀", "a", "the", "'s", "'ll", "23"]
+    for part in range(20):
+        some = pieces + ["<|endoftext|>"] * (part % 2)
+        texts = ["".join(rng.choices(some, k=rng.choice((0, 1, 2, 3, 6, 14)))) for _ in range(250)]
+        for text, ids in zip(texts, encode(pa.array(texts))):
+            assert np.frombuffer(ids, dtype).tolist() == plain(text), text
+
+
+def test_added_token_across_two_texts_is_none(plain):
+    texts = ["x <|endof", "text|> y", "<|endoftext|>"]
+    assert batch_ids(texts) == [plain(t) for t in texts]
+
+
+def test_words_are_encoded_once_whatever_marks_and_lines_join_them(plain, monkeypatch):
+    asked, fresh = [], token_files.PieceIds.fresh
+    monkeypatch.setattr(token_files.PieceIds, "fresh", lambda self, piece: (asked.append(piece), fresh(self, piece))[1])
+    words = ["amber", "birch", "cedar", "dune", "été", "fjord", "grove", "hazel"]
+    texts = [f"the {a},{b}.\n{c} {a}({b})\n{c}" for a in words for b in words for c in words]
+    encode, dtype = token_files._batch_encoder(tokenizer_path())
+    assert [np.frombuffer(x, dtype).tolist() for x in encode(pa.array(texts))] == [plain(t) for t in texts]
+    assert len(asked) <= 2 * len(words) + 8
